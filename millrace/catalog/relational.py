@@ -16,11 +16,11 @@ DAY = dt.datetime
 
 
 @query("enr01_calculated", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) / nullif(l_tax * 100, 0), 4) AS net FROM lineitem""")
+SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) / nullif(l_tax * 100, 0), 8) AS net FROM lineitem""")
 def _(t):
     rule = {"type": "calculated", "target_field": "net", "source_fields": ["l_extendedprice", "l_discount", "l_tax"],
             "expression": "{l_extendedprice}*(1-{l_discount})/({l_tax}*100)"}
-    return E.enrich(t.lineitem, [rule]).select("l_orderkey", "l_linenumber", F.round("net", 4).alias("net"))
+    return E.enrich(t.lineitem, [rule]).select("l_orderkey", "l_linenumber", F.round("net", 8).alias("net"))
 
 
 @query("enr02_lookup", """
