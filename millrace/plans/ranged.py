@@ -24,8 +24,9 @@ from ..session import settle
 Cols = Sequence[str]
 
 
-def ranged(df: DataFrame, keys: Cols, order: Cols) -> DataFrame:
-    """Rows in range partitions by ``(keys, order)``, numbered in ``_part``.
+def ranged(df: DataFrame, keys: Cols, order: Cols, inside: bool = False) -> DataFrame:
+    """Rows in range partitions by ``(keys, order)``, numbered in ``_part``; sorted
+    within each partition when ``inside`` is set.
 
     ``_key`` is the key as a struct, so that a null key is an ordinary group.
     The result is checkpointed: boundaries come from a sample and must be the
@@ -33,6 +34,8 @@ def ranged(df: DataFrame, keys: Cols, order: Cols) -> DataFrame:
     """
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     spread = df.withColumn("_key", key).repartitionByRange("_key", *order)
+    if inside:
+        spread = spread.sortWithinPartitions("_key", *order)
     return settle(spread.withColumn("_part", F.spark_partition_id()))
 
 
@@ -250,48 +253,74 @@ def trailing_sums(
     return df.join(ends, row_id)
 
 
-def affine_scan(
-    df: DataFrame, keys: Cols, order: Cols, keep: str, add: str, name: str
-) -> DataFrame:
-    """``s = keep·s_before + add`` along each key, starting from 0.
+def affine_scans(df: DataFrame, keys: Cols, order: Cols, states: Mapping[str, tuple[str, str, str]]) -> DataFrame:
+    """``s = keep·s_before + add`` along each key; a key's first row takes ``first``.
 
-    Steps of this form compose, so every (part, key) group is folded to one
-    pair first, the pairs are chained over the parts of a key (one row per range
-    partition), and each group is then replayed from its true start.
+    ``states`` maps an output name to its ``(keep, add, first)`` columns. Steps of
+    this form compose: every sorted range partition is folded to one
+    ``(keep, add)`` pair per key, the pairs of a key are chained over its
+    partitions, and each partition is replayed from the true start. Rows stream
+    through in Arrow batches, so neither a key nor a partition is held whole,
+    and the only shuffle is the range partitioning itself.
     """
-    rows = ranged(df, keys, order)
-    keep_cols = list(df.columns)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        mult, total = 1.0, 0.0
-        for k, a in zip(pdf[keep].to_numpy(float), pdf[add].to_numpy(float)):
-            mult, total = mult * k, total * k + a
-        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_part": [pdf["_part"].iloc[0]], "_m": [mult], "_t": [total]})
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        s = float(pdf["_start"].iloc[0])
-        out = np.empty(len(pdf))
-        for i, (k, a) in enumerate(zip(pdf[keep].to_numpy(float), pdf[add].to_numpy(float))):
-            s = k * s + a
-            out[i] = s
-        return pdf.assign(**{name: out})[[*keep_cols, name]]
-
-    flat = rows.withColumn("_g", F.to_json("_key")).drop("_key")
-    pairs = flat.groupBy("_g", "_part").applyInPandas(
-        fold, "_g string, _part int, _m double, _t double"
-    )
+    names = list(states)
+    columns = list(df.columns)
+    width = len(names)
+    flat = ranged(df, keys, order, inside=True).withColumn("_g", F.to_json("_key")).drop("_key")
+
+    def numbers(pdf: pd.DataFrame):
+        return [[pdf[c].to_numpy(float).tolist() for c in states[n]] for n in names]
+
+    def fold(batches):
+        part, g, mult, total, end = None, None, [1.0] * width, [0.0] * width, [None] * width
+        for pdf in batches:
+            done = []
+            cols, groups = numbers(pdf), pdf["_g"].tolist()
+            for i, here in enumerate(groups):
+                if here != g:
+                    if g is not None:
+                        done.append((g, part, mult, total, end))
+                    g, mult, total, end = here, [1.0] * width, [0.0] * width, [None] * width
+                    part = int(pdf["_part"].iat[i])
+                for s in range(width):
+                    k, a = cols[s][0][i], cols[s][1][i]
+                    mult[s], total[s] = mult[s] * k, total[s] * k + a
+                    end[s] = cols[s][2][i] if end[s] is None else end[s] * k + a
+            yield pd.DataFrame(done, columns=["_g", "_part", "_m", "_t", "_e"])
+        if g is not None:
+            yield pd.DataFrame([(g, part, mult, total, end)], columns=["_g", "_part", "_m", "_t", "_e"])
+
+    def replay(batches):
+        g, state = None, [0.0] * width
+        for pdf in batches:
+            cols, groups, starts = numbers(pdf), pdf["_g"].tolist(), pdf["_start"].tolist()
+            out = np.empty((width, len(pdf)))
+            for i, here in enumerate(groups):
+                begins = False
+                if here != g:
+                    g, begins = here, starts[i] is None
+                    state = [0.0] * width if begins else list(starts[i])
+                for s in range(width):
+                    k, a, f = cols[s][0][i], cols[s][1][i], cols[s][2][i]
+                    state[s] = f if begins else state[s] * k + a
+                    out[s, i] = state[s]
+            yield pdf[columns].assign(**{n: out[s] for s, n in enumerate(names)})
+
+    pairs = flat.mapInPandas(
+        fold, "_g string, _part int, _m array<double>, _t array<double>, _e array<double>")
     before = W.partitionBy("_g").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = pairs.select(
         "_g",
         "_part",
         F.aggregate(
-            F.collect_list(F.struct("_m", "_t")).over(before),
-            F.lit(0.0),
-            lambda acc, x: acc * x["_m"] + x["_t"],
+            F.collect_list(F.struct("_m", "_t", "_e")).over(before),
+            F.lit(None).cast("array<double>"),
+            lambda acc, x: F.when(acc.isNull(), x["_e"]).otherwise(
+                F.transform(x["_t"], lambda t, i: t + F.get(acc, i) * F.get(x["_m"], i))),
         ).alias("_start"),
-    )
-    joined = flat.join(starts, ["_g", "_part"])
+    ).filter(F.col("_start").isNotNull())
+    # A partition is sorted, so only its first key can have begun earlier:
+    # at most one start per range partition is broadcast.
+    joined = flat.join(F.broadcast(starts), ["_g", "_part"], "left")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.groupBy("_g", "_part").applyInPandas(replay, f"{fields}, `{name}` double")
+    return joined.mapInPandas(replay, ", ".join([fields, *[f"`{n}` double" for n in names]]))
