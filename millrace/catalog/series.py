@@ -279,21 +279,24 @@ def _(t):
     return rounded(T.detect_zscore(ev(t), "event_type", ORDER, "value"), "z_score", "confidence", "severity")
 
 
-# A series that climbs with time, so that the trend is strong.
-CLIMB = """(SELECT event_id, ts, event_type, value, epoch_us(ts) / 1e6 / 50 - 34e6 + value / 100 AS climb FROM events)"""
+# Points packed a thousand times denser, climbing with time: the trend is then strong.
+_BASE = 1_704_067_200_000_000
+CLIMB = f"""(SELECT event_id, event_type, {_BASE} + (epoch_us(ts) - {_BASE}) // 1000 AS tm, (epoch_us(ts) - {_BASE}) / 1e9 + value / 100 AS climb FROM events)"""
 
 
 @query("tsa26_detect_trend", f"""
-WITH p AS (SELECT event_type, climb, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {CLIMB}),
-m AS (SELECT event_type, regr_slope(climb, tm / 1e6 - 1.7e9) AS s, var_pop(climb) * count(*) AS sst, count(*) AS n,
+WITH p AS (SELECT event_type, climb, tm, row_number() OVER (PARTITION BY event_type ORDER BY tm DESC, event_id DESC) AS rn FROM {CLIMB}),
+m AS (SELECT event_type, regr_slope(climb, (tm - {_BASE}) / 1e6) AS s, var_pop(climb) * count(*) AS sst, count(*) AS n,
  max(climb) FILTER (rn = 1) AS l, max(climb) FILTER (rn = 2) AS b, max(tm) FILTER (rn = 1) - max(tm) FILTER (rn = 2) AS gap FROM p WHERE rn <= 50 GROUP BY event_type),
-e AS (SELECT *, b + s * gap / 1e6 AS x FROM m )
-SELECT event_type, round(l, 4) AS latest, round(x, 3) AS expected, round(abs(l - x) / greatest(0.01, abs(x)), 6) AS deviation, abs(l - x) / greatest(0.01, abs(x)) > 0.8 AS anomaly FROM e
+e AS (SELECT *, b + s * gap / 1e6 AS x FROM m)
+SELECT event_type, round(l, 4) AS latest, round(x, 4) AS expected, round(abs(l - x) / greatest(0.01, abs(x)), 5) AS deviation, abs(l - x) / greatest(0.01, abs(x)) > 0.00001 AS anomaly FROM e
 WHERE least(1.0, abs(s) * n / sqrt(sst)) >= 0.3""")
 def _(t):
-    e = ev(t).withColumn("climb", T.micros("ts") / 1e6 / 50 - 34e6 + F.col("value") / 100)
-    out = T.detect_trend(e, "event_type", ORDER, "climb")
-    return rounded(rounded(rounded(out, "latest", digits=4), "expected", digits=3), "deviation")
+    past = T.micros("ts") - F.lit(_BASE)
+    e = t.events.select("event_id", "event_type", F.timestamp_micros(F.lit(_BASE) + F.floor(past / 1000)).alias("ts"),
+                        (past / 1e9 + F.col("value") / 100).alias("climb"))
+    out = T.detect_trend(e, "event_type", ORDER, "climb", 0.00001)
+    return rounded(rounded(out, "latest", "expected", digits=4), "deviation", digits=5)
 
 
 # A value that follows the hour of day, so that the pattern is strong.

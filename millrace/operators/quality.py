@@ -104,7 +104,8 @@ def issues(df: DataFrame, rules: list[dict]) -> DataFrame:
                 add(r, c, F.count_if(z > r.get("threshold", 3.0)), F.max(m.getField("u")) >= r.get("min_samples", 10))
         elif kind == "correlation":
             a, b = r["fields"]
-            add(r, f"{a},{b}", F.count_if(r["condition"]))
+            test = F.expr(r["condition"]) if isinstance(r["condition"], str) else r["condition"]
+            add(r, f"{a},{b}", F.count_if(test))
         else:
             raise ValueError(f"unknown quality rule {kind!r}")
     return df.agg(F.array(*made).alias("i")).select(F.inline("i")).filter("record_count > 0")
