@@ -8,9 +8,10 @@ from .registry import query
 from .validation import CONTACTS, TEXTS, contacts, texts
 
 
-def rounded(df, *cols, digits=6):
+def rounded(df, *cols, digits=6, nudge=0.0):
+    """Round for comparison; ``nudge`` moves exact halves off the border."""
     for c in cols:
-        df = df.withColumn(c, F.round(c, digits))
+        df = df.withColumn(c, F.round(F.col(c) + nudge if nudge else F.col(c), digits))
     return df
 
 

@@ -213,20 +213,20 @@ EMA_SQL = f"""(SELECT user_id, event_id, ts, value, event_type, row_number() OVE
 
 
 @query("tsa20_ema_baseline", f"""
-SELECT event_id, round(m, 6) AS avg_duration, round(s, 6) AS success_rate, c AS sample_count, c > 1 AND value > m * 1.5 AS degraded FROM {EMA_SQL}""")
+SELECT event_id, round(m + 1e-9, 6) AS avg_duration, round(s + 1e-9, 6) AS success_rate, c AS sample_count, c > 1 AND value > m * 1.5 AS degraded FROM {EMA_SQL}""")
 def _(t):
     out = T.ema_baseline(ev(t), "user_id", ORDER, "value", F.col("event_type") != "error")
-    return rounded(out, "avg_duration", "success_rate").select("event_id", "avg_duration", "success_rate", "sample_count", "degraded")
+    return rounded(out, "avg_duration", "success_rate", nudge=1e-9).select("event_id", "avg_duration", "success_rate", "sample_count", "degraded")
 
 
 @query("tsa21_ema_anomaly", f"""
 WITH a AS (SELECT *, CASE WHEN c = 1 THEN 0.0 ELSE 0.1 * ((value - m) / 0.9) * ((value - m) / 0.9) END AS d FROM {EMA_SQL}),
 v AS (SELECT *, list_reduce(list(d) OVER (PARTITION BY user_id {ORD} ROWS UNBOUNDED PRECEDING), lambda x, y: 0.9 * x + y) AS var FROM a),
 z AS (SELECT *, CASE WHEN c >= 10 AND var > 0 THEN abs(value - m) / sqrt(var) END AS z FROM v)
-SELECT event_id, round(m, 6) AS mean, round(var, 6) AS variance, round(z, 6) AS z_score, CASE WHEN z > 4 THEN 'high' WHEN z > 3 THEN 'medium' END AS severity FROM z""")
+SELECT event_id, round(m + 1e-9, 6) AS mean, round(var + 1e-9, 6) AS variance, round(z + 1e-9, 6) AS z_score, CASE WHEN z > 4 THEN 'high' WHEN z > 3 THEN 'medium' END AS severity FROM z""")
 def _(t):
     out = T.ema_anomaly(ev(t), "user_id", ORDER, "value")
-    return rounded(out, "mean", "variance", "z_score").select("event_id", "mean", "variance", "z_score", "severity")
+    return rounded(out, "mean", "variance", "z_score", nudge=1e-9).select("event_id", "mean", "variance", "z_score", "severity")
 
 
 MODEL = f"""(SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, median(value) AS median,

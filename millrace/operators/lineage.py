@@ -53,15 +53,21 @@ def downstream(edges: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame
     return walk(edges, roots, up=False, depth=depth).drop("paths")
 
 
-def betweenness(edges: DataFrame, assets: DataFrame) -> DataFrame:
+def both_walks(edges: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The complete walks up and down from the given assets."""
+    return walk(edges, assets, up=True, depth=None), walk(edges, assets, up=False, depth=None)
+
+
+def betweenness(edges: DataFrame, assets: DataFrame, walks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Share of shortest paths between other assets that run through each given asset.
 
     For an asset v, only its upstream s and downstream t can have paths through
     it; those lie on v when d(s,v) + d(v,t) = d(s,t).
     """
-    up = walk(edges, assets, up=True, depth=None).select(
+    above, below = walks or both_walks(edges, assets)
+    up = above.select(
         F.col("root").alias("v"), F.col("asset").alias("s"), F.col("depth").alias("d_sv"), F.col("paths").alias("p_sv"))
-    down = walk(edges, assets, up=False, depth=None).select(
+    down = below.select(
         F.col("root").alias("v"), F.col("asset").alias("t"), F.col("depth").alias("d_vt"), F.col("paths").alias("p_vt"))
     whole = walk(edges, up.select("s").distinct(), up=False, depth=None).select(
         F.col("root").alias("s"), F.col("asset").alias("t"), F.col("depth").alias("d_st"), F.col("paths").alias("p_st"))
@@ -76,11 +82,13 @@ def betweenness(edges: DataFrame, assets: DataFrame) -> DataFrame:
     return joined.select("asset", (F.coalesce("b", F.lit(0.0)) / norm).alias("betweenness"))
 
 
-def degrees(edges: DataFrame, assets: DataFrame, depth: int = 10) -> DataFrame:
-    """Upstream and downstream counts per given asset."""
+def degrees(edges: DataFrame, assets: DataFrame, depth: int = 10, walks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Upstream and downstream counts per given asset, up to ``depth`` steps away."""
     names = assets.select(F.col(assets.columns[0]).alias("asset")).distinct()
-    up = upstream(edges, names, depth).groupBy("root").agg(F.count("*").alias("upstream_count"))
-    down = downstream(edges, names, depth).groupBy("root").agg(F.count("*").alias("downstream_count"))
+    above, below = walks or (walk(edges, names, True, depth), walk(edges, names, False, depth))
+    near = F.col("depth") <= depth
+    up = above.filter(near).groupBy("root").agg(F.count("*").alias("upstream_count"))
+    down = below.filter(near).groupBy("root").agg(F.count("*").alias("downstream_count"))
     out = names.join(up.withColumnRenamed("root", "asset"), "asset", "left").join(
         down.withColumnRenamed("root", "asset"), "asset", "left")
     return out.fillna(0, ["upstream_count", "downstream_count"])
@@ -91,7 +99,8 @@ def criticality(edges: DataFrame, assets: DataFrame) -> DataFrame:
 
     ``assets`` has ``asset`` and ``quality_score`` (null counts as 0.5).
     """
-    rows = degrees(edges, assets).join(betweenness(edges, assets), "asset").join(
+    walks = both_walks(edges, assets.select("asset"))
+    rows = degrees(edges, assets, walks=walks).join(betweenness(edges, assets, walks), "asset").join(
         assets.select("asset", "quality_score"), "asset", "left")
     value = (
         F.least(F.col("downstream_count") / 10.0, F.lit(1.0)) * 0.4
@@ -209,12 +218,10 @@ def schema_hash(df: DataFrame) -> str:
     return hashlib.md5(",".join(f"{n}:{t}" for n, t in df.dtypes).encode()).hexdigest()
 
 
-def register_run(spark, sources: dict[str, DataFrame], target: tuple[str, DataFrame], code: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Asset and edge rows of one run, to be appended to the lineage tables."""
-    named = [*sources.items(), target]
-    assets = spark.createDataFrame([(n, schema_hash(df)) for n, df in named], "asset string, schema_hash string")
-    edges = spark.createDataFrame(
-        [(n, target[0], kind, code) for n in sources], "src string, dst string, transformation_type string, code string")
-    edges = edges.select("src", "dst", "transformation_type", F.md5("code").alias("transformation_hash"),
-                         confidence(F.col("code"), F.col("transformation_type")).alias("confidence"))
-    return assets, edges
+def register_run(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Asset and edge rows of runs ``(source, target, code, transformation_type)``, to be appended to the tables."""
+    names = runs.select(F.explode(F.array(F.concat(F.lit("source_"), "source"), F.concat(F.lit("target_"), "target"))).alias("asset"))
+    edges = runs.select(
+        F.concat(F.lit("source_"), "source").alias("src"), F.concat(F.lit("target_"), "target").alias("dst"), "transformation_type",
+        F.md5("code").alias("transformation_hash"), confidence(F.col("code"), F.col("transformation_type")).alias("confidence"))
+    return names.distinct(), edges

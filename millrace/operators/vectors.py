@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,11 +19,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def cosine(vector: Column, query: list[float]) -> Column:
+    """Cosine to one given vector, in double."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    length = math.sqrt(sum(float(x) * float(x) for x in query))
+    return F.try_divide(dot(vector, q), F.sqrt(dot(vector, vector)) * F.lit(length))
 
 
-def knn(df: DataFrame, vector: str, query: Column, k: int, key: str, threshold: float = 0.7) -> DataFrame:
+def knn(df: DataFrame, vector: str, query: list[float], k: int, key: str, threshold: float = 0.7) -> DataFrame:
     """The ``k`` most similar rows at or above ``threshold``; each task keeps its own best ``k``."""
     scored = df.withColumn("score", cosine(F.col(vector), query))
     return scored.filter(F.col("score") >= threshold).orderBy(F.col("score").desc(), key).limit(k)

@@ -34,9 +34,9 @@ def apply_operations(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _order(spec: dict) -> list[str]:
-    if not spec.get("order"):
-        raise ValueError("deduplication needs the order that makes a row the first")
-    return spec["order"]
+    if not spec.get("order_by"):
+        raise ValueError("deduplication needs order_by: which row of a key is the first")
+    return spec["order_by"]
 
 
 TYPES: dict[str, Callable[[DataFrame, dict], DataFrame]] = {

@@ -146,15 +146,17 @@ def windowed_rows(
     return made.filter(~F.col("_halo")).drop("_halo", "_block")
 
 
-def value_counts(df: DataFrame, keys: Cols, value: str) -> DataFrame:
-    """Rows per (key, value), nulls left out; combined map-side."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, keys: Cols, value: str, weight: str | None = None) -> DataFrame:
+    """Rows per (key, value), nulls left out; combined map-side. ``weight`` holds
+    counts made earlier."""
+    n = F.sum(weight) if weight else F.count("*")
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
 
 
-def ranked_values(df: DataFrame, keys: Cols, value: str) -> DataFrame:
+def ranked_values(df: DataFrame, keys: Cols, value: str, weight: str | None = None) -> DataFrame:
     """Distinct values with ``n``, the count up to and including them ``upto``
     and the key's ``total``: the base of exact quantiles and average ranks."""
-    return running(value_counts(df, keys, value), keys, [value], {"upto": F.col("n")}, {"total": "upto"})
+    return running(value_counts(df, keys, value, weight), keys, [value], {"upto": F.col("n")}, {"total": "upto"})
 
 
 def quantiles(
@@ -163,6 +165,7 @@ def quantiles(
     value: str,
     points: Mapping[str, float],
     method: str = "linear",
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles per key, one column per entry of ``points`` (0..1).
 
@@ -170,7 +173,7 @@ def quantiles(
     index    takes the element at int(p·n), the last one at most.
     Values are picked by rank from the distinct values, so no task holds a key.
     """
-    ranked = ranked_values(df, keys, value)
+    ranked = ranked_values(df, keys, value, weight)
     n = F.col("total")
     floor_of = F.col("upto") - F.col("n")
 

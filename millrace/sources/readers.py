@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,8 +92,7 @@ def object_store_source(spark: SparkSession, bucket: str, key: str, scheme: str
 def inline_source(spark: SparkSession, records: list[dict] | str) -> DataFrame:
     """A small list of records, or csv text, given by the caller."""
     if isinstance(records, str):
-        lines = spark.createDataFrame([(line,) for line in records.strip().splitlines()], "value string")
-        return spark.read.csv(lines.rdd.map(lambda r: r[0]), header=True)
+        records = list(csv.DictReader(records.strip().splitlines()))
     names = list(dict.fromkeys(k for r in records for k in r))
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in records], names)
 
