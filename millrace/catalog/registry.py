@@ -14,6 +14,8 @@ class Tables:
     """``t.orders`` reads one parquet table of a data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        # The tables hold zone-free times; results are defined in UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.folder = spark, folder
 
     def path(self, name: str) -> str:

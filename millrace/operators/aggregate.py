@@ -10,7 +10,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ..functions.scalars import to_float
 from ..plans.ranged import quantiles, row_index
@@ -38,11 +37,12 @@ def aggregate(df: DataFrame, group_by: list[str], rules: list[dict]) -> DataFram
 
     ``median`` is exact and taken by rank over range partitions, then joined to
     the other aggregates on the group; ``approx=True`` takes a sketch instead.
-    ``concat`` joins texts in the order of ``order_by``: its result is one cell
-    per group, so use ``concat_parts`` where a group's text has no bound.
+    ``concat`` joins texts in the order of ``order_by`` (make it distinct): parts of
+    a group are ordered and joined apart, then put together in one cell; where a
+    group's text has no bound, keep the parts of ``concat_parts``.
     An unknown function counts.
     """
-    plain, medians = [], []
+    plain, medians, concats = [], [], []
     for rule in rules:
         field, fn = rule["field"], rule["function"]
         alias = rule.get("alias", f"{fn}_{field}")
@@ -51,14 +51,18 @@ def aggregate(df: DataFrame, group_by: list[str], rules: list[dict]) -> DataFram
         elif fn == "median":
             plain.append(F.percentile_approx(_num(df, field), 0.5).alias(alias))
         elif fn == "concat":
-            by = ", ".join(rule.get("order_by", [field]))
-            plain.append(F.expr(f"listagg(cast(`{field}` as string), ', ') within group (order by {by})").alias(alias))
+            concats.append((alias, field, rule["order_by"]))
         else:
             plain.append(FUNCTIONS.get(fn, FUNCTIONS["count"])(df, field, rule).alias(alias))
     out = df.groupBy(*group_by).agg(*plain) if plain else df.select(*group_by).distinct()
     for alias, field in medians:
         part = quantiles(df.select(*group_by, _num(df, field).cast("double").alias("_v")), group_by, "_v", {alias: 0.5})
         out = _attach(out, part, group_by, alias)
+    for alias, field, order in concats:
+        parts = concat_parts(df, group_by, field, order)
+        pieces = F.array_sort(F.collect_list(F.struct("part", F.col(field).alias("v"))))
+        part = parts.groupBy(*group_by).agg(F.array_join(F.transform(pieces, lambda x: x["v"]), ", ").alias(alias))
+        out = _attach(out, part, group_by, alias)
     names = [r.get("alias", f"{r['function']}_{r['field']}") for r in rules]
     return out.select(*group_by, *names)
 
@@ -174,9 +178,8 @@ def failure_analysis(df: DataFrame, columns: list[str], duration: str) -> DataFr
     parts = breakdown(
         df, columns, {"avg_time": F.avg(duration), "fastest": F.min(duration), "slowest": F.max(duration)}
     )
-    # One row per distinct class value: a handful per dimension.
-    best = W.partitionBy("dimension").orderBy(F.col("n").desc(), "value")
-    return parts.withColumn("most_common", F.row_number().over(best) == 1)
+    best = parts.groupBy("dimension").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("_best"))
+    return parts.join(best, "dimension").withColumn("most_common", F.col("value").eqNullSafe(F.col("_best"))).drop("_best")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.ranged import first_rows
+
 KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
 
@@ -47,15 +49,8 @@ def referential_errors(child: DataFrame, parent: DataFrame, key: str, parent_key
 
 
 def last_points(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The newest ``n`` rows per key, ``rn`` = 1 for the newest.
-
-    The rank filter is pushed below the shuffle, so a map task sends at most
-    ``n`` rows of a key, however large the key is.
-    """
-    if not 0 < n <= 1000:
-        raise ValueError("the rank limit is pushed below the shuffle up to 1000 rows per key")
-    newest = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= n)
+    """The newest ``n`` rows per key, ``rn`` = 1 for the newest."""
+    return first_rows(df, keys, order, n, newest=True)
 
 
 def tolerance_join(

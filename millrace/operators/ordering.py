@@ -15,11 +15,8 @@ def number_rows(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """The newest ``n`` rows per key, any ``n``."""
-    if n <= 1000:
-        return last_points(df, keys, order, n).drop("rn")
-    back = row_index(df, keys, order, "_idx", total="_n")
-    return back.filter(F.col("_idx") > F.col("_n") - n).drop("_idx", "_n")
+    """The newest ``n`` rows per key."""
+    return last_points(df, keys, order, n).drop("rn")
 
 
 def reversals(df: DataFrame, keys: list[str], order: list[str], direction: str, seconds: int = 1800) -> DataFrame:

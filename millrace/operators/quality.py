@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import patterns as P
 from ..functions.scalars import starts_matching, to_float
-from ..plans.ranged import quantiles
+from ..plans.ranged import quantiles, row_index
 from .joins import last_points
 from .measures import blank, long_form, numeric_columns, per_column, text_columns
 
@@ -61,7 +60,7 @@ def issues(df: DataFrame, rules: list[dict]) -> DataFrame:
     moments = None
     if outlier_fields:
         moments = df.agg(F.struct(*[
-            F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"), F.count_distinct(c).alias("u")).alias(c)
+            F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c)
             for c in outlier_fields]).alias("v")).scalar()
     made: list[Column] = []
 
@@ -101,7 +100,7 @@ def issues(df: DataFrame, rules: list[dict]) -> DataFrame:
             for c in outlier_fields:
                 m = moments.getField(c)
                 z = F.try_divide(F.abs(F.col(c) - m.getField("m")), m.getField("s"))
-                add(r, c, F.count_if(z > r.get("threshold", 3.0)), F.max(m.getField("u")) >= r.get("min_samples", 10))
+                add(r, c, F.count_if(z > r.get("threshold", 3.0)), F.count_distinct(c) >= r.get("min_samples", 10))
         elif kind == "correlation":
             a, b = r["fields"]
             test = F.expr(r["condition"]) if isinstance(r["condition"], str) else r["condition"]
@@ -266,13 +265,8 @@ def feature_vector() -> Column:
 
 
 def score_trend(history: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Slope per step, direction, population volatility, last value and change over 24 points.
-
-    A history holds one row per dataset and measurement, so a dataset is a
-    short series; the windows below order such measurement rows, not data rows.
-    """
-    w = W.partitionBy(key).orderBy(ts)
-    rows = history.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(W.partitionBy(key)))
+    """Slope per step, direction, population volatility, last value and change over 24 points."""
+    rows = row_index(history.select(key, ts, value), [key], [ts], "_i", total="_n")
     back = F.max(F.when(F.col("_i") == F.greatest(F.lit(1), F.col("_n") - 23), F.col(value)))
     out = rows.groupBy(key).agg(
         F.regr_slope(value, F.col("_i").cast("double")).alias("slope"), F.stddev_pop(value).alias("volatility"),

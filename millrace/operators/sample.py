@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..plans.ranged import row_index
+from ..plans.ranged import first_rows, row_index
 
 
 def hash_order(key: str | list[str], seed: int = 0) -> Column:
@@ -35,12 +34,7 @@ def systematic(df: DataFrame, order: list[str], n: int, sql_form: bool = False)
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int = 0, parts: int = 3) -> DataFrame:
     """``n // parts`` random rows per stratum, then ``n`` in all."""
-    each = max(1, n // parts)
-    if each > 1000:
-        raise ValueError("up to 1000 rows per stratum; use sampleBy for shares of larger strata")
-    ranked = df.withColumn("_h", hash_order(key, seed))
-    w = W.partitionBy(stratum).orderBy("_h")
-    few = ranked.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= each)
+    few = first_rows(df.withColumn("_h", hash_order(key, seed)), [stratum], ["_h", key], max(1, n // parts), "_rn")
     return few.orderBy("_rn", stratum).limit(n).drop("_h", "_rn")
 
 
@@ -60,13 +54,9 @@ def line_sample(spark, path: str, n: int, seed: int = 0) -> DataFrame:
 
 def multi_file(df: DataFrame, n: int, files: int, seed: int = 0) -> DataFrame:
     """``n // files`` rows of each file (``files`` from the file listing), ``n`` in all."""
-    each = max(1, n // max(files, 1))
-    if each > 1000:
-        raise ValueError("up to 1000 rows per file")
-    named = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_h", F.rand(seed))
-    w = W.partitionBy("_file").orderBy("_h")
-    few = named.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= each)
-    return few.limit(n).drop("_h", "_rn").withColumnRenamed("_file", "file_path")
+    named = df.withColumn("file_path", F.col("_metadata.file_path")).withColumn("_h", F.rand(seed))
+    few = first_rows(named, ["file_path"], ["_h"], max(1, n // max(files, 1)), "_rn")
+    return few.limit(n).drop("_h", "_rn")
 
 
 def percentage(df: DataFrame, pct: float = 10.0, seed: int = 0) -> DataFrame:

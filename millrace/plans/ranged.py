@@ -90,6 +90,23 @@ def row_index(
     return running(df, keys, order, {name: F.lit(1).cast("long")}, {total: name} if total else None)
 
 
+def first_rows(df: DataFrame, keys: Cols, order: Cols, n: int, name: str = "rn", newest: bool = False) -> DataFrame:
+    """The first ``n`` rows per key by ``order`` (the last ones with ``newest``), numbered from 1.
+
+    Up to 1000 rows Spark applies the rank limit before the shuffle, so a map
+    task sends at most ``n`` rows of a key. Above that the key is numbered over
+    range partitions.
+    """
+    if n <= 1000:
+        by = [F.col(c).desc() for c in order] if newest else list(order)
+        ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*by)))
+        return ranked.filter(F.col(name) <= n)
+    rows = row_index(df, keys, order, name, total="_total")
+    if newest:
+        rows = rows.withColumn(name, F.col("_total") - F.col(name) + 1)
+    return rows.filter(F.col(name) <= n).drop("_total")
+
+
 def blocks(
     df: DataFrame,
     keys: Cols,

@@ -61,7 +61,7 @@ def sessions(df: DataFrame, user: str, ts: str, gap: int = 1800) -> DataFrame:
     slots = df.groupBy(user, F.floor(micros / width).alias("_slot")).agg(
         F.min(micros).alias("_first"), F.max(micros).alias("_last"), F.count("*").alias("_n"))
     w = W.partitionBy(user).orderBy("_slot")
-    new = F.when(F.col("_first") - F.lag("_last").over(w) < width, 0).otherwise(1)
+    new = F.when(F.col("_first") - F.lag("_last").over(w) <= width, 0).otherwise(1)
     marked = slots.withColumn("_new", new).withColumn("_session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     out = marked.groupBy(user, "_session").agg(F.min("_first").alias("a"), F.max("_last").alias("b"), F.sum("_n").alias("events"))
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")

@@ -81,7 +81,7 @@ def main() -> int:
     a = ap.parse_args()
     folder = f"/root/testdata/sf{a.sf}"
     spark = get_session("compare", f"local[{a.cpus}]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.sql("set timezone='UTC'")
