@@ -6,6 +6,8 @@ from ..operators import clean as C
 from ..operators import dedup as D
 from ..operators import normalize as N
 from ..operators import sample as P
+from ..session import scratch_path
+from ..sources import sinks
 from .mapping import URGENT, urgent
 from .registry import query
 
@@ -132,6 +134,13 @@ def _(t):
     return P.head(t.orders, 100).select("o_orderkey")
 
 
+@query("smp06_line_sample")
+def _(t):
+    path = scratch_path(t.spark, "lines")
+    sinks.write_file(t.events.select("event_id", "value"), path, "json")
+    return P.line_sample(t.spark, path, 200, seed=2)
+
+
 @query("smp07_multi_file")
 def _(t):
     files = t.spark.read.parquet(t.path("customer"), t.path("customer"))
@@ -143,6 +152,26 @@ def _(t):
     return P.percentage(t.orders, 10.0, seed=5).select("o_orderkey")
 
 
+def _size(name, make, key, n, table):
+    """Size and distinctness of a random sample."""
+
+    @query(name, f"SELECT least({n}, count(*)) AS n, least({n}, count(*)) AS distinct_rows FROM {table}")
+    def _(t):
+        return make(t).agg(F.count("*").alias("n"), F.count_distinct(key).alias("distinct_rows"))
+
+
+_size("smp04_reservoir_size", lambda t: P.reservoir(t.orders, 300, seed=3), "o_orderkey", 300, "orders")
+_size("smp05_head_size", lambda t: P.head(t.orders, 100), "o_orderkey", 100, "orders")
+
+
+@query("smp08_percentage_range", "SELECT true AS in_range FROM orders HAVING count(*) > 0")
+def _(t):
+    orders = t.orders
+    total = orders.agg(F.count("*").alias("n")).scalar()
+    share = F.count("*") / F.max("n")
+    return P.percentage(orders, 10.0, seed=5).withColumn("n", total).agg(((share > 0.07) & (share < 0.13)).alias("in_range"))
+
+
 @query("smp09_report", "SELECT count(*) AS total_records, 250::BIGINT AS sample_size, 'random' AS strategy FROM orders")
 def _(t):
     orders = t.orders

@@ -303,6 +303,21 @@ def _(t):
     return P.dp_aggregates(t.lineitem, "l_quantity", 0.5, 50.0, seed=4)
 
 
+@query("prv14_dp_noise_bounds", "SELECT true AS near, true AS noisy FROM lineitem HAVING count(*) > 0")
+def _(t):
+    # Scale 100: a draw beyond 50 scales has a chance of e^-50.
+    out = P.dp_aggregates(t.lineitem, "l_quantity", 0.5, 50.0, seed=4)
+    exact = t.lineitem.agg(F.sum("l_quantity").alias("s")).scalar()
+    off = F.abs(F.col("dp_sum") - exact)
+    return out.select((off < 5000).alias("near"), (off > 0).alias("noisy"))
+
+
+@query("prv16_exponential_pick_size", "SELECT least(10, count(DISTINCT l_suppkey)) AS n FROM lineitem")
+def _(t):
+    g = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("u"))
+    return P.exponential_pick(g, "u", 10, 1.0, seed=9).agg(F.count_distinct("l_suppkey").alias("n"))
+
+
 @query("prv15_dp_gaussian", "SELECT l_returnflag, round(avg(l_quantity), 4) AS noisy FROM lineitem GROUP BY l_returnflag")
 def _(t):
     g = t.lineitem.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("m"))

@@ -52,9 +52,9 @@ RULE_FIELDS = {
 # Personal data inside texts, with replacements, in this order.
 PII = {
     "email": r"(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
-    "phone": r"(?i)\b(\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
-    "ssn": r"(?i)\b\d{3}-\d{2}-\d{4}\b",
-    "credit_card": r"(?i)\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b",
+    "phone": r"\b(\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "credit_card": r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b",
 }
 PII_MARKS = {
     "email": "[EMAIL_REDACTED]",
@@ -78,6 +78,18 @@ LEAKS = {
     "uuid": r"(\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b)",
 }
 
+# A word every match of the pattern holds, in lower case.
+LEAK_WORDS = {
+    "email": "@",
+    "private_key": "private",
+    "password": "password",
+    "api_key": "api",
+    "secret_key": "secret",
+    "access_token": "access",
+    "bearer": "bearer",
+    "aws_key": "akia",
+}
+
 # Threat patterns with type and severity.
 THREATS = [
     ("sql_injection", "high", r"(?i)(\b(SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\b.*\b(FROM|INTO|SET|WHERE)\b)"),

@@ -39,14 +39,20 @@ def redact(text: str | Column) -> Column:
     return x
 
 
-def _counts(patterns: dict[str, str], text: str) -> Column:
-    rows = [F.struct(F.lit(n).alias("kind"), F.regexp_count(F.col(text), F.lit(p)).alias("n")) for n, p in patterns.items()]
-    return F.explode(F.filter(F.array(*rows), lambda r: r["n"] > 0))
-
-
 def leaks(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Matches per kind of secret or identifier."""
-    return df.select(*key, _counts({n: "(?i)" + p for n, p in P.LEAKS.items()}, text).alias("m")).select(*key, "m.kind", "m.n")
+    """Matches per kind of secret or identifier.
+
+    A pattern runs only over texts that hold the words it cannot match without.
+    """
+    rows = df.select(*key, F.col(text).alias("_text"), F.lower(F.col(text)).alias("_low"))
+    counts = []
+    for name, pattern in P.LEAKS.items():
+        n = F.regexp_count(F.col("_text"), F.lit("(?i)" + pattern))
+        word = P.LEAK_WORDS.get(name)
+        counts.append(F.struct(F.lit(name).alias("kind"), (
+            F.when(F.contains(F.col("_low"), F.lit(word)), n).otherwise(0) if word else n).alias("n")))
+    found = F.explode(F.filter(F.array(*counts), lambda r: r["n"] > 0)).alias("m")
+    return rows.select(*key, found).select(*key, "m.kind", "m.n")
 
 
 def threats(df: DataFrame, key: list[str], text: str) -> DataFrame:

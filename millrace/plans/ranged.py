@@ -53,26 +53,30 @@ def running(
     """
     totals = totals or {}
     rows = ranged(df, keys, order)
-    inside = (
-        W.partitionBy("_part", "_key")
-        .orderBy(*order)
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Part i goes to task i: hashing the few part numbers would pile some up.
+    placed = rows.repartitionById(max(1, rows.rdd.getNumPartitions()), "_part")
+    group = W.partitionBy("_part", "_key")
+    inside = group.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = placed.select(
+        "*",
+        *[F.sum(e).over(inside).alias(f"_run_{n}") for n, e in sums.items()],
+        *[F.sum(sums[n]).over(group).alias(f"_own_{t}") for t, n in totals.items()],
     )
-    local = rows.select(
-        "*", *[F.sum(e).over(inside).alias(f"_run_{n}") for n, e in sums.items()]
-    )
-    # One row per (part, key): at most parts + keys rows, and a key's window
-    # below holds at most one row per range partition.
-    parts = rows.groupBy("_part", "_key").agg(*[F.sum(e).alias(f"_sum_{n}") for n, e in sums.items()])
-    before = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # Only the first and last key of a part can go on in another part, so what is
+    # carried over is at most two rows per range partition, and broadcast as such.
+    ends = rows.groupBy("_part").agg(F.min("_key").alias("_lo"), F.max("_key").alias("_hi"))
+    edge = rows.join(F.broadcast(ends), "_part").filter((F.col("_key") == F.col("_lo")) | (F.col("_key") == F.col("_hi")))
+    parts = edge.groupBy("_part", "_key").agg(*[F.sum(e).alias(f"_sum_{n}") for n, e in sums.items()])
     whole = W.partitionBy("_key")
+    before = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     carry = parts.select(
         "_part",
         "_key",
+        F.count("*").over(whole).alias("_spans"),
         *[F.sum(f"_sum_{n}").over(before).alias(f"_pre_{n}") for n in sums],
-        *[F.sum(f"_sum_{n}").over(whole).alias(t) for t, n in totals.items()],
-    )
-    out = local.join(carry, ["_part", "_key"])
+        *[F.sum(f"_sum_{n}").over(whole).alias(f"_all_{t}") for t, n in totals.items()],
+    ).filter("_spans > 1")
+    out = local.join(F.broadcast(carry), ["_part", "_key"], "left")
     done = [
         F.when(F.col(f"_pre_{n}").isNull(), F.col(f"_run_{n}"))
         .when(F.col(f"_run_{n}").isNull(), F.col(f"_pre_{n}"))
@@ -80,7 +84,8 @@ def running(
         .alias(n)
         for n in sums
     ]
-    return out.select(*[F.col(c) for c in df.columns], *done, *totals.keys())
+    whole_key = [F.coalesce(f"_all_{t}", f"_own_{t}").alias(t) for t in totals]
+    return out.select(*[F.col(c) for c in df.columns], *done, *whole_key)
 
 
 def row_index(
@@ -277,9 +282,10 @@ def affine_scans(df: DataFrame, keys: Cols, order: Cols, states: Mapping[str, tu
     """``s = keep·s_before + add`` along each key; a key's first row takes ``first``.
 
     ``states`` maps an output name to its ``(keep, add, first)`` columns. Steps of
-    this form compose: every sorted range partition is folded to one
-    ``(keep, add)`` pair per key, the pairs of a key are chained over its
-    partitions, and each partition is replayed from the true start. Rows stream
+    this form compose: the first and last key of every sorted range partition
+    (no other key can go on elsewhere) are folded to one ``(keep, add)`` pair
+    each, the pairs of a key are chained over its partitions, and each partition
+    is replayed from the true start. Rows stream
     through in Arrow batches, so neither a key nor a partition is held whole,
     and the only shuffle is the range partitioning itself.
     """
@@ -293,13 +299,15 @@ def affine_scans(df: DataFrame, keys: Cols, order: Cols, states: Mapping[str, tu
 
     def fold(batches):
         part, g, mult, total, end = None, None, [1.0] * width, [0.0] * width, [None] * width
+        first = True
         for pdf in batches:
             done = []
             cols, groups = numbers(pdf), pdf["_g"].tolist()
             for i, here in enumerate(groups):
                 if here != g:
-                    if g is not None:
+                    if g is not None and first:
                         done.append((g, part, mult, total, end))
+                        first = False
                     g, mult, total, end = here, [1.0] * width, [0.0] * width, [None] * width
                     part = int(pdf["_part"].iat[i])
                 for s in range(width):
