@@ -249,6 +249,13 @@ def _(t):
     return P.quality_profile(contacts(t), ["email", "title"])
 
 
+@query("pro26_sample_values", " UNION ALL ".join(
+    f"""(SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS rn, {c} AS value FROM {CONTACTS} WHERE trim({c}) <> '' ORDER BY c_custkey LIMIT 5)"""
+    for c in ["email", "title"]))
+def _(t):
+    return P.sample_values(contacts(t), "c_custkey", ["email", "title"])
+
+
 @query("pro27_feature_profile", """
 SELECT 5::BIGINT AS num_features, 4::BIGINT AS numeric_features,
  round(1 - (3 * count(*) FILTER (o_orderkey IS NULL)::DOUBLE / count(*)) / 5, 6) AS data_quality_score, count(*) AS num_samples FROM """ + URGENT)

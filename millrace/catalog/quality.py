@@ -144,6 +144,24 @@ def _(t):
     return rounded(out.select(*cols), "null_percentage", "completeness", "uniqueness", "overall_score")
 
 
+@query("qua13_feature_row_more", """
+WITH x AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_linenumber, l_returnflag FROM lineitem)) AS d FROM lineitem)
+SELECT round(1 - d / n, 8)::DOUBLE AS duplicate_percentage, (SELECT count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) AS referential_integrity_errors,
+ round(n * 4 * 8 / 1073741824, 10)::DOUBLE AS data_volume_gb FROM x""")
+def _(t):
+    df = t.lineitem.select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    out = Q.feature_row(df, F.lit(NOW), parents=[(t.supplier.filter("s_acctbal > 0"), "l_suppkey", "s_suppkey")])
+    out = out.select("duplicate_percentage", "referential_integrity_errors", "data_volume_gb")
+    return rounded(rounded(out, "duplicate_percentage", digits=8), "data_volume_gb", digits=10)
+
+
+@query("qua21_row_to_vector", f"""
+SELECT [1.0, 1.0, 1.0, 1.0, round(count(DISTINCT c_mktsegment)::DOUBLE / count(*), 6), 1.0]::DOUBLE[] AS v FROM customer""")
+def _(t):
+    row = Q.feature_row(t.customer.select("c_custkey", "c_mktsegment"), F.lit(NOW))
+    return row.select(F.transform(F.slice(Q.feature_vector(), 1, 6), lambda x: F.round(x, 6)).alias("v"))
+
+
 @query("qua14_uniqueness_mean", """
 SELECT round((count(DISTINCT c_name) + count(DISTINCT c_mktsegment)) / 2.0 / count(*), 6)::DOUBLE AS uniqueness FROM customer""")
 def _(t):

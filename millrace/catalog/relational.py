@@ -31,6 +31,13 @@ def _(t):
     return E.lookup(t.customer, table, "c_nationkey", "n_nationkey", "n_name", "nation", "unknown").select("c_custkey", "nation")
 
 
+@query("enr02_inline_lookup", """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS state FROM orders""")
+def _(t):
+    rule = {"type": "lookup", "target_field": "state", "lookup_field": "o_orderstatus", "lookup_table": {"F": "done", "O": "open"}, "default_value": "other"}
+    return E.enrich(t.orders, [rule]).select("o_orderkey", "state")
+
+
 @query("enr03_concatenation", """
 SELECT p_partkey, concat_ws('/', p_name, CASE WHEN p_size > 25 THEN p_brand END, p_type) AS label FROM part""")
 def _(t):

@@ -483,6 +483,11 @@ def _(t):
 for _kind, _spec, _sql in [
     ("mapping", {"rules": [{"source_field": "l_orderkey", "target_field": "id"}]}, "SELECT l_orderkey AS id FROM lineitem"),
     ("filter", {"rules": [{"field": "l_tax", "operator": "eq", "value": 0.0}]}, "SELECT * FROM lineitem WHERE l_tax = 0"),
+    ("filtering", {"rules": [{"field": "l_tax", "operator": "less_equal", "value": 0.01}]}, "SELECT * FROM lineitem WHERE l_tax <= 0.01"),
+    ("aggregation", {"rules": [{"type": "group_by", "fields": ["l_returnflag", "l_linestatus"]}, {"type": "aggregate", "field": "l_orderkey", "function": "max"}]},
+     "SELECT l_returnflag, l_linestatus, max(l_orderkey) AS max_l_orderkey FROM lineitem GROUP BY 1, 2"),
+    ("validation", {"rules": [{"type": "range", "field": "l_tax", "min_value": 0, "max_value": 0.05}]},
+     "SELECT count(*) AS total_records, count(*) FILTER (l_tax <= 0.05) AS valid_records, count(*) FILTER (l_tax > 0.05) AS invalid_records, 'range:l_tax' AS rule, 'range' AS rule_type, count(*) FILTER (l_tax > 0.05) AS errors FROM lineitem"),
     ("cleaning", {"rules": [{"type": "standardize_case", "fields": ["l_returnflag"]}]}, "SELECT * REPLACE (lower(l_returnflag) AS l_returnflag) FROM lineitem"),
     ("deduplication", {"order_by": ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "rules": [{"fields": ["l_suppkey", "l_returnflag"]}]},
      "SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) = 1"),
@@ -493,6 +498,20 @@ for _kind, _spec, _sql in [
         return chain.typed(t.lineitem, {"type": kind, **spec})
 
 
+@query("pip03_single_field_steps", """
+SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS price, 'web' AS channel, o_orderstatus || '-' || o_orderpriority AS tag, o_totalprice * o_custkey AS weight
+FROM orders WHERE o_orderstatus = 'F'""")
+def _(t):
+    out = chain.generic(t.orders, [
+        {"type": "filter_condition", "condition": {"field": "o_orderstatus", "operator": "equals", "value": "F"}},
+        {"type": "add_field", "field_name": "channel", "field_value": "web"},
+        {"type": "calculate_field", "field_name": "tag", "calculation": {"type": "concat", "fields": ["o_orderstatus", "o_orderpriority"], "separator": "-"}},
+        {"type": "calculate_field", "field_name": "weight", "calculation": {"type": "multiply", "field1": "o_totalprice", "field2": "o_custkey"}},
+        {"type": "data_type_conversion", "field_name": "o_totalprice", "target_type": "int"},
+        {"type": "rename_field", "old_name": "o_totalprice", "new_name": "price"}])
+    return out.select("o_orderkey", "price", "channel", "tag", "weight")
+
+
 @query("pip05_per_table", "SELECT 'nation' AS \"table\", count(*) AS records FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
 def _(t):
     tables = {n: getattr(t, n) for n in ("nation", "region", "supplier")}

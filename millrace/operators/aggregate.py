@@ -42,6 +42,9 @@ def aggregate(df: DataFrame, group_by: list[str], rules: list[dict]) -> DataFram
     group's text has no bound, keep the parts of ``concat_parts``.
     An unknown function counts.
     """
+    # The group may also be a rule of its own.
+    group_by = [*group_by, *[f for r in rules if r.get("type") == "group_by" for f in r["fields"]]]
+    rules = [r for r in rules if r.get("type") != "group_by"]
     plain, medians, concats = [], [], []
     for rule in rules:
         field, fn = rule["field"], rule["function"]

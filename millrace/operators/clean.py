@@ -12,9 +12,9 @@ RULES = {
     "trim_whitespace": lambda c, r: S.strip(c),
     "remove_duplicates": lambda c, r: S.distinct_words(c),
     "standardize_case": lambda c, r: S.standardize_case(c, r.get("case", "lower")),
-    "remove_special_chars": lambda c, r: S.remove_special_chars(c, r.get("pattern", r"[^a-zA-Z0-9\s]")),
+    "remove_special_chars": lambda c, r: F.regexp_replace(c, r.get("pattern", r"[^a-zA-Z0-9\s]"), r.get("replacement", "")),
     "normalize_numbers": lambda c, r: S.to_float(c),
-    "fill_nulls": lambda c, r: S.fill_nulls(c, r.get("fill_value")),
+    "fill_nulls": lambda c, r: S.fill_nulls(c, r.get("fill_value", "")),
     "validate_format": lambda c, r: S.validate_format(c, r["pattern"], r.get("default_value")),
 }
 

@@ -30,7 +30,7 @@ def _key_part(rule: dict) -> list[Column]:
     if kind == "fuzzy":
         return [fuzzy_text(f).alias(f) for f in rule["fields"]]
     if kind == "numeric":
-        return [numeric_step(f, rule["threshold"]).alias(f) for f in rule["fields"]]
+        return [numeric_step(f, rule.get("threshold", 0.01)).alias(f) for f in rule["fields"]]
     return [F.col(f) for f in rule["fields"]]
 
 

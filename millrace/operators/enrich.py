@@ -45,24 +45,34 @@ def date_part(field: str, part: str) -> Column:
 
 
 def conditional(df: DataFrame, conditions: list[dict], default=None) -> Column:
-    """First true condition gives its ``result``."""
+    """First true condition gives its ``result`` (its ``value`` without one)."""
     chain = None
     for c in conditions:
         test = F.coalesce(predicate(df, c), F.lit(False))
-        chain = F.when(test, F.lit(c["result"])) if chain is None else chain.when(test, F.lit(c["result"]))
+        result = F.lit(c.get("result", c.get("value")))
+        chain = F.when(test, result) if chain is None else chain.when(test, result)
     return chain.otherwise(F.lit(default))
 
 
+def inline_lookup(field: str, table: dict, default=None) -> Column:
+    """Lookup in a small dictionary written in the rule; ``lookup`` joins a table instead."""
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.when(F.map_contains_key(entries, F.col(field)), F.try_element_at(entries, F.col(field))).otherwise(F.lit(default))
+
+
 def _rule_column(df: DataFrame, rule: dict) -> Column:
     kind = rule["type"]
     if kind == "constant":
         return F.lit(rule.get("value"))
-    if kind == "calculated":
+    if kind == "lookup":
+        return inline_lookup(rule["lookup_field"], rule["lookup_table"], rule.get("default_value"))
+    if kind in ("calculated", "calculated_field"):
         return calculated(rule["expression"], rule["source_fields"])
     if kind == "concatenation":
         return F.concat_ws(rule.get("separator", " "), *rule["source_fields"])
     if kind == "date_derived":
-        return date_part(rule["source_fields"][0], rule["date_part"])
+        source = rule.get("source_field") or rule["source_fields"][0]
+        return date_part(source, rule.get("date_part", "year"))
     if kind == "conditional":
         return conditional(df, rule["conditions"], rule.get("default_value"))
     raise ValueError(f"unknown enrichment {kind!r}")

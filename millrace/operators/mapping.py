@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import apply_transform, is_filled, row_completeness, strip
+from ..functions.scalars import (
+    apply_transform,
+    calculate_concat,
+    calculate_multiply,
+    calculate_sum,
+    is_filled,
+    row_completeness,
+    strip,
+)
 
 
 def map_fields(df: DataFrame, rules: list[dict]) -> DataFrame:
@@ -33,6 +41,28 @@ def rename_field(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumnRenamed(old, new)
 
 
+def calculate_field(df: DataFrame, name: str, calculation: dict) -> DataFrame:
+    """sum, concat or multiply over fields; anything else gives null."""
+    kind = calculation.get("type")
+    if kind == "sum":
+        made = calculate_sum(*[f for f in calculation["fields"] if f in df.columns])
+    elif kind == "concat":
+        made = calculate_concat(calculation["fields"], calculation.get("separator", " "))
+    elif kind == "multiply" and {calculation["field1"], calculation["field2"]} <= set(df.columns):
+        made = calculate_multiply(calculation["field1"], calculation["field2"])
+    else:
+        made = F.lit(None).cast("double")
+    return df.withColumn(name, made)
+
+
+def convert_type(df: DataFrame, field: str, target: str) -> DataFrame:
+    """int, float, str or bool; another name or an absent field changes nothing."""
+    if field not in df.columns:
+        return df
+    text = isinstance(df.schema[field].dataType, T.StringType)
+    return df.withColumn(field, apply_transform(F.col(field), target, {"text": text}))
+
+
 def _text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 

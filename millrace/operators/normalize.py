@@ -45,12 +45,12 @@ def _scaled(x: Column, s: Column, method: str) -> Column:
 
 
 def normalize(df: DataFrame, rules: list[dict]) -> DataFrame:
-    """Rules ``{field, method, target}``; statistics of all rules come from one aggregation."""
+    """Rules ``{field, method, target}`` (``type`` may name the method); one aggregation gives all statistics."""
     fields = list(dict.fromkeys(r["field"] for r in rules))
     stats = df.agg(F.struct(*[_stats(_number(df, c)).alias(c) for c in fields]).alias("s")).scalar()
     out = [F.col(c) for c in df.columns if c not in {r.get("target", r["field"]) for r in rules}]
     for r in rules:
-        made = _scaled(_number(df, r["field"]), stats[r["field"]], r["method"])
+        made = _scaled(_number(df, r["field"]), stats[r["field"]], r.get("method") or r["type"])
         out.append(made.alias(r.get("target", r["field"])))
     return df.select(*out)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import patterns as P
 from ..functions.scalars import starts_matching, strip, to_float
-from ..plans.ranged import quantiles, value_counts
+from ..plans.ranged import first_rows, quantiles, value_counts
 from .measures import (
     blank,
     is_digits,
@@ -407,6 +407,13 @@ def quality_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         "max_text": lambda c: F.max(F.when(~blank(c), F.struct(F.length(filled(c)), filled(c).alias("v"))))["v"]})
 
 
+def sample_values(df: DataFrame, key: str, columns: list[str], n: int = 5) -> DataFrame:
+    """The first ``n`` non-blank values per column, by key."""
+    long = df.select(key, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot([key], columns, "column", "value")
+    few = first_rows(long.filter(~blank("value")), ["column"], [key, "value"], n)
+    return few.select("column", "rn", "value")
+
+
 def pii_columns(df: DataFrame, by_name_only: bool = False) -> DataFrame:
     """Columns that are personal by name, or whose values mostly look like mail or phone."""
     def named(c: str) -> Column:

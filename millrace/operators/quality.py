@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.scalars import starts_matching, to_float
 from ..plans.ranged import quantiles, row_index
-from .joins import last_points
+from .dedup import duplicate_share
+from .joins import last_points, referential_errors
 from .measures import blank, long_form, numeric_columns, per_column, text_columns
 
 # Weights, levels, model weights and issue thresholds.
@@ -158,11 +159,13 @@ def trend(history: DataFrame, key: str, ts: str, value: str, since=None) -> Data
 
 
 def feature_row(df: DataFrame, now: Column, ts: str | None = None, expected: dict[str, str] | None = None,
-                dates: Sequence[str] = (), emails: Sequence[str] = ()) -> DataFrame:
-    """The metrics of one dataset at one time, as one row.
+                dates: Sequence[str] = (), emails: Sequence[str] = (), parents: Sequence[tuple[DataFrame, str, str]] = ()) -> DataFrame:
+    """The metrics of one dataset at one time, as one row; ``feature_vector`` reads it.
 
     Counts come from one aggregation; outliers, duplicates and entropies each
-    need one more because they group by value.
+    need one more because they group by value. ``parents`` lists
+    (table, key here, key there) to count rows that point nowhere. The data
+    volume is eight bytes per cell.
     """
     texts, numbers, width = text_columns(df), numeric_columns(df), len(df.columns)
     nulls = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
@@ -193,6 +196,12 @@ def feature_row(df: DataFrame, now: Column, ts: str | None = None, expected: dic
         out = out.withColumn("mean_column_entropy", column_entropy(df, texts).agg(F.avg("entropy").alias("e")).scalar())
     else:
         out = out.withColumn("mean_column_entropy", F.lit(0.0))
+    lost = F.lit(0).cast("long")
+    for parent, key, parent_key in parents:
+        lost = lost + referential_errors(df, parent, key, parent_key).scalar()
+    out = out.select(
+        "*", duplicate_share(df).scalar().alias("duplicate_percentage"), lost.alias("referential_integrity_errors"),
+        (F.col("row_count") * F.col("column_count") * 8 / float(1 << 30)).alias("data_volume_gb"), now.alias("measured_at"))
     return derived_scores(out)
 
 

@@ -41,14 +41,15 @@ def failure(df: DataFrame, rule: dict) -> Column:
     elif kind == "range":
         value = x if field in numeric_columns(df) else to_float(x)
         ok = value.isNotNull()
-        if rule.get("min") is not None:
-            ok = ok & (value >= rule["min"])
-        if rule.get("max") is not None:
-            ok = ok & (value <= rule["max"])
+        low, high = rule.get("min", rule.get("min_value")), rule.get("max", rule.get("max_value"))
+        if low is not None:
+            ok = ok & (value >= low)
+        if high is not None:
+            ok = ok & (value <= high)
     elif kind == "pattern":
         ok = starts_matching(x, rule["pattern"])
     elif kind == "enum":
-        ok = x.isin(list(rule["allowed"]))
+        ok = x.isin(list(rule.get("allowed", rule.get("allowed_values", []))))
     elif kind == "custom":
         ok = rule["check"](x)
         return ~F.coalesce(ok, F.lit(False))

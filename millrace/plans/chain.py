@@ -41,7 +41,7 @@ def _order(spec: dict) -> list[str]:
 
 TYPES: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
     "mapping": lambda df, s: mapping.map_fields(df, s["rules"]),
-    "filter": lambda df, s: filters.all_of(df, s["rules"]),
+    "filtering": lambda df, s: filters.all_of(df, s["rules"]),
     "aggregation": lambda df, s: aggregate.aggregate(df, s.get("group_by", []), s["rules"]),
     "enrichment": lambda df, s: enrich.enrich(df, s["rules"]),
     "cleaning": lambda df, s: clean.clean(df, s["rules"]),
@@ -49,14 +49,25 @@ TYPES: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
     "normalization": lambda df, s: normalize.normalize(df, s["rules"]),
     "deduplication": lambda df, s: dedup.dedup(df, s["rules"], _order(s)),
     "generic": lambda df, s: generic(df, s["rules"]),
+    # Single-field steps, with their parameters beside the type.
+    "add_field": lambda df, s: mapping.add_field(df, s["field_name"], s.get("field_value")),
+    "rename_field": lambda df, s: mapping.rename_field(df, s["old_name"], s["new_name"]),
+    "calculate_field": lambda df, s: mapping.calculate_field(df, s["field_name"], s.get("calculation", {})),
+    "data_type_conversion": lambda df, s: mapping.convert_type(df, s["field_name"], s["target_type"]),
+    "filter_condition": lambda df, s: df.filter(filters.typed_condition(
+        df, s["condition"]["field"], s["condition"].get("operator", "equals"), s["condition"].get("value"))),
 }
+ALIASES = {"filter": "filtering", "field_mapping": "mapping"}
 
 
 def typed(df: DataFrame, spec: dict) -> DataFrame:
-    """One transformation by type name."""
-    if spec["type"] not in TYPES:
+    """One transformation by type name. A rule without ``rules`` is its own only rule."""
+    name = ALIASES.get(spec["type"], spec["type"])
+    if name not in TYPES:
         raise ValueError(f"unknown transformation {spec['type']!r}")
-    return TYPES[spec["type"]](df, spec)
+    if "rules" not in spec and name in ("mapping", "filtering"):
+        spec = {**spec, "rules": [{k: v for k, v in spec.items() if k != "type"}]}
+    return TYPES[name](df, spec)
 
 
 def generic(df: DataFrame, rules: list[dict]) -> DataFrame:
@@ -67,11 +78,28 @@ def generic(df: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def load_spec(text_or_dict: str | dict) -> dict:
-    if isinstance(text_or_dict, dict):
-        return text_or_dict
-    import yaml
+    """YAML text or a dict; the stages may stand below ``pipeline``."""
+    spec = text_or_dict
+    if isinstance(spec, str):
+        import yaml
 
-    return yaml.safe_load(text_or_dict)
+        spec = yaml.safe_load(spec)
+    return spec.get("pipeline", spec)
+
+
+def _settings(stage: dict) -> tuple[str, str, dict]:
+    """Name, role and settings; settings stand in ``config`` or beside the role."""
+    beside = {k: v for k, v in stage.items() if k not in ("name", "role", "type", "config")}
+    return stage.get("name", "unnamed-stage"), stage.get("role") or stage.get("type", "extractor"), {**beside, **stage.get("config", {})}
+
+
+def _extract(spark: SparkSession, conf: dict, inputs: dict[str, DataFrame]) -> DataFrame:
+    if "input" in conf:
+        return inputs[conf["input"]]
+    source = conf.get("source", conf.get("path"))
+    if isinstance(source, list) or (isinstance(source, str) and "\n" in source):
+        return readers.inline_source(spark, source)
+    return readers.read_auto(spark, source)
 
 
 def run(
@@ -86,21 +114,23 @@ def run(
     """
     df = None
     for stage in load_spec(spec)["stages"]:
-        name, kind, conf = stage["name"], stage["type"], stage.get("config", {})
+        name, role, conf = _settings(stage)
         if handlers and name in handlers:
             df = handlers[name](df)
-        elif kind == "extractor":
-            df = (inputs or {})[conf["input"]] if "input" in conf else readers.read_auto(spark, conf["path"])
-        elif kind == "transformer":
+        elif role == "extractor":
+            df = _extract(spark, conf, inputs or {})
+        elif role == "transformer":
             df = apply_operations(df, conf.get("operations", []))
             df = generic(df, conf.get("rules", []))
-        elif kind == "loader":
-            sinks.write_file(df, conf["destination"], conf.get("format", "json"))
-        elif kind == "validator":
-            df = validate.required_share(df, conf["required_fields"], conf.get("max_null_pct", 20.0))
+        elif role == "loader":
+            target = conf["destination"]
+            sinks.write_file(df, target, conf.get("format") or sinks.format_of(target))
+        elif role == "validator":
+            rules = conf.get("rules", conf)
+            df = validate.required_share(df, rules["required_fields"], rules.get("max_null_pct", 20.0))
         else:
-            raise ValueError(f"unknown stage type {kind!r}")
-        if metrics is not None and kind != "loader":
+            raise ValueError(f"unknown role {role!r}")
+        if metrics is not None and role != "loader":
             metrics[name] = Observation(name)
             df = df.observe(metrics[name], F.count(F.lit(1)).alias("records"))
     return df

@@ -44,6 +44,15 @@ def write_file(df: DataFrame, path: str, format: str = "parquet", mode: str = "o
     return seen.get["rows"]
 
 
+def format_of(path: str) -> str:
+    """Writer by suffix, json without one."""
+    low = path.lower().rstrip("/")
+    for ending, format in ((".csv", "csv"), (".parquet", "parquet"), (".orc", "orc"), (".txt", "text")):
+        if low.endswith(ending):
+            return format
+    return "json"
+
+
 def write_json(df: DataFrame, path: str) -> dict:
     return {"destination": path, "records_loaded": write_file(df, path, "json")}
 

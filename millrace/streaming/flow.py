@@ -29,11 +29,16 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int
 
 
 def envelope(df: DataFrame, source: str) -> DataFrame:
-    """data (JSON), timestamp, source and message id = source and microseconds."""
+    """data (JSON), timestamp, source and message id.
+
+    The id is source and microseconds; all rows of a batch share a time, so a
+    hash of the data tells them apart.
+    """
     now = F.current_timestamp()
+    data = F.to_json(F.struct(*df.columns))
     return df.select(
-        F.to_json(F.struct(*df.columns)).alias("data"), now.alias("timestamp"), F.lit(source).alias("source"),
-        F.concat(F.lit(source + "_"), F.unix_micros(now)).alias("message_id"))
+        data.alias("data"), now.alias("timestamp"), F.lit(source).alias("source"),
+        F.concat_ws("_", F.lit(source), F.unix_micros(now), F.hex(F.xxhash64(data))).alias("message_id"))
 
 
 def write(df: DataFrame, path: str, checkpoint: str, format: str = "parquet", mode: str = "append",

@@ -209,3 +209,27 @@ def test_decay(spark):
     df = spark.createDataFrame([(10, now), (10, now - dt.timedelta(days=10)), (1, now - dt.timedelta(days=10))], "v int, at timestamp")
     got = [r[0] for r in df.select(vectors.decayed_importance(F.col("v"), F.col("at"), F.lit(now))).collect()]
     assert got == [10, 8, 1]
+
+
+def test_yaml_with_roles(spark):
+    out = scratch_path(spark, "out") + ".json"
+    text = f"""
+pipeline:
+  name: people
+  stages:
+    - name: get
+      role: extractor
+      source: |
+        id,name
+        1, Ann
+        1, Ann
+        2,
+    - name: shape
+      role: transformer
+      operations: [normalize, deduplicate, drop_nulls]
+    - name: save
+      role: loader
+      destination: {out}
+"""
+    chain.run(spark, text)
+    assert [r["name"] for r in spark.read.json(out).collect()] == ["Ann"]
