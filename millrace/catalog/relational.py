@@ -247,11 +247,11 @@ def status():
 
 @query("agg14_activity_summary", f"""
 SELECT user_id, count(*) AS total_activities, count(*) FILTER ({_STATUS} = 'completed') AS completed,
- count(*) FILTER ({_STATUS} = 'failed') AS failed, round(avg(value), 6) AS avg_duration,
+ count(*) FILTER ({_STATUS} = 'failed') AS failed, round(avg(value) + 1e-9, 6) AS avg_duration,
  min(ts) AS first_activity, max(ts) AS last_activity FROM events GROUP BY user_id""")
 def _(t):
     out = A.activity_summary(t.events, "user_id", status(), "value", "ts")
-    return out.withColumn("avg_duration", F.round("avg_duration", 6))
+    return out.withColumn("avg_duration", F.round(F.col("avg_duration") + 1e-9, 6))
 
 
 _RUNS = """(SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed'
@@ -389,21 +389,21 @@ def _(t):
 
 
 @query("win05_trailing_points", """
-SELECT event_id, round(avg(value) OVER w, 6) AS trail_avg, count(value) OVER w AS trail_n FROM events
+SELECT event_id, round(avg(value) OVER w + 1e-9, 6) AS trail_avg, count(value) OVER w AS trail_n FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def _(t):
     df = t.events.select("event_id", "event_type", "ts", "value")
     return O.trailing_points(df, ["event_type"], ["ts", "event_id"], "value", 20).select(
-        "event_id", F.round("trail_avg", 6).alias("trail_avg"), "trail_n")
+        "event_id", F.round(F.col("trail_avg") + 1e-9, 6).alias("trail_avg"), "trail_n")
 
 
 @query("win05_trailing_seconds", """
-SELECT event_id, round(avg(value) OVER w, 6) AS trail_avg, count(value) OVER w AS trail_n FROM events
+SELECT event_id, round(avg(value) OVER w + 1e-9, 6) AS trail_avg, count(value) OVER w AS trail_n FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)""")
 def _(t):
     df = t.events.select("event_id", "event_type", "ts", "value")
     return O.trailing_seconds(df, ["event_type"], "ts", "event_id", "value", 3600).select(
-        "event_id", F.round("trail_avg", 6).alias("trail_avg"), "trail_n")
+        "event_id", F.round(F.col("trail_avg") + 1e-9, 6).alias("trail_avg"), "trail_n")
 
 
 @query("win06_average_rank", """

@@ -83,11 +83,11 @@ WINDOWED = """(SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS w, avg(v
 
 
 @query("tsa07_window_avg_alerts", f"""
-SELECT event_type, w AS window_start, round(a, 6) AS avg_value, CASE event_type WHEN 'click' THEN 'busy' WHEN 'view' THEN 'idle' ELSE 'off' END AS rule
+SELECT event_type, w AS window_start, round(a + 1e-9, 6) AS avg_value, CASE event_type WHEN 'click' THEN 'busy' WHEN 'view' THEN 'idle' ELSE 'off' END AS rule
 FROM {WINDOWED} WHERE (event_type = 'click' AND a > 20) OR (event_type = 'view' AND a < 2) OR (event_type = 'error' AND abs(a - 10) >= 0.001)""")
 def _(t):
     out = T.window_avg_alerts(ev(t), "event_type", "ts", "value", AVG_RULES)
-    return rounded(out, "avg_value").select("event_type", "window_start", "avg_value", "rule")
+    return rounded(out, "avg_value", nudge=1e-9).select("event_type", "window_start", "avg_value", "rule")
 
 
 @query("tsa08_duration_alerts", """
@@ -200,10 +200,10 @@ def _(t):
 
 
 @query("tsa19_sla_average", """
-SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS period_start, count(*) AS points, round(avg(value), 6) AS actual, avg(value) >= 12 AS compliant
+SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS period_start, count(*) AS points, round(avg(value) + 1e-9, 6) AS actual, avg(value) >= 12 AS compliant
 FROM events GROUP BY 1, 2""")
 def _(t):
-    return rounded(T.sla_average(ev(t), "availability", "event_type", "ts", "value", 12.0, "1 day"), "actual")
+    return rounded(T.sla_average(ev(t), "availability", "event_type", "ts", "value", 12.0, "1 day"), "actual", nudge=1e-9)
 
 
 EMA_SQL = f"""(SELECT user_id, event_id, ts, value, event_type, row_number() OVER w AS c,
@@ -264,9 +264,9 @@ def season(v):
 SEASON = season("value")
 
 
-@query("tsa24_seasonal_model", f"SELECT event_type, hour, round(hm, 6) AS hour_mean, round(strength, 6) AS strength FROM {SEASON}")
+@query("tsa24_seasonal_model", f"SELECT event_type, hour, round(hm + 1e-9, 6) AS hour_mean, round(strength, 6) AS strength FROM {SEASON}")
 def _(t):
-    return rounded(T.seasonal_model(ev(t), "event_type", "ts", "value"), "hour_mean", "strength")
+    return rounded(rounded(T.seasonal_model(ev(t), "event_type", "ts", "value"), "strength"), "hour_mean", nudge=1e-9)
 
 
 _LATEST = "(SELECT event_type, arg_max(value, ts) AS l, max(ts) AS lts FROM events GROUP BY event_type)"
@@ -352,10 +352,10 @@ def _(t):
 
 @query("tsa32_seasonal_step_up", """
 WITH h AS (SELECT event_type, CAST(hour(ts) AS INTEGER) AS hour, avg(value) AS m FROM events GROUP BY 1, 2)
-SELECT a.event_type, a.hour, round(a.m, 6) AS hour_mean, round(b.m, 6) AS next_mean, b.m > a.m * 1.3 AS step_up, round(b.m * 0.8, 6) AS target
+SELECT a.event_type, a.hour, round(a.m + 1e-9, 6) AS hour_mean, round(b.m + 1e-9, 6) AS next_mean, b.m > a.m * 1.3 AS step_up, round(b.m * 0.8 + 1e-9, 6) AS target
 FROM h a JOIN h b ON a.event_type = b.event_type AND b.hour = (a.hour + 1) % 24""")
 def _(t):
-    return rounded(T.seasonal_step_up(ev(t), "event_type", "ts", "value"), "hour_mean", "next_mean", "target")
+    return rounded(T.seasonal_step_up(ev(t), "event_type", "ts", "value"), "hour_mean", "next_mean", "target", nudge=1e-9)
 
 
 @query("tsa33_autocorrelation", """

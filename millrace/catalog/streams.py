@@ -67,11 +67,11 @@ def _(t):
 
 @query("str08_stream_alerts", f"""
 WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events)
-SELECT event_type, w.w AS window_start, round(a, 6) AS avg_value, CASE event_type WHEN 'click' THEN 'busy' WHEN 'view' THEN 'idle' ELSE 'off' END AS rule
+SELECT event_type, w.w AS window_start, round(a + 1e-9, 6) AS avg_value, CASE event_type WHEN 'click' THEN 'busy' WHEN 'view' THEN 'idle' ELSE 'off' END AS rule
 FROM {WINDOWED} w, m WHERE ((event_type = 'click' AND a > 20) OR (event_type = 'view' AND a < 2) OR (event_type = 'error' AND abs(a - 10) >= 0.001)) AND w.w + INTERVAL 5 MINUTE <= m.w""")
 def _(t):
     out = flow.drain(windows.window_alerts(windows.late(stream(t)), "event_type", "ts", "value", AVG_RULES))
-    return rounded(out, "avg_value").select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "avg_value", "rule")
+    return rounded(out, "avg_value", nudge=1e-9).select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "avg_value", "rule")
 
 
 @query("str09_stream_ema", f"""
@@ -105,20 +105,20 @@ def _(t):
     return flow.drain(flow.buffered_map(stream(t).select("event_id", "value"), twice, "event_id long, doubled double"))
 
 
-TUMBLE = """(SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2)"""
+TUMBLE = """(SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total, round(avg(value) + 1e-9, 6) AS mean FROM events GROUP BY 1, 2)"""
 
 
 @query("str14_tumbling", f"SELECT * FROM {TUMBLE}")
 def _(t):
     out = windows.tumbling(t.events, "event_type", "ts", "value").drop("window_end")
-    return rounded(rounded(out, "mean"), "total", digits=4)
+    return rounded(rounded(out, "mean", nudge=1e-9), "total", digits=4)
 
 
 @query("str14_tumbling_stream", f"SELECT * FROM {TUMBLE} WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def _(t):
     out = flow.drain(windows.tumbling(windows.late(stream(t)), "event_type", "ts", "value")).drop("window_end")
     out = out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    return rounded(rounded(out, "mean"), "total", digits=4)
+    return rounded(rounded(out, "mean", nudge=1e-9), "total", digits=4)
 
 
 @query("str15_sliding", """
