@@ -28,15 +28,16 @@ def ranged(df: DataFrame, keys: Cols, order: Cols, inside: bool = False) -> Data
     """Rows in range partitions by ``(keys, order)``, numbered in ``_part``; sorted
     within each partition when ``inside`` is set.
 
-    ``_key`` is the key as a struct, so that a null key is an ordinary group.
-    The result is checkpointed: boundaries come from a sample and must be the
-    same for every later branch.
+    ``_key`` is the key as a struct, so that a null key is an ordinary group in
+    joins. The result is checkpointed: boundaries come from a sample and must be
+    the same for every later branch.
     """
-    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
-    spread = df.withColumn("_key", key).repartitionByRange("_key", *order)
+    spread = df.repartitionByRange(*keys, *order)
     if inside:
-        spread = spread.sortWithinPartitions("_key", *order)
-    return settle(spread.withColumn("_part", F.spark_partition_id()))
+        spread = spread.sortWithinPartitions(*keys, *order)
+    kept = settle(spread.withColumn("_part", F.spark_partition_id()))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    return kept.withColumn("_key", key)
 
 
 def running(
@@ -55,7 +56,7 @@ def running(
     rows = ranged(df, keys, order)
     # Part i goes to task i: hashing the few part numbers would pile some up.
     placed = rows.repartitionById(max(1, rows.rdd.getNumPartitions()), "_part")
-    group = W.partitionBy("_part", "_key")
+    group = W.partitionBy("_part", *keys)
     inside = group.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = placed.select(
         "*",
