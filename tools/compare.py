@@ -1,6 +1,6 @@
 """Run registered queries on Spark and their SQL in DuckDB and compare the rows.
 
-usage: python tools/compare.py [--sf 0.01] [pattern ...]
+usage: python tools/compare.py [--sf 0.01] [--merge] [pattern ...]
 """
 
 from __future__ import annotations
@@ -77,11 +77,12 @@ def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("--cpus", default="8")
+    ap.add_argument("--merge", action="store_true", help="let AQE merge small partitions (off: helpers see several)")
     ap.add_argument("patterns", nargs="*")
     a = ap.parse_args()
     folder = f"/root/testdata/sf{a.sf}"
     spark = get_session("compare", f"local[{a.cpus}]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": str(a.merge).lower(), "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.sql("set timezone='UTC'")
