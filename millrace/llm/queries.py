@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from . import native_queries  # noqa: F401
+from . import corpus_queries, model_queries, native_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

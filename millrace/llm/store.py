@@ -72,7 +72,7 @@ class Appender:
         self.uri = f"{folder}/{uuid.uuid4().hex}{suffix}"
         system, path = file_system(self.uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out, self.size = system.open_output_stream(path), 0
+        self.out, self.size = system.open_output_stream(path, compression=None), 0
 
     def write(self, data: bytes) -> int:
         """Append; returns the offset of the first byte."""
