@@ -78,15 +78,18 @@ def mix(docs: DataFrame, seed: int = 7, weights: Sequence[float] = WEIGHTS, epoc
         "_whole": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0),
     }).withColumn("_extra", F.col("target") - F.col("_whole") * F.col("source_size"))
     before = W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    state = bins.withColumn("_before", F.coalesce(F.sum("_part").over(before), F.lit(0))).join(
-        plan, bins["source"].eqNullSafe(plan["source"])).select(
-        bins["source"].alias("_source"), F.col("_bin").alias("_b"), "_part", "_before", "source_size", "target", "_whole", "_extra")
-    cut = (F.col("_before") <= F.col("_extra")) & (F.col("_extra") < F.col("_before") + F.col("_part"))
-    placed = rows.join(kept(state.withColumn("_cut", cut), "mix-state"), rows["source"].eqNullSafe(F.col("_source")) & (F.col("_bin") == F.col("_b")), "left")
-    inside = W.partitionBy("source", "_bin").orderBy("_u", F.col("id"), "size").rowsBetween(W.unboundedPreceding, -1)
-    fine = placed.filter("_cut").withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rest = placed.filter("NOT _cut").withColumn("_ahead", F.col("_before"))
-    more = F.when(F.col("_cut"), F.col("_ahead") + F.col("size") / 2 <= F.col("_extra")).otherwise(F.col("_before") + F.col("_part") <= F.col("_extra"))
-    both = fine.unionByName(rest)
-    reps = F.when(F.col("size") == 0, 0).otherwise(F.col("_whole") + more.cast("long")).cast("long")
-    return both.withColumn("reps", F.least(reps, F.lit(int(epochs)).cast("long"))).select(*docs.columns, "source_size", "target", "reps")
+    ahead = bins.withColumn("_before", F.coalesce(F.sum("_part").over(before), F.lit(0)))
+    # The bin in which a source meets its target; all before it are taken, none after it.
+    cut = ahead.join(plan, ahead["source"].eqNullSafe(plan["source"])).filter(
+        (F.col("_before") <= F.col("_extra")) & (F.col("_extra") < F.col("_before") + F.col("_part"))).select(
+        ahead["source"].alias("_source"), F.col("_bin").alias("_cut"), "_before")
+    state = kept(plan.join(cut, plan["source"].eqNullSafe(F.col("_source")), "left").select(
+        plan["source"].alias("_source"), "source_size", "target", "_whole", "_extra", "_cut", "_before"), "mix-state")
+    placed = rows.join(state, rows["source"].eqNullSafe(F.col("_source")), "left")
+    at_cut = F.coalesce(F.col("_bin") == F.col("_cut"), F.lit(False))
+    inside = W.partitionBy("source", "_bin").orderBy("_u", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    fine = placed.filter(at_cut).withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    fine = fine.withColumn("_more", F.col("_ahead") + F.col("size") / 2 <= F.col("_extra")).drop("_ahead")
+    rest = placed.filter(~at_cut).withColumn("_more", F.coalesce(F.col("_bin") < F.col("_cut"), F.lit(False)))
+    reps = F.when(F.col("size") == 0, 0).otherwise(F.col("_whole") + F.col("_more").cast("long"))
+    return fine.unionByName(rest).withColumn("reps", F.least(reps, F.lit(int(epochs))).cast("long")).select(*docs.columns, "source_size", "target", "reps")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path, shared_folder
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to a new table in the shared folder and go on from its files.
 
     Cuts the lineage; a lost executor costs a re-read, not a re-run. Shuffle
@@ -23,7 +23,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     shared_folder(spark)
     path = scratch_path(spark, name)
     with short_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

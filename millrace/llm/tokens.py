@@ -221,7 +221,7 @@ def tokenized(df: DataFrame, id_col: str, text: str, tokenizer: str, end_id: int
                 pa.array([counts.tobytes()], pa.binary()), pa.array([full.tobytes()], pa.binary())],
                 ["part", "block", "n_docs", "n_ids", "doc_ids", "counts", "ids"])
 
-    return kept(rows.mapInArrow(blocks, schema), "token-blocks")
+    return kept(rows.mapInArrow(blocks, schema), "token-blocks", "zstd")
 
 
 def ranking(blocks: DataFrame, size: int) -> np.ndarray:
