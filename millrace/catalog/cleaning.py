@@ -141,10 +141,13 @@ def _(t):
     return P.line_sample(t.spark, path, 200, seed=2)
 
 
-@query("smp07_multi_file")
+@query("smp07_multi_file", "SELECT 2 AS files, 20 AS least, 20 AS most")
 def _(t):
-    files = t.spark.read.parquet(t.path("customer"), t.path("customer"))
-    return P.multi_file(files, 40, 1).select("file_path", "c_custkey")
+    folder = scratch_path(t.spark, "two")
+    for part in (0, 1):
+        t.customer.filter(F.col("c_custkey") % 2 == part).coalesce(1).write.mode("append").parquet(folder)
+    counts = P.multi_file(t.spark.read.parquet(folder), 40, 2).groupBy("file_path").agg(F.count_distinct("c_custkey").alias("n"))
+    return counts.agg(F.count("*").alias("files"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 @query("smp08_percentage")
@@ -221,7 +224,9 @@ def _(t):
     return N.label_encode(t.part.select("p_partkey", "p_type"), "p_type", "label").select("p_partkey", "label")
 
 
-@query("nrm07_one_hot")
+@query("nrm07_one_hot", """
+WITH r AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS r, count(*) OVER () AS k FROM part GROUP BY p_type)
+SELECT p_partkey, list_transform(range(0, k - 1), lambda i: CASE WHEN i = r THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hot FROM part JOIN r USING (p_type)""")
 def _(t):
     from pyspark.ml.functions import vector_to_array
 
@@ -229,9 +234,10 @@ def _(t):
     return out.select("p_partkey", vector_to_array("hot").alias("hot"))
 
 
-@query("nrm07_tfidf")
+@query("nrm07_tfidf", r"""
+WITH w AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(trim(p_name)), '\s+')) AS term FROM part),
+c AS (SELECT p_partkey, term, count(*) AS tf FROM w WHERE term <> '' GROUP BY ALL)
+SELECT p_partkey, term, round(tf * ln(((SELECT count(*) FROM part) + 1) / (count(*) OVER (PARTITION BY term) + 1)), 8) AS weight FROM c""")
 def _(t):
-    from pyspark.ml.functions import vector_to_array
-
-    out = N.tfidf(t.part.select("p_partkey", "p_name"), "p_name", "weights", 64)
-    return out.select("p_partkey", vector_to_array("weights").alias("weights"))
+    out = N.tfidf(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", "weight")
+    return out.withColumn("weight", F.round("weight", 8))

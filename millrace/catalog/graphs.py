@@ -104,6 +104,16 @@ def _(t):
     return L.find_cycles(edges(t).unionByName(back)).select(F.array_join("cycle", ">").alias("cycle"))
 
 
+@query("lin08_long_cycle", """
+SELECT string_agg(printf('n%02d', n_nationkey), '>' ORDER BY n_nationkey) AS cycle, true AS complete FROM nation WHERE n_nationkey < 14""")
+def _(t):
+    """A ring of fourteen nations, and the other nations behind each other as a tail of it."""
+    name = lambda k: F.format_string("n%02d", k)
+    k = F.col("n_nationkey").cast("int")
+    ring = t.nation.select(name(k).alias("src"), name(F.when(k == 13, 0).otherwise(k + 1).cast("int")).alias("dst"))
+    return L.find_cycles(ring).select(F.array_join("cycle", ">").alias("cycle"), "complete")
+
+
 @query("lin09_opportunities", f"""
 SELECT asset, 'caching' AS type, 'high' AS priority FROM {CRIT} WHERE down > 15
 UNION ALL SELECT asset, 'quality_improvement', 'critical' FROM {CRIT} WHERE q < 0.7 AND c > 0.6""")

@@ -3,7 +3,6 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..operators import aggregate as A
 from ..operators import enrich as E
@@ -112,27 +111,30 @@ def _(t):
     return J.key_intersection(t.lineitem, "l_suppkey", "l_returnflag")
 
 
-_SIDES = """(SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_totalprice > 450000) l"""
+# A third of the keys on either side meet nothing on the other.
+_SIDES = """(SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS k, o_orderkey FROM orders) l"""
+_OTHER = """(SELECT CASE WHEN c_custkey % 3 = 1 THEN c_custkey + 10000000 ELSE c_custkey END AS k, c_name FROM customer) r"""
 for _kind, _sql in {
-    "inner": f"SELECT l.k, o_orderkey, c_name FROM {_SIDES} JOIN (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 0) r ON l.k = r.k",
-    "left": f"SELECT l.k, o_orderkey, c_name FROM {_SIDES} LEFT JOIN (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 0) r ON l.k = r.k",
-    "right": f"SELECT r.k, o_orderkey, c_name FROM {_SIDES} RIGHT JOIN (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 0) r ON l.k = r.k",
-    "full": f"SELECT coalesce(l.k, r.k) AS k, o_orderkey, c_name FROM {_SIDES} FULL JOIN (SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 0) r ON l.k = r.k",
-    "left_semi": f"SELECT l.k, o_orderkey FROM {_SIDES} SEMI JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) r ON l.k = r.k",
-    "left_anti": f"SELECT l.k, o_orderkey FROM {_SIDES} ANTI JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) r ON l.k = r.k",
+    "inner": f"SELECT l.k, o_orderkey, c_name FROM {_SIDES} JOIN {_OTHER} ON l.k = r.k",
+    "left": f"SELECT l.k, o_orderkey, c_name FROM {_SIDES} LEFT JOIN {_OTHER} ON l.k = r.k",
+    "right": f"SELECT r.k, o_orderkey, c_name FROM {_SIDES} RIGHT JOIN {_OTHER} ON l.k = r.k",
+    "full": f"SELECT coalesce(l.k, r.k) AS k, o_orderkey, c_name FROM {_SIDES} FULL JOIN {_OTHER} ON l.k = r.k",
+    "left_semi": f"SELECT l.k, o_orderkey FROM {_SIDES} SEMI JOIN {_OTHER} ON l.k = r.k",
+    "left_anti": f"SELECT l.k, o_orderkey FROM {_SIDES} ANTI JOIN {_OTHER} ON l.k = r.k",
 }.items():
 
     @query(f"joi04_{_kind}", _sql)
     def _(t, kind=_kind):
-        left = t.orders.filter("o_totalprice > 450000").select(F.col("o_custkey").alias("k"), "o_orderkey")
-        right = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), "c_name")
+        left = t.orders.selectExpr("CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS k", "o_orderkey")
+        right = t.customer.selectExpr("CASE WHEN c_custkey % 3 = 1 THEN c_custkey + 10000000 ELSE c_custkey END AS k", "c_name")
         return J.join(left, right, ["k"], kind)
 
 
 @query("joi05_referential_errors", """
-SELECT count(*) AS errors FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+SELECT count(*) AS errors FROM orders WHERE o_custkey NOT IN (SELECT CASE WHEN c_custkey % 4 = 0 THEN -c_custkey ELSE c_custkey END FROM customer)""")
 def _(t):
-    return J.referential_errors(t.orders, t.customer.filter("c_acctbal > 0"), "o_custkey", "c_custkey")
+    parents = t.customer.withColumn("c_custkey", F.when(F.col("c_custkey") % 4 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey")))
+    return J.referential_errors(t.orders, parents, "o_custkey", "c_custkey")
 
 
 @query("joi06_denormalize", """
@@ -361,8 +363,7 @@ SELECT c_custkey, c_mktsegment FROM customer
 QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR))) <= 20""")
 def _(t):
     keyed = t.customer.withColumn("h", F.md5(F.col("c_custkey").cast("string")))
-    w = W.partitionBy("c_mktsegment").orderBy("h")
-    return keyed.withColumn("rn", F.row_number().over(w)).filter("rn <= 20").select("c_custkey", "c_mktsegment")
+    return O.first_per_key(keyed, ["c_mktsegment"], ["h"], 20).select("c_custkey", "c_mktsegment")
 
 
 @query("win03_keep_last", """
@@ -406,6 +407,26 @@ def _(t):
         "event_id", F.round(F.col("trail_avg") + 1e-9, 6).alias("trail_avg"), "trail_n")
 
 
+@query("win05_trailing_seconds_tiny", """
+SELECT event_id, round(avg(value) OVER w + 1e-9, 6) AS trail_avg FROM events
+WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 600 SECOND PRECEDING AND CURRENT ROW)""")
+def _(t):
+    """Values of 1e-8 times the table's; the mean is scaled back for the comparison."""
+    df = t.events.select("event_id", "event_type", "ts", (F.col("value") * 1e-8).alias("value"))
+    out = O.trailing_seconds(df, ["event_type"], "ts", "event_id", "value", 600)
+    return out.select("event_id", F.round(F.col("trail_avg") * 1e8 + 1e-9, 6).alias("trail_avg"))
+
+
+@query("win05_trailing_seconds_large", """
+SELECT event_id, round(avg(value) OVER w + 1e-9, 6) AS trail_avg FROM events
+WINDOW w AS (PARTITION BY nullif(event_type, 'view') ORDER BY ts RANGE BETWEEN INTERVAL 600 SECOND PRECEDING AND CURRENT ROW)""")
+def _(t):
+    """Values of 1e12 times the table's, and one series without a name."""
+    df = t.events.select("event_id", F.nullif("event_type", F.lit("view")).alias("event_type"), "ts", (F.col("value") * 1e12).alias("value"))
+    out = O.trailing_seconds(df, ["event_type"], "ts", "event_id", "value", 600)
+    return out.select("event_id", F.round(F.col("trail_avg") / 1e12 + 1e-9, 6).alias("trail_avg"))
+
+
 @query("win06_average_rank", """
 SELECT l_extendedprice, count(*) AS n, avg(rn) AS avg_rank FROM
  (SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice) AS rn FROM lineitem) GROUP BY l_extendedprice""")
@@ -489,14 +510,13 @@ def _(t):
 
 
 @query("set02_intersect", """
-SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 48
-INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48""")
+SELECT l_suppkey, l_quantity, l_returnflag FROM lineitem INTERSECT SELECT l_suppkey, l_quantity, CASE l_returnflag WHEN 'A' THEN 'R' ELSE 'A' END FROM lineitem""")
 def _(t):
-    big = t.lineitem.filter("l_quantity > 48")
-    return big.filter("l_returnflag = 'A'").select("l_suppkey").intersect(big.filter("l_returnflag = 'R'").select("l_suppkey"))
+    other = t.lineitem.selectExpr("l_suppkey", "l_quantity", "CASE l_returnflag WHEN 'A' THEN 'R' ELSE 'A' END")
+    return t.lineitem.select("l_suppkey", "l_quantity", "l_returnflag").intersect(other)
 
 
 @query("set03_except", """
-SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders WHERE o_totalprice > 300000""")
+SELECT o_custkey FROM orders EXCEPT ALL SELECT c_custkey FROM customer""")
 def _(t):
-    return t.customer.select("c_custkey").exceptAll(t.orders.filter("o_totalprice > 300000").select("o_custkey"))
+    return t.orders.select("o_custkey").exceptAll(t.customer.select("c_custkey"))

@@ -178,6 +178,14 @@ def _(t):
     return rounded(T.baseline(ev(t), "event_type", "value"), "mean", "std", "median", "p95", "p99")
 
 
+@query("tsa16_baseline_null_series", """
+SELECT nullif(event_type, 'view') AS event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median
+FROM events GROUP BY 1 HAVING count(*) >= 100""")
+def _(t):
+    out = T.baseline(ev(t).withColumn("event_type", F.nullif("event_type", F.lit("view"))), "event_type", "value")
+    return rounded(out, "mean", "median").select("event_type", "n", "mean", "median")
+
+
 @query("tsa17_health_score", """
 WITH u AS (SELECT user_id, count(*) FILTER (event_type = 'error' AND value > 35) AS c, count(*) FILTER (event_type = 'error') AS e,
  count(*) FILTER (value > 45) AS b FROM events GROUP BY user_id),
@@ -219,6 +227,15 @@ def _(t):
     return rounded(out, "avg_duration", "success_rate", nudge=1e-9).select("event_id", "avg_duration", "success_rate", "sample_count", "degraded")
 
 
+@query("tsa20_ema_null_values", f"""
+SELECT event_id, round(m + 1e-9, 6) AS avg_duration, c AS sample_count FROM {EMA_SQL.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 5 <> 0) events")}""")
+def _(t):
+    """Every fifth value is null; those points are left out."""
+    df = ev(t).withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+    out = T.ema_baseline(df, "user_id", ORDER, "value", F.col("event_type") != "error")
+    return rounded(out, "avg_duration", nudge=1e-9).select("event_id", "avg_duration", "sample_count")
+
+
 @query("tsa21_ema_anomaly", f"""
 WITH a AS (SELECT *, CASE WHEN c = 1 THEN 0.0 ELSE 0.1 * ((value - m) / 0.9) * ((value - m) / 0.9) END AS d FROM {EMA_SQL}),
 v AS (SELECT *, list_reduce(list(d) OVER (PARTITION BY user_id {ORD} ROWS UNBOUNDED PRECEDING), lambda x, y: 0.9 * x + y) AS var FROM a),
@@ -490,10 +507,10 @@ def _(t):
 
 
 @query("tsa47_error_statistics", """
-SELECT user_id, NULL AS event_type, 1::TINYINT AS is_total, count(*) AS n, max(ts) AS last_error FROM events WHERE event_type IN ('error', 'click') GROUP BY user_id
-UNION ALL SELECT user_id, event_type, 0, count(*), max(ts) FROM events WHERE event_type IN ('error', 'click') GROUP BY user_id, event_type""")
+SELECT user_id, NULL AS event_type, 1::TINYINT AS is_total, count(*) AS n, max(ts) AS last_error FROM events GROUP BY user_id
+UNION ALL SELECT user_id, event_type, 0, count(*), max(ts) FROM events GROUP BY user_id, event_type""")
 def _(t):
-    return T.error_statistics(ev(t).filter(F.col("event_type").isin("error", "click")), "user_id", "event_type", "ts")
+    return T.error_statistics(ev(t), "user_id", "event_type", "ts")
 
 
 @query("tsa48_classify_failure", "SELECT doc_id, CASE " + " ".join(

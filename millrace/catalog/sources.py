@@ -371,7 +371,7 @@ def _(t):
         getattr(t, name).createOrReplaceTempView(name)
     return sqlsurface.query(t.spark, """
         SELECT r_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer
-        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""").rows
 
 
 @query("sql01_window_query", """
@@ -380,13 +380,13 @@ def _(t):
     t.orders.createOrReplaceTempView("orders")
     return sqlsurface.query(t.spark, """
         WITH ranked AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
-        SELECT o_custkey, o_orderkey, o_totalprice FROM ranked WHERE rn <= 2""", limit=10_000_000)
+        SELECT o_custkey, o_orderkey, o_totalprice FROM ranked WHERE rn <= 2 LIMIT ALL""").rows
 
 
-@query("sql01_truncated", "SELECT least(count(*), 500) AS row_count, 2 AS column_count, count(*) >= 500 AS truncated FROM customer")
+@query("sql01_truncated", "SELECT least(count(*), 500) AS row_count, 2 AS column_count, count(*) > 500 AS truncated FROM customer")
 def _(t):
     t.customer.createOrReplaceTempView("customer")
-    return sqlsurface.truncated(sqlsurface.query(t.spark, "SELECT c_custkey, c_name FROM customer", limit=500), 500)
+    return sqlsurface.query(t.spark, "SELECT c_custkey, c_name FROM customer", limit=500).truncated
 
 
 _LOG = ["SELECT * FROM t", "drop table x", "SELECT 1; DROP x", "select a union all select b from c", "EXEC sp_who", "update t set a = 1", "with x as (select 1) select * from x"]
@@ -432,15 +432,15 @@ def _(t):
 def _(t):
     t.orders.createOrReplaceTempView("orders")
     path = scratch_path(t.spark, "export")
-    sinks.write_file(sqlsurface.query(t.spark, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"), path, "parquet")
+    sinks.write_file(sqlsurface.query(t.spark, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus").rows, path, "parquet")
     return t.spark.read.parquet(path)
 
 
 @query("sql08_bind_parameters", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice BETWEEN 1000 AND 90000")
 def _(t):
     t.orders.createOrReplaceTempView("orders")
-    return sqlsurface.query(t.spark, "SELECT o_orderkey FROM orders WHERE o_orderstatus = :s AND o_totalprice BETWEEN :a AND :b",
-                            limit=10_000_000, parameters={"s": "P", "a": 1000, "b": 90000})
+    return sqlsurface.query(t.spark, "SELECT o_orderkey FROM orders WHERE o_orderstatus = :s AND o_totalprice BETWEEN :a AND :b LIMIT ALL",
+                            parameters={"s": "P", "a": 1000, "b": 90000}).rows
 
 
 SPEC = """

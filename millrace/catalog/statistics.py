@@ -135,7 +135,21 @@ def _(t):
 WITH m AS (SELECT l_returnflag AS g, median(l_extendedprice) AS m FROM lineitem GROUP BY 1)
 SELECT a.g AS group_a, b.g AS group_b, round(a.m / b.m, 6) AS ratio FROM m a, m b""")
 def _(t):
-    return rounded(S.ratio_matrix(t.lineitem, "l_returnflag", "l_extendedprice"), "ratio")
+    return rounded(S.ratio_matrix(t.lineitem, "l_returnflag", "l_extendedprice", ["A", "N", "R"]), "ratio")
+
+
+@query("sta13_ratio_to_base", """
+WITH m AS (SELECT l_suppkey, median(l_extendedprice) AS m FROM lineitem GROUP BY 1)
+SELECT l_suppkey, round(m, 4) AS median, round(m / (SELECT m FROM m WHERE l_suppkey = 1), 6) AS ratio FROM m""")
+def _(t):
+    return rounded(rounded(S.ratio_to(t.lineitem, "l_suppkey", "l_extendedprice", 1), "median", digits=4), "ratio")
+
+
+@query("sta01_describe_null_group", """
+SELECT nullif(l_returnflag, 'N') AS flag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY 1""")
+def _(t):
+    out = S.describe_groups(t.lineitem.withColumn("flag", F.nullif("l_returnflag", F.lit("N"))), "flag", "l_extendedprice")
+    return rounded(out, "mean", "median", digits=4).select("flag", "n", "mean", "median")
 
 
 # Every text once as it is, and secrets of the kinds the texts do not hold, spread by key.
@@ -364,6 +378,17 @@ def _(t):
     return rounded(P.mutual_information(df, "g", "o_orderstatus", "o_orderpriority"), "mutual_information", digits=8)
 
 
+@query("prv21_mutual_information_nulls", """
+WITH o AS (SELECT nullif(o_orderstatus, 'F') AS a, nullif(o_orderpriority, '5-LOW') AS b, nullif(year(o_orderdate), 1995) AS g FROM orders),
+j AS (SELECT g, a, b, count(*)::DOUBLE AS n FROM o GROUP BY 1, 2, 3),
+m AS (SELECT *, sum(n) OVER (PARTITION BY g) AS t, sum(n) OVER (PARTITION BY g, a) AS na, sum(n) OVER (PARTITION BY g, b) AS nb FROM j)
+SELECT round(avg(mi), 8) AS mutual_information FROM (SELECT g, sum(n / t * ln(n * t / (na * nb))) AS mi FROM m GROUP BY g)""")
+def _(t):
+    df = t.orders.select(F.nullif("o_orderstatus", F.lit("F")).alias("a"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("b"),
+                         F.nullif(F.year("o_orderdate"), F.lit(1995)).alias("g"))
+    return rounded(P.mutual_information(df, "g", "a", "b"), "mutual_information", digits=8)
+
+
 @query("prv22_participant_anomalies", """
 WITH u AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT *, avg(v) OVER (PARTITION BY event_type) AS m FROM u),
 s AS (SELECT *, avg(abs(v - m)) OVER (PARTITION BY event_type) * sqrt(pi() / 2) AS s FROM m)

@@ -41,9 +41,11 @@ def _(t):
 
 @query("str04_backpressure", "SELECT count(*) AS processed, 0::BIGINT AS dropped, 0::BIGINT AS errors FROM events")
 def _(t):
+    counter = flow.Counter(t.spark)
     q = flow.write(stream(t), scratch_path(t.spark, "out"), scratch_path(t.spark, "c"))
     q.awaitTermination()
-    m = flow.metrics(q)
+    m = counter.of(q)
+    counter.stop()
     return t.spark.createDataFrame([(m["processed"], m["dropped"], m["errors"])], "processed long, dropped long, errors long")
 
 
@@ -52,11 +54,23 @@ def _(t):
     return flow.drain(stream(t).select("event_id", "value"))
 
 
-@query("str06_stream_metrics")
-def _(t):
-    q = flow.write(stream(t), scratch_path(t.spark, "out"), scratch_path(t.spark, "c"))
-    q.awaitTermination()
-    m = flow.metrics(q)
+@query("str06_stream_metrics", """
+SELECT unnest(['batches', 'processed', 'dropped', 'errors']) AS metric, unnest([6, count(*), 0, 0])::BIGINT AS value FROM events""")
+def _(t):
+    """Six batches, more than the two reports that the session keeps meanwhile."""
+    key = "spark.sql.streaming.numRecentProgressUpdates"
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, "2")
+    counter = flow.Counter(t.spark)
+    try:
+        folder = scratch_path(t.spark, "split")
+        t.events.repartition(6).write.parquet(folder)
+        q = flow.write(flow.file_stream(t.spark, folder, t.events.schema, max_files=1), scratch_path(t.spark, "out"), scratch_path(t.spark, "c"))
+        q.awaitTermination()
+        m = counter.of(q)
+    finally:
+        counter.stop()
+        t.spark.conf.set(key, before)
     return t.spark.createDataFrame([(k, int(v)) for k, v in m.items()], "metric string, value long")
 
 

@@ -176,20 +176,27 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return core
 
 
-def find_cycles(edges: DataFrame, depth: int = 10) -> DataFrame:
-    """Simple cycles of up to ``depth`` assets, each listed once from its smallest asset."""
+def find_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """Simple cycles, each listed once from its smallest asset, with ``complete``.
+
+    Paths are followed until none is left. ``depth`` bounds the assets of a
+    cycle; ``complete`` is then false if longer paths were left.
+    """
     core = cyclic_core(edges)
     paths = settle(core.filter("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")))
     found = [paths.filter("start = last").select(F.array("start").alias("cycle"))]
     paths = paths.filter("start <> last")
-    for _ in range(depth - 1):
+    done, steps = False, 1
+    while depth is None or steps < depth:
+        steps += 1
         ahead = paths.join(core, paths["last"] == core["src"]).filter(F.col("dst") >= F.col("start"))
         found.append(ahead.filter("dst = start").select(F.col("path").alias("cycle")))
         paths = settle(ahead.filter(~F.array_contains("path", F.col("dst"))).select(
             "start", F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path")))
-        if paths.isEmpty():
+        done = paths.isEmpty()
+        if done:
             break
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found).withColumn("complete", F.lit(done or paths.isEmpty()))
 
 
 def opportunities(rows: DataFrame) -> DataFrame:

@@ -87,9 +87,14 @@ def one_hot_encode(df: DataFrame, column: str, target: str) -> DataFrame:
     return OneHotEncoder(inputCol=f"_{target}", outputCol=target).fit(indexed).transform(indexed).drop(f"_{target}")
 
 
-def tfidf(df: DataFrame, column: str, target: str, features: int = 1 << 18) -> DataFrame:
-    from pyspark.ml.feature import IDF, HashingTF, Tokenizer
+def tfidf(df: DataFrame, row_id: str, column: str, target: str) -> DataFrame:
+    """(row_id, term, target): count of the term in the text times ln((rows + 1) / (rows with it + 1)).
 
-    words = Tokenizer(inputCol=column, outputCol="_words").transform(df)
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features).transform(words)
-    return IDF(inputCol="_tf", outputCol=target).fit(counted).transform(counted).drop("_words", "_tf")
+    Terms are the words of the lower-cased text, exactly: one row per text and term.
+    """
+    terms = df.select(row_id, F.explode(F.split(F.lower(F.trim(F.col(column))), r"\s+")).alias("term")).filter("term <> ''")
+    counts = terms.groupBy(row_id, "term").agg(F.count("*").alias("_tf"))
+    spread = counts.groupBy("term").agg(F.count("*").alias("_df"))
+    total = df.agg(F.count("*").alias("n")).scalar()
+    weight = F.col("_tf") * F.log((total + 1) / (F.col("_df") + 1))
+    return counts.join(spread, "term").select(row_id, "term", weight.alias(target))

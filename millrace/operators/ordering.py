@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranged import ranked_values, row_index, running, trailing_sums, windowed_rows
+from ..plans.ranged import first_rows, ranked_values, row_index, running, trailing_sums, windowed_rows
 from .joins import last_points
 
 
@@ -19,6 +19,11 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
     return last_points(df, keys, order, n).drop("rn")
 
 
+def first_per_key(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each key."""
+    return first_rows(df, keys, order, n, "_rn").drop("_rn")
+
+
 def reversals(df: DataFrame, keys: list[str], order: list[str], direction: str, seconds: int = 1800) -> DataFrame:
     """Rows whose next row of the key differs in direction within ``seconds``."""
     ts = order[0]

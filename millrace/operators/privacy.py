@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..plans.ranged import quantiles
 from .measures import text_columns
+from ..plans.keys import join_by_key
 from .ordering import trailing_seconds
 
 
@@ -222,13 +223,13 @@ def mutual_information(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """Mean over the participants of Σ p·ln(p / (px·py)), from joint counts.
 
     Marginals are sums of the joint counts, so the rows are read once and only
-    distinct pairs are joined.
+    distinct pairs are joined. A null is a value like any other.
     """
     joint = df.groupBy(group, a, b).agg(F.count("*").alias("n"))
     left = joint.groupBy(group, a).agg(F.sum("n").alias("na"))
     right = joint.groupBy(group, b).agg(F.sum("n").alias("nb"))
     total = joint.groupBy(group).agg(F.sum("n").alias("t"))
-    rows = joint.join(left, [group, a]).join(right, [group, b]).join(total, group)
+    rows = join_by_key(join_by_key(join_by_key(joint, left, [group, a]), right, [group, b]), total, group)
     p = F.col("n") / F.col("t")
     term = p * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))
     return rows.groupBy(group).agg(F.sum(term).alias("mi")).agg(F.avg("mi").alias("mutual_information"))
@@ -238,10 +239,10 @@ def participant_anomalies(df: DataFrame, group: str, metric: str, value: str, th
     """Participants whose mean is far out: |v − mean| over the scaled mean deviation."""
     means = df.groupBy(metric, group).agg(F.avg(value).alias("v"))
     center = means.groupBy(metric).agg(F.avg("v").alias("m"), F.count("*").alias("k"))
-    off = means.join(center.filter("k >= 2"), metric)
+    off = join_by_key(means, center.filter("k >= 2"), metric)
     spread = off.groupBy(metric).agg((F.avg(F.abs(F.col("v") - F.col("m"))) * math.sqrt(math.pi / 2)).alias("s"))
     z = F.abs(F.col("v") - F.col("m")) / F.greatest(F.col("s"), F.lit(1e-8))
-    return off.join(spread, metric).filter(z > threshold).select(metric, group, F.col("v").alias("value"), z.alias("z_score"))
+    return join_by_key(off, spread, metric).filter(z > threshold).select(metric, group, F.col("v").alias("value"), z.alias("z_score"))
 
 
 _KEYS = "|".join(P.SENSITIVE_KEYS)

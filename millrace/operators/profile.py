@@ -438,12 +438,10 @@ def shape_flags(df: DataFrame) -> DataFrame:
     kinds = len({f.dataType.typeName() for f in df.schema.fields})
     complexity = 1 + min(3, len(df.columns) // 5) + 2 * len(nested) + kinds
     flat = [c for c in df.columns if c not in nested]
-    high = F.lit(False)
-    for c in flat:
-        high = high | (F.approx_count_distinct(c) > 50)
-    return df.agg(
+    values = long_form(df, flat, "string").distinct().groupBy("column").agg(F.count("value").alias("n"))
+    return values.agg(
         F.lit(temporal).alias("temporal"), F.lit(bool(nested)).alias("nested"),
-        high.alias("high_cardinality"), F.lit(complexity).alias("complexity"))
+        F.coalesce(F.max("n") > 50, F.lit(False)).alias("high_cardinality"), F.lit(complexity).alias("complexity"))
 
 
 def field_statistics(df: DataFrame) -> DataFrame:

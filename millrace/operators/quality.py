@@ -147,12 +147,16 @@ def field_profile(df: DataFrame) -> DataFrame:
     return rows.withColumn("completeness", 1 - F.col("null_count") / F.col("total_count"))
 
 
-def trend(history: DataFrame, key: str, ts: str, value: str, since=None) -> DataFrame:
-    """Average, first, last and direction of the scores per dataset."""
+def trend(history: DataFrame, key: str, ts: str, value: str, since=None, tie: str | None = None) -> DataFrame:
+    """Average, first, last and direction of the scores per dataset.
+
+    Rows of one time are ordered by ``tie`` (by the value itself if none is given).
+    """
+    at = F.struct(ts, tie or value)
     rows = history if since is None else history.filter(F.col(ts) >= since)
     out = rows.groupBy(key).agg(
         F.count("*").alias("measurements"), F.avg(value).alias("average"),
-        F.min_by(value, ts).alias("first"), F.max_by(value, ts).alias("last"))
+        F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))
     return out.withColumn(
         "direction", F.when(F.col("last") > F.col("first"), "improving").when(
             F.col("last") < F.col("first"), "declining").otherwise("stable"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.keys import join_by_key
 from ..plans.ranged import quantiles, running
 
 
@@ -22,7 +23,7 @@ def describe_groups(df: DataFrame, group: str, value: str) -> DataFrame:
         F.min(value).alias("min"), F.max(value).alias("max"),
         F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"))
     q = quantiles(df.select(group, value), [group], value, {"median": 0.5, "q25": 0.25, "q75": 0.75})
-    return m.join(q, group).withColumn("iqr", F.col("q75") - F.col("q25"))
+    return join_by_key(m, q, group).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def ranked_groups(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -239,14 +240,18 @@ def rank_by_median(df: DataFrame, group: str, value: str) -> DataFrame:
     return ordered.select(group, "median", "position")
 
 
-def ratio_matrix(df: DataFrame, group: str, value: str, limit: int = 1000) -> DataFrame:
-    """median_i / median_j for every two groups: a report over a few named groups.
-
-    The groups' medians travel as one array; more than ``limit`` groups is an error.
-    """
+def ratio_to(df: DataFrame, group: str, value: str, base) -> DataFrame:
+    """Every group's median over the median of the group ``base``."""
     m = medians(df, group, value)
-    table = m.agg(F.when(F.count("*") <= limit, F.array_sort(F.collect_list(F.struct(group, "median")))).otherwise(
-        F.raise_error(F.lit("too many groups for a ratio matrix"))).alias("t")).scalar()
+    whole = m.filter(F.col(group).eqNullSafe(F.lit(base))).select(F.max("median")).scalar()
+    return m.select(group, "median", F.try_divide(F.col("median"), whole).alias("ratio"))
+
+
+def ratio_matrix(df: DataFrame, group: str, value: str, groups: list) -> DataFrame:
+    """median_i / median_j for every two of the ``groups`` the caller names."""
+    named = df.filter(F.col(group).isin([g for g in groups if g is not None]) | (F.col(group).isNull() & F.lit(None in groups)))
+    m = medians(named, group, value)
+    table = m.agg(F.array_sort(F.collect_list(F.struct(group, "median"))).alias("t")).scalar()
     rows = m.withColumn("_o", F.explode(table))
     return rows.select(
         F.col(group).alias("group_a"), F.col(f"_o.{group}").alias("group_b"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import patterns as P
+from ..plans.keys import join_by_key
 from ..plans.ranged import affine_scans, quantiles, row_index, running
 from .joins import last_points, tolerance_join
 
@@ -163,7 +164,7 @@ def zscore_last_excl(df: DataFrame, key: str, order: list[str], value: str, sens
 def trend_change(df: DataFrame, key: str, order: list[str], value: str, at: float = 0.1) -> DataFrame:
     """Slopes of the two halves of the last 100 points; a change above 10 % of the mean counts."""
     last = last_points(df.select(key, *order, value), [key], order, 100)
-    sized = last.join(last.groupBy(key).agg(F.count("*").alias("n")), key)
+    sized = join_by_key(last, last.groupBy(key).agg(F.count("*").alias("n")), key)
     pos = (F.col("n") - F.col("rn")).cast("double")
     early = pos < F.floor(F.col("n") / 2)
     out = sized.groupBy(key).agg(
@@ -202,7 +203,7 @@ def baseline(df: DataFrame, key: str, value: str, least: int = 100) -> DataFrame
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
     q = quantiles(df.select(key, value), [key], value, {"median": 0.5, "p95": 0.95, "p99": 0.99})
-    return moments.filter(F.col("n") >= least).join(q, key)
+    return join_by_key(moments.filter(F.col("n") >= least), q, key)
 
 
 def health_score(critical: Column, errors: Column, breaches: Column) -> Column:
@@ -242,8 +243,11 @@ def sla_average(df: DataFrame, name: str, key: str, ts: str, value: str, target:
 
 
 def ema_baseline(df: DataFrame, key: str, order: list[str], duration: str, success: Column, alpha: float = EMA) -> DataFrame:
-    """Running means of duration and success after each run; degraded above 1.5 times the mean."""
-    rows = df.select(key, *order, F.col(duration).cast("double").alias(duration), F.when(success, 100.0).otherwise(0.0).alias("_ok"))
+    """Running means of duration and success after each run; degraded above 1.5 times the mean.
+
+    Runs without a duration are left out, so they neither count nor change a mean.
+    """
+    rows = df.filter(F.col(duration).isNotNull()).select(key, *order, F.col(duration).cast("double").alias(duration), F.when(success, 100.0).otherwise(0.0).alias("_ok"))
     rows = rows.select("*", F.lit(1 - alpha).alias("_keep"), (F.col(duration) * alpha).alias("_add"),
                        (F.col("_ok") * alpha).alias("_add_ok"))
     rows = rows.withColumn("_one", F.lit(1.0))
@@ -257,8 +261,11 @@ def ema_baseline(df: DataFrame, key: str, order: list[str], duration: str, succe
 
 
 def ema_anomaly(df: DataFrame, key: str, order: list[str], value: str, alpha: float = EMA) -> DataFrame:
-    """Running mean and variance per point; |v − mean| / sd > 3 after ten points, > 4 is high."""
-    rows = df.select(key, *order, F.col(value).cast("double").alias(value))
+    """Running mean and variance per point; |v − mean| / sd > 3 after ten points, > 4 is high.
+
+    Points without a value are left out.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(key, *order, F.col(value).cast("double").alias(value))
     rows = rows.select("*", F.lit(1 - alpha).alias("_keep"), (F.col(value) * alpha).alias("_add"), F.lit(0.0).alias("_zero"),
                        F.lit(1.0).alias("_one"))
     rows = affine_scans(rows, [key], order, {"mean": ("_keep", "_add", value), "count": ("_one", "_one", "_one")})
@@ -278,8 +285,8 @@ def series_model(df: DataFrame, key: str, value: str, least: int = 30) -> DataFr
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
     slim = df.select(key, value)
-    out = m.filter(F.col("n") >= least).join(quantiles(slim, [key], value, {"median": 0.5}), key)
-    return out.join(quantiles(slim, [key], value, {"p25": 0.25, "p75": 0.75}, "index"), key).withColumn(
+    out = join_by_key(m.filter(F.col("n") >= least), quantiles(slim, [key], value, {"median": 0.5}), key)
+    return join_by_key(out, quantiles(slim, [key], value, {"p25": 0.25, "p75": 0.75}, "index"), key).withColumn(
         "iqr", F.col("p75") - F.col("p25"))
 
 
@@ -310,7 +317,7 @@ def seasonal_model(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
         F.stddev_samp(F.when(F.col("points") > 2, F.col("hour_mean"))).alias("s"))
     good = totals.filter((F.col("n") >= 100) & (F.col("hours") > 12)).select(
         key, F.least(F.lit(1.0), F.coalesce("s", F.lit(0.0)) / F.greatest(F.lit(0.01), F.abs("m"))).alias("strength"))
-    return hours.filter("points > 2").join(good, key).select(key, "hour", "hour_mean", "strength")
+    return join_by_key(hours.filter("points > 2"), good, key).select(key, "hour", "hour_mean", "strength")
 
 
 def latest(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -321,7 +328,7 @@ def latest(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
 def detect_zscore(df: DataFrame, key: str, order: list[str], value: str, sensitivity: float = 0.8) -> DataFrame:
     """The latest value against the series model."""
     limit = 2.0 + (1.0 - sensitivity)
-    rows = latest(df, key, order, value).join(series_model(df, key, value).filter("std > 0"), key)
+    rows = join_by_key(latest(df, key, order, value), series_model(df, key, value).filter("std > 0"), key)
     z = F.abs(F.col("latest") - F.col("mean")) / F.col("std")
     return rows.select(
         key, "latest", z.alias("z_score"), (z > limit).alias("anomaly"),
@@ -334,7 +341,7 @@ def detect_trend(df: DataFrame, key: str, order: list[str], value: str, sensitiv
         F.max(F.when(F.col("rn") == 1, F.col(value))).alias("latest"),
         F.max(F.when(F.col("rn") == 2, F.col(value))).alias("before"),
         (F.max(F.when(F.col("rn") == 1, micros(order[0]))) - F.max(F.when(F.col("rn") == 2, micros(order[0])))).alias("gap"))
-    rows = two.join(trend_model(df, key, order, value).filter("strength >= 0.3"), key)
+    rows = join_by_key(two, trend_model(df, key, order, value).filter("strength >= 0.3"), key)
     expected = F.col("before") + F.col("slope") * F.col("gap") / 1e6
     off = F.abs(F.col("latest") - expected) / F.greatest(F.lit(0.01), F.abs(expected))
     return rows.select(key, "latest", expected.alias("expected"), off.alias("deviation"), (off > sensitivity).alias("anomaly"))
@@ -343,7 +350,7 @@ def detect_trend(df: DataFrame, key: str, order: list[str], value: str, sensitiv
 def detect_seasonal(df: DataFrame, key: str, order: list[str], value: str, sensitivity: float = 0.8) -> DataFrame:
     """The latest value against the mean of its hour, where the pattern is strong enough."""
     rows = latest(df, key, order, value).withColumn("hour", F.hour("latest_ts"))
-    rows = rows.join(seasonal_model(df, key, order[0], value).filter("strength >= 0.2"), [key, "hour"])
+    rows = join_by_key(rows, seasonal_model(df, key, order[0], value).filter("strength >= 0.2"), [key, "hour"])
     off = F.abs(F.col("latest") - F.col("hour_mean")) / F.greatest(F.lit(0.01), F.abs("hour_mean"))
     return rows.select(key, "hour", "latest", "hour_mean", off.alias("deviation"), (off > sensitivity * 1.5).alias("anomaly"))
 
@@ -362,7 +369,7 @@ def forecast_linear(df: DataFrame, key: str, order: list[str], value: str, horiz
                     sensitivity: float = 0.8) -> DataFrame:
     """Last value plus slope per step over the last twenty points, flagged against the series model."""
     line = trend_model(df, key, order, value, last=20, least=10).select(key, "slope")
-    rows = latest(df, key, order, value).join(line, key).join(series_model(df, key, value).select(key, "mean", "std"), key)
+    rows = join_by_key(join_by_key(latest(df, key, order, value), line, key), series_model(df, key, value).select(key, "mean", "std"), key)
     step = horizon / steps
     rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     guess = F.col("latest") + F.col("slope") * F.col("step") * step
@@ -411,7 +418,7 @@ def seasonal_step_up(df: DataFrame, key: str, ts: str, value: str, factor: float
     """Hours whose next hour of day is usually above ``factor`` times this one."""
     hours = hour_means(df, key, ts, value).select(key, "hour", "hour_mean")
     after = hours.select(key, ((F.col("hour") + 23) % 24).cast("int").alias("hour"), F.col("hour_mean").alias("next_mean"))
-    rows = hours.join(after, [key, "hour"])
+    rows = join_by_key(hours, after, [key, "hour"])
     hit = (F.col("next_mean") > F.col("hour_mean") * factor) & (F.col("next_mean") > least)
     return rows.select(key, "hour", "hour_mean", "next_mean", hit.alias("step_up"), (F.col("next_mean") * 0.8).alias("target"))
 
@@ -434,7 +441,7 @@ def forecast_interval(rows: DataFrame, key: str, predicted: str) -> DataFrame:
     """± value·(population deviation of the forecasts + 0.1), at least 0.01 below."""
     spread = rows.groupBy(key).agg((F.coalesce(F.stddev_pop(predicted), F.lit(0.0)) + 0.1).alias("_f"))
     p = F.col(predicted)
-    return rows.join(spread, key).select(
+    return join_by_key(rows, spread, key).select(
         *rows.columns, F.greatest(F.lit(0.01), p - p * F.col("_f")).alias("lower"), (p + p * F.col("_f")).alias("upper"))
 
 
@@ -443,7 +450,7 @@ def forecast_anomaly(df: DataFrame, key: str, order: list[str], value: str, fore
     rows = _last_line(df, key, order, value, 20).filter("n >= 10")
     means = forecasts.groupBy(key).agg(F.avg(predicted).alias("f"))
     z = F.abs(F.col("f") - F.col("mean")) / F.col("std_pop")
-    return rows.join(means, key).select(
+    return join_by_key(rows, means, key).select(
         key, F.when(F.col("std_pop") == 0, 0.0).otherwise(F.least(F.lit(1.0), z / 3.0)).alias("anomaly_score"))
 
 
@@ -545,7 +552,7 @@ def operation_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     m = df.groupBy(key).agg(
         F.count(value).alias("count"), F.avg(value).alias("avg_time"), F.min(value).alias("min_time"),
         F.max(value).alias("max_time"), F.sum(value).alias("total_time"))
-    return m.join(quantiles(df.select(key, value), [key], value, {"p50": 0.5, "p90": 0.9, "p95": 0.95}, "index"), key)
+    return join_by_key(m, quantiles(df.select(key, value), [key], value, {"p50": 0.5, "p90": 0.9, "p95": 0.95}, "index"), key)
 
 
 def slow_operations(df: DataFrame, key: str, order: list[str], value: str, error: Column, last: int = 100,
@@ -594,7 +601,7 @@ def behaviour_scores(df: DataFrame, user: str, ts: str, permission: str, duratio
     usual = old.groupBy(user).agg(F.collect_set(F.hour(ts)).alias("_hours"), F.avg(duration).alias("_mean"))
     allowed = old.select(user, permission).distinct().withColumn("_known", F.lit(True))
     bad = new.groupBy(user).agg(F.count_if(violation).alias("_bad"))
-    rows = new.join(usual, user, "left").join(allowed, [user, permission], "left").join(bad, user)
+    rows = join_by_key(join_by_key(join_by_key(new, usual, user, "left"), allowed, [user, permission], "left"), bad, user)
     score = (
         F.when(F.coalesce(F.array_contains("_hours", F.hour(ts)), F.lit(False)), 0.0).otherwise(0.3)
         + F.when(F.col("_known"), 0.0).otherwise(0.4)

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from ..session import settle
 
 Cols = Sequence[str]
+SLICES = 32
 
 
 def ranged(df: DataFrame, keys: Cols, order: Cols, inside: bool = False) -> DataFrame:
@@ -99,18 +100,15 @@ def row_index(
 def first_rows(df: DataFrame, keys: Cols, order: Cols, n: int, name: str = "rn", newest: bool = False) -> DataFrame:
     """The first ``n`` rows per key by ``order`` (the last ones with ``newest``), numbered from 1.
 
-    Up to 1000 rows Spark applies the rank limit before the shuffle, so a map
-    task sends at most ``n`` rows of a key. Above that the key is numbered over
-    range partitions.
+    Ranked twice: within ``SLICES`` slices of each key, then among the rows that
+    are left, so the last step sees at most ``SLICES * n`` rows of a key,
+    however many tasks hold it.
     """
-    if n <= 1000:
-        by = [F.col(c).desc() for c in order] if newest else list(order)
-        ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*by)))
-        return ranked.filter(F.col(name) <= n)
-    rows = row_index(df, keys, order, name, total="_total")
-    if newest:
-        rows = rows.withColumn(name, F.col("_total") - F.col(name) + 1)
-    return rows.filter(F.col(name) <= n).drop("_total")
+    by = [F.col(c).desc() for c in order] if newest else list(order)
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
+    few = sliced.withColumn(name, F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*by))).filter(F.col(name) <= n)
+    ranked = few.drop("_slice", name).withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*by)))
+    return ranked.filter(F.col(name) <= n)
 
 
 def blocks(
@@ -123,14 +121,13 @@ def blocks(
     name: str = "idx",
     total: str | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Cut each key into blocks of ``rows`` rows with a halo on either side.
+    """Cut each key into blocks of ``rows`` rows (more if a halo is longer) with a halo on either side.
 
     Returns the rows and the columns to partition a window by. Rows copied from
     a neighbouring block have ``_halo`` set; drop them after the window. A
     window of up to ``before`` rows back and ``after`` rows ahead is then exact.
     """
-    if max(before, after) > rows:
-        raise ValueError("a halo cannot be longer than a block")
+    rows = max(rows, before, after)  # a halo never reaches past the next block
     indexed = row_index(df, keys, order, name, total)
     at = F.col(name) - 1
     block = F.floor(at / rows).cast("long")
@@ -236,19 +233,30 @@ def trailing_sums(
     row_id: str,
     seconds: float,
     sums: Mapping[str, Column],
-    scale: int = 6,
 ) -> DataFrame:
     """Sums over the rows of the same key in ``[ts - seconds, ts]``, per row.
 
     Each row puts two probes into the ordered stream, one before the window
     and one after all rows at its own time; the sum is the difference of two
     running sums. Bursts inside one window therefore cost no more than quiet
-    times. Values are summed as decimals so the difference is exact.
+    times.
+
+    The difference is exact because whole numbers are summed: each value is
+    multiplied by the power of two that brings the largest one below 2^80, so
+    14 digits are left for the number of rows and a value keeps all its bits
+    down to 2^-80 of the largest.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span = int(seconds * 1_000_000)
-    values = [e.cast(f"decimal(20,{scale})").alias(f"_v_{n}") for n, e in sums.items()]
-    base = df.select(*keys, row_id, micros.alias("_at"), *values)
+    numbers = df.select(*keys, row_id, micros.alias("_at"), *[e.cast("double").alias(f"_v_{n}") for n, e in sums.items()])
+    tops = numbers.agg(*[F.max(F.abs(f"_v_{n}")).alias(n) for n in sums]).select(F.struct(*sums).alias("t")).scalar()
+
+    def unit(n: str) -> Column:
+        top = tops[n]
+        return F.pow(F.lit(2.0), F.when(top > 0, 79 - F.floor(F.log2(top))).otherwise(0).cast("double"))
+
+    base = numbers.select(
+        *keys, row_id, "_at", *[(F.col(f"_v_{n}") * unit(n)).cast("decimal(38,0)").alias(f"_v_{n}") for n in sums])
     marks = base.withColumn(
         "_mark",
         F.explode(
@@ -270,9 +278,8 @@ def trailing_sums(
     )
     ends = run.filter("_kind <> 1").groupBy(row_id).agg(
         *[
-            (F.max(F.when(F.col("_kind") == 2, F.col(n))) - F.max(F.when(F.col("_kind") == 0, F.col(n))))
-            .cast("double")
-            .alias(n)
+            ((F.max(F.when(F.col("_kind") == 2, F.col(n))) - F.max(F.when(F.col("_kind") == 0, F.col(n))))
+             .cast("double") / unit(n)).alias(n)
             for n in sums
         ]
     )

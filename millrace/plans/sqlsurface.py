@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,22 +35,36 @@ def is_safe(sql: str | Column, level: str = "standard") -> Column:
     return safe & low.startswith("select") if level == "strict" else safe
 
 
-def query(spark: SparkSession, sql: str, limit: int = 1000, parameters: dict | None = None, level: str = "standard") -> DataFrame:
-    """Guarded query; the limit is put on the result, never into the text."""
+class Result(NamedTuple):
+    """Rows of a query, and a frame with one row that tells what the limit did to them."""
+
+    rows: DataFrame
+    truncated: DataFrame
+
+
+_OWN_LIMIT = re.compile(r"\blimit\s+(\d+|:\w+|all)\s*(offset\s+\S+\s*)?;?\s*$", re.I)
+
+
+def query(spark: SparkSession, sql: str, limit: int = 1000, parameters: dict | None = None, level: str = "standard") -> Result:
+    """Guarded query; the limit is put on the result, and only if the text ends with none of its own."""
     found = violation(sql, level)
     if found:
         raise RefusedQuery(f"refused: {found}")
-    return add_limit(spark.sql(sql, args=parameters or {}), limit)
+    rows = spark.sql(sql, args=parameters or {})
+    if _OWN_LIMIT.search(sql):
+        return Result(rows, rows.agg(F.count("*").alias("row_count")).select(
+            "row_count", F.lit(len(rows.columns)).alias("column_count"), F.lit(False).alias("truncated")))
+    return Result(add_limit(rows, limit), truncated(rows, limit))
 
 
 def add_limit(df: DataFrame, limit: int) -> DataFrame:
     return df.limit(limit)
 
 
-def truncated(result: DataFrame, limit: int) -> DataFrame:
-    """Row count, columns and whether the limit was reached."""
-    return result.agg(F.count("*").alias("row_count")).select(
-        "row_count", F.lit(len(result.columns)).alias("column_count"), (F.col("row_count") >= limit).alias("truncated"))
+def truncated(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows given out, columns and whether ``limit`` leaves rows of the unlimited frame out."""
+    return rows.limit(limit + 1).agg(F.count("*").alias("n")).select(
+        F.least("n", F.lit(limit)).alias("row_count"), F.lit(len(rows.columns)).alias("column_count"), (F.col("n") > limit).alias("truncated"))
 
 
 def plan(spark: SparkSession, sql: str) -> DataFrame:

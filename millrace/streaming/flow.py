@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..session import scratch_path
 from ..sources.sinks import upsert_table
@@ -103,12 +103,40 @@ def buffered_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInPandas(fn, schema)
 
 
-def metrics(query: StreamingQuery) -> dict:
-    """Batches and rows so far. Nothing is dropped: a full source waits."""
-    progress = query.recentProgress
-    return {
-        "batches": len({p["batchId"] for p in progress}),
-        "processed": sum(p["numInputRows"] for p in progress),
-        "dropped": 0,
-        "errors": 1 if query.exception() else 0,
-    }
+class Counter(StreamingQueryListener):
+    """Batches, rows, rows dropped for being late, and errors of every query of a session.
+
+    Spark keeps only the last progress reports of a query; this adds up all of them,
+    from when the counter is made.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.seen, self.failed = spark, {}, {}
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        self.seen[str(event.id)] = {}
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        # A batch that is tried again replaces its first report.
+        self.seen.setdefault(str(p.id), {})[p.batchId] = (p.numInputRows, late)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failed[str(event.id)] = self.failed.get(str(event.id), 0) + 1
+
+    def of(self, query: StreamingQuery) -> dict:
+        """Waits for the reports on their way, then gives the sums."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        batches = self.seen.get(str(query.id), {})
+        return {
+            "batches": sum(1 for n, _ in batches.values() if n), "processed": sum(n for n, _ in batches.values()),
+            "dropped": sum(n for _, n in batches.values()), "errors": self.failed.get(str(query.id), 0)}
+
+    def stop(self) -> None:
+        self.spark.streams.removeListener(self)

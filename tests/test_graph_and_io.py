@@ -152,8 +152,10 @@ def test_guard(spark, sql, level, ok):
 def test_query_limit_and_parameters(spark):
     spark.range(100).createOrReplaceTempView("numbers")
     out = sqlsurface.query(spark, "SELECT id FROM numbers WHERE id >= :least", limit=5, parameters={"least": 50})
-    assert out.count() == 5
-    assert sqlsurface.truncated(out, 5).head()["truncated"]
+    assert out.rows.count() == 5
+    assert out.truncated.head()["truncated"]
+    own = sqlsurface.query(spark, "SELECT id FROM numbers LIMIT 30", limit=5)
+    assert own.rows.count() == 30 and not own.truncated.head()["truncated"]
     assert [r["line"] for r in sqlsurface.to_csv(spark.sql("SELECT 1 AS a, 'x,y' AS b")).collect()] == ["a,b", '1,"x,y"']
 
 

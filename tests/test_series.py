@@ -121,11 +121,13 @@ def test_sliding_exact_matches_percentile(hot):
 
 def test_router_counts_every_source(spark, hot):
     out = {k: scratch_path(spark, k) for k in ("hot", "a")}
+    counter = flow.Counter(spark)
     q = flow.each_batch(split_stream(spark, hot), flow.route({k: flow.to_files(p) for k, p in out.items()}, "key"), scratch_path(spark, "c"))
     q.awaitTermination()
     for k, p in out.items():
         assert spark.read.parquet(p).count() == hot.filter(F.col("key") == k).count()
-    m = flow.metrics(q)
+    m = counter.of(q)
+    counter.stop()
     assert m["processed"] == hot.filter("key is not null").count() and m["batches"] == 4 and m["dropped"] == 0
 
 
