@@ -80,8 +80,10 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return w[0] / scale, w[1]
 
 
-def train(df: DataFrame, id_col: str, text: str, label: str, max_rows: int = 6000, max_bytes: int = 1 << 14) -> Model:
-    """``label`` is 1 for good and 0 for bad; other rows are not read."""
+def train(df: DataFrame, id_col: str, text: str, label: str, max_rows: int = 6000, max_bytes: int = 1 << 14,
+          share: float | None = None) -> Model:
+    """``label`` is 1 for good and 0 for bad; other rows are not read. ``share`` is the
+    share of good texts to calibrate to (that of the rows, if none is given)."""
     import zstandard as zs
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
@@ -89,7 +91,7 @@ def train(df: DataFrame, id_col: str, text: str, label: str, max_rows: int = 600
     seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not seen:
         return Model(b"", b"", 0.0, 0.0, 0.5)
-    share = seen.get(1, 0) / sum(seen.values())
+    share = seen.get(1, 0) / sum(seen.values()) if share is None else share
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     bound = {y: int((1 << 20) * min(1.0, max_rows / 2 / n)) for y, n in seen.items()}
     rows = rows.filter(spot < F.when(F.col("y") == 1, F.lit(bound.get(1, 0))).otherwise(F.lit(bound.get(0, 0))))
@@ -116,7 +118,7 @@ def train(df: DataFrame, id_col: str, text: str, label: str, max_rows: int = 600
         if len(set(y)) == 2:
             model.slope, model.offset = _fit(x, y)
             # The sample holds the classes evenly; move the curve to their true shares.
-            here = y.mean()
+            here, share = y.mean(), min(max(share, 1e-3), 1 - 1e-3)
             model.offset += np.log(share / (1 - share)) - np.log(here / (1 - here))
         else:
             model.good = b""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import compression, langid, tokens, toxicity, warc
 from .registry import query
+from .store import kept
 
 
 def tokenizer_path() -> str:
@@ -21,10 +22,22 @@ def crc(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def labelled(t, column: str):
-    """Texts with a label: doc_id, text, y; the first label of an id if it has several."""
-    y = t.labels.filter(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).alias("y"))
-    return t.documents.select("doc_id", "text").join(y, "doc_id")
+def labelled(t, column: str, trains, max_rows: int, by_class: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """Texts of a bounded sample of the labels (doc_id, text, y), and all labels by class.
+
+    ``trains`` says which ids may train. The sample is drawn from the labels alone, by
+    a hash of the id: about ``max_rows`` of them, half of each class with
+    ``by_class``. So it is small by its parameter, and broadcast to the documents. An
+    id with several labels takes the least.
+    """
+    ids = t.labels.filter(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).filter(trains)
+    y = ids.groupBy("doc_id").agg(F.min(column).cast("int").alias("y"))
+    seen = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
+    share = {c: min(1.0, max_rows / 2 / n if by_class else max_rows / sum(seen.values())) for c, n in seen.items()}
+    chosen = y.filter(spot < F.when(F.col("y") == 1, F.lit(int(share.get(1, 0) * (1 << 20)))).otherwise(F.lit(int(share.get(0, 0) * (1 << 20)))))
+    few = kept(chosen, "labels")
+    return kept(t.documents.select("doc_id", "text").join(F.broadcast(few), "doc_id"), "labelled"), seen
 
 
 @query("op2_token_ids")
@@ -37,7 +50,8 @@ def op2_token_ids(t) -> DataFrame:
 @query("op3_toxicity")
 def op3_toxicity(t) -> DataFrame:
     """Toxicity of all documents; rows with remainder 2 never train."""
-    model = toxicity.train(labelled(t, "toxic").filter(crc() % 4 != 2), "doc_id", "text", "y")
+    rows, _ = labelled(t, "toxic", crc() % 4 != 2, 20000)
+    model = toxicity.train(rows, "doc_id", "text", "y")
     scored = toxicity.score(t.documents, model)
     return scored.select("doc_id", (crc() % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -53,7 +67,8 @@ def op8_language(t) -> DataFrame:
 @query("op9_quality")
 def op9_quality(t) -> DataFrame:
     """Quality of all documents; rows with remainder 0 never train."""
-    model = compression.train(labelled(t, "quality").filter(crc() % 5 != 0), "doc_id", "text", "y")
+    rows, seen = labelled(t, "quality", crc() % 5 != 0, 6000, by_class=True)
+    model = compression.train(rows, "doc_id", "text", "y", share=seen.get(1, 0) / max(1, sum(seen.values())))
     scored = compression.score(t.documents, model)
     return scored.select("doc_id", (crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
