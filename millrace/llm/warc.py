@@ -1,14 +1,15 @@
 """WARC archives of pages, deduplicated by payload, with a two-level capture index.
 
-``write`` puts pages in order of their reversed-host URL key and appends each as a
-gzip member to an archive, with a line (key, id, offset, length, digest) to the
-capture index beside it. Index lines are compressed in blocks of ``LINES``; a sparse
-directory holds the first key and the place of each block. The manifest has a row
-per archive with its first and last key.
+``write`` appends each page as a gzip member to an archive of its task; payloads move
+between machines only if so many of them repeat that Spark does not broadcast the
+repeated digests. The captures' lines (reversed-host URL key, id, archive, offset,
+length, digest, type) are sorted by key and written to index files in compressed
+blocks of ``LINES``; a sparse directory beside each index file holds the first key and
+the place of each block, and the manifest the first and last key of each index file.
 
 ``lookup`` goes the way back: manifest, binary search in the sparse directory, range
 read of a block, binary search in its lines, range read of the record.
-``read_back`` reads every record through the directories' blocks.
+``read_back`` reads all blocks, and the records they name in the archives' order.
 
 Of records with equal payloads of at least ``least`` bytes the one with the smallest
 page id is a response and the others revisit it. Null html is an empty payload, a
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .store import Appender, file_system, kept, partitions, short_shuffles
+from .store import Appender, file_system, kept, partitions, read_range
 
 LINES = 500
 FILE_BYTES = 256 << 20
@@ -91,84 +92,92 @@ def parse(raw: bytes) -> dict:
 def with_originals(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, url, payload, digest, first: the smallest id with the payload (null for small ones).
 
-    Only digests that occur more than once meet the pages again; Spark splits a hot one.
+    Digests that occur more than once are written down first, so that Spark knows their
+    size: it broadcasts a small table and else shuffles by digest and splits a hot one.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= least
     many = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(many, "digest", "left")
+    return rows.join(kept(many, "warc-repeats"), "digest", "left")
+
+
+_LINE = "key string, page_id long, archive string, at long, size long, digest string, type string"
 
 
 def write(pages: DataFrame, folder: str, least: int = 100, lines: int = LINES) -> DataFrame:
     """Archives and index below ``folder``; returns the manifest."""
     import pyarrow as pa
 
-    rows = with_originals(pages, least)
-    schema = "key string, page_id long, url string, payload binary, digest string, first long"
+    rows = with_originals(pages, least).select("page_id", "url", "payload", "digest", "first")
 
-    def with_keys(batches):
+    def archives(batches):
+        out = None
         for b in batches:
-            urls = b.column(b.schema.get_field_index("url"))
-            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in urls.to_pylist()], pa.string()),
-                                              *[b.column(b.schema.get_field_index(c)) for c in ("page_id", "url", "payload", "digest", "first")]],
-                                             ["key", "page_id", "url", "payload", "digest", "first"])
-
-    rows = rows.select("page_id", "url", "payload", "digest", "first").mapInArrow(with_keys, schema)
-    rows = rows.repartitionByRange("key", "page_id", "digest").sortWithinPartitions("key", F.col("page_id").asc_nulls_last(), "digest")
-
-    def files(batches):
-        archive = None
+            made = []
+            for page_id, url, payload, digest, first in zip(*[c.to_pylist() for c in b.columns]):
+                if out is not None and out.size >= FILE_BYTES:
+                    out.close()
+                    out = None
+                out = out or Appender(folder, ".warc.gz")
+                revisit = first is not None and first != page_id
+                raw = gzip.compress(record(page_id, url, payload, digest, first, revisit), 4, mtime=0)
+                made.append((url_key(url), page_id, out.uri, out.write(raw), len(raw), digest, "revisit" if revisit else "response"))
+            if made:
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["key", "page_id", "archive", "at", "size", "digest", "type"])
+        if out is not None:
+            out.close()
+
+    captures = kept(rows.mapInArrow(archives, _LINE), "warc-captures")
+    ordered = captures.repartitionByRange("key", "page_id", "archive", "at").sortWithinPartitions(
+        "key", F.col("page_id").asc_nulls_last(), "archive", "at")
+
+    def index(batches):
+        out = None
         for b in batches:
-            for r in zip(*[b.column(k).to_pylist() for k in range(6)]):
-                key, page_id, url, payload, digest, first = r
-                if archive is None:
-                    archive = _Archive(folder, lines)
-                archive.add(key, page_id, url, payload, digest, first)
-                if archive.out.size >= FILE_BYTES:
-                    yield pa.RecordBatch.from_pylist([archive.close()])
-                    archive = None
-        if archive is not None:
-            yield pa.RecordBatch.from_pylist([archive.close()])
+            for line in zip(*[c.to_pylist() for c in b.columns]):
+                out = out or _Index(folder, lines)
+                out.add(line)
+                if out.out.size >= FILE_BYTES:
+                    yield pa.RecordBatch.from_pylist([out.close()])
+                    out = None
+        if out is not None:
+            yield pa.RecordBatch.from_pylist([out.close()])
 
-    with short_shuffles(pages.sparkSession):
-        return kept(rows.mapInArrow(files, "first_key string, last_key string, archive string, index string, directory string, n_records long, n_blocks long"), "warc-manifest")
+    schema = "first_key string, last_key string, index string, directory string, n_records long, n_blocks long"
+    return kept(ordered.mapInArrow(index, schema), "warc-manifest")
 
 
-class _Archive:
-    """An archive with its index and directory while they are written."""
+class _Index:
+    """An index file with its directory while they are written."""
 
     def __init__(self, folder: str, lines: int):
-        self.out, self.index = Appender(folder, ".warc.gz"), Appender(folder, ".cdx")
-        self.folder, self.lines, self.block, self.directory, self.n = folder, lines, [], [], 0
+        self.out, self.folder, self.lines = Appender(folder, ".cdx"), folder, lines
+        self.block, self.directory, self.n = [], [], 0
         self.first_key = self.last_key = None
 
-    def add(self, key, page_id, url, payload, digest, first) -> None:
-        revisit = first is not None and first != page_id
-        raw = gzip.compress(record(page_id, url, payload, digest, first, revisit), 4, mtime=0)
-        at = self.out.write(raw)
-        self.first_key = key if self.first_key is None else self.first_key
-        self.last_key = key
-        self.block.append(json.dumps([key, page_id, at, len(raw), digest, "revisit" if revisit else "response"]))
+    def add(self, line: tuple) -> None:
+        self.first_key = line[0] if self.first_key is None else self.first_key
+        self.last_key = line[0]
+        self.block.append(line)
         self.n += 1
         if len(self.block) >= self.lines:
             self.flush()
 
     def flush(self) -> None:
         if self.block:
-            raw = zlib.compress("\n".join(self.block).encode(), 6)
-            first = json.loads(self.block[0])[0]
-            self.directory.append([first, self.index.write(raw), len(raw), len(self.block)])
+            raw = zlib.compress("\n".join(map(json.dumps, self.block)).encode(), 6)
+            self.directory.append([self.block[0][0], self.out.write(raw), len(raw), len(self.block)])
             self.block = []
 
     def close(self) -> dict:
         self.flush()
         self.out.close()
-        self.index.close()
         sparse = Appender(self.folder, ".dir")
         sparse.write(json.dumps(self.directory).encode())
         sparse.close()
-        return {"first_key": self.first_key, "last_key": self.last_key, "archive": self.out.uri, "index": self.index.uri, "directory": sparse.uri,
+        return {"first_key": self.first_key, "last_key": self.last_key, "index": self.out.uri, "directory": sparse.uri,
                 "n_records": self.n, "n_blocks": len(self.directory)}
 
 
@@ -178,11 +187,15 @@ def _read(uri: str) -> bytes:
         return f.read()
 
 
+def _lines(uri: str, at: int, size: int) -> list[list]:
+    return [json.loads(x) for x in zlib.decompress(read_range(uri, at, size)).decode().split("\n")]
+
+
 def read_back(manifest: DataFrame) -> DataFrame:
     """Every record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Each block of an index is a row; its records lie side by side in the archive and
-    are fetched in ranges of a few MB.
+    The index blocks' lines go to tasks by stretches of the archives, and a task
+    fetches records that lie side by side in one range of a few MB.
     """
     import pyarrow as pa
 
@@ -191,33 +204,36 @@ def read_back(manifest: DataFrame) -> DataFrame:
     def blocks(batches):
         for b in batches:
             for r in b.to_pylist():
-                for _, at, size, _ in json.loads(_read(r["directory"])):
-                    yield pa.RecordBatch.from_pylist([{"archive": r["archive"], "index": r["index"], "at": at, "size": size}])
+                found = [{"index": r["index"], "at": at, "size": size} for _, at, size, _ in json.loads(_read(r["directory"]))]
+                yield pa.RecordBatch.from_pylist(found)
 
-    def records(batches):
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    def captures(batches):
         for b in batches:
             for r in b.to_pylist():
-                system, path = file_system(r["index"])
-                with system.open_input_file(path) as f:
-                    found = [json.loads(x) for x in zlib.decompress(f.read_at(r["size"], r["at"])).decode().split("\n")]
-                system, path = file_system(r["archive"])
-                with system.open_input_file(path) as f:
-                    k = 0
-                    while k < len(found):
-                        m = k + 1
-                        while m < len(found) and found[m][2] + found[m][3] - found[k][2] <= 4 << 20:
-                            m += 1
-                        base = found[k][2]
-                        raw = f.read_at(found[m - 1][2] + found[m - 1][3] - base, base)
-                        rows = [parse(zlib.decompress(raw[x[2] - base: x[2] - base + x[3]], 31)) for x in found[k:m]]
-                        yield pa.RecordBatch.from_pylist([{c: x[c] for c in names} for x in rows], kinds)
-                        k = m
+                yield pa.RecordBatch.from_pylist([{"archive": x[2], "at": x[3], "size": x[4]} for x in _lines(r["index"], r["at"], r["size"])])
+
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+
+    def records(batches):
+        for b in batches:
+            places = list(zip(*[c.to_pylist() for c in b.columns]))
+            k = 0
+            while k < len(places):
+                archive, base, size = places[k]
+                m, end = k + 1, base + size
+                while m < len(places) and places[m][:2] == (archive, end) and end - base < 4 << 20:
+                    end += places[m][2]
+                    m += 1
+                raw = memoryview(read_range(archive, base, end - base))
+                found = [parse(zlib.decompress(raw[at - base: at - base + n], 31)) for _, at, n in places[k:m]]
+                yield pa.RecordBatch.from_pylist([{c: x[c] for c in names} for x in found], kinds)
+                k = m
 
     n = partitions(spark)
-    listed = manifest.select("archive", "index", "directory").repartition(n, "archive")
-    spread = listed.mapInArrow(blocks, "archive string, index string, at long, size long").repartition(n, "index", "at")
+    listed = manifest.select("index", "directory").repartition(n, "index").mapInArrow(blocks, "index string, at long, size long")
+    lines = listed.repartition(n, "index", "at").mapInArrow(captures, "archive string, at long, size long")
+    spread = lines.repartition(n, "archive", F.floor(F.col("at") / (8 << 20))).sortWithinPartitions("archive", "at")
     return spread.mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -229,7 +245,7 @@ class Index:
         self.directories: dict[str, list] = {}
 
     def captures(self, url: str | None) -> list[dict]:
-        """Records of a URL's key, in order of their ids, from all archives that may hold it."""
+        """Records of a URL's key, in order of their ids, from all index files that may hold it."""
         key, out = url_key(url), []
         for r in self.rows[: bisect.bisect_right([r["first_key"] for r in self.rows], key)]:
             if r["last_key"] < key:
@@ -238,17 +254,13 @@ class Index:
             if directory is None:
                 directory = self.directories[r["directory"]] = json.loads(_read(r["directory"]))
             firsts = [x[0] for x in directory]
-            system, path = file_system(r["index"])
             # The block before the first that begins at the key may end with it.
             k = max(0, bisect.bisect_left(firsts, key) - 1)
             while k < len(directory) and firsts[k] <= key:
-                with system.open_input_file(path) as f:
-                    lines = [json.loads(x) for x in zlib.decompress(f.read_at(directory[k][2], directory[k][1])).decode().split("\n")]
+                lines = _lines(r["index"], directory[k][1], directory[k][2])
                 keys = [x[0] for x in lines]
                 for x in lines[bisect.bisect_left(keys, key): bisect.bisect_right(keys, key)]:
-                    store, place = file_system(r["archive"])
-                    with store.open_input_file(place) as f:
-                        out.append(parse(zlib.decompress(f.read_at(x[3], x[2]), 31)))
+                    out.append(parse(zlib.decompress(read_range(x[2], x[3], x[4]), 31)))
                 k += 1
         return out
 
@@ -256,8 +268,7 @@ class Index:
 def lookup(urls: DataFrame, manifest: DataFrame, url: str = "url") -> DataFrame:
     """Captures of many URLs: url, page_id, record_type, payload_digest, payload_bytes.
 
-    URLs meet the archives whose key range may hold them (a join on sorted ranges is
-    not needed: the manifest has a row per archive, and every task searches it).
+    Every task searches the manifest, which has a row per index file.
     """
     import pyarrow as pa
 
