@@ -109,6 +109,8 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, script_counts: np.ndarray):
         self.langs = langs
+        if not langs:
+            return
         total = counts.sum(1, keepdims=True) + 0.5 * SLOTS
         logp = np.log((counts + 0.5) / total)
         # Slots that no language has seen say nothing.
@@ -203,7 +205,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", max_rows: int |
     found = rows.mapInArrow(counted, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     grid = np.zeros((len(langs), SLOTS + 64))
-    grid[np.searchsorted(np.array(langs, object), found["lang"].to_numpy(object)) if langs else [], found["slot"].to_numpy(int)] = found["n"]
+    if langs:
+        grid[np.searchsorted(np.array(langs, object), found["lang"].to_numpy(object)), found["slot"].to_numpy(int)] = found["n"]
     return Model(langs, grid[:, :SLOTS], grid[:, SLOTS:])
 
 
