@@ -1,6 +1,6 @@
 """Texts of an Arrow batch as one byte array: words, rolling hashes and n-grams by numpy.
 
-Everything works on slices of whole texts of a few MB, so a task's memory
+Everything works on slices of whole texts of half a MB, so a task's memory
 follows the slice (or its one longest text), not the partition.
 """
 
@@ -18,7 +18,7 @@ WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def slices(batches, columns: list[str], text: str, limit: int = 1 << 21) -> Iterator[tuple]:
+def slices(batches, columns: list[str], text: str, limit: int = 1 << 19) -> Iterator[tuple]:
     """(other columns as Arrow arrays, bytes, offsets) of runs of whole texts.
 
     A run holds up to ``limit`` bytes of text, or a single longer text. Null
@@ -86,7 +86,7 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """(powers, inverse powers) of an odd number modulo 2^64."""
     tables = worker_state("powers", dict)
     if which not in tables or len(tables[which][0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         p = _ODD[which]
         tables[which] = tuple(
             np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, v, np.uint64)]), dtype=np.uint64)

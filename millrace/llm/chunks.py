@@ -67,7 +67,7 @@ def chunked(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def rows(batches):
-        for (doc, tag), data, off in bytetext.slices(batches, ["doc", "tag"], "text", 1 << 19):
+        for (doc, tag), data, off in bytetext.slices(batches, ["doc", "tag"], "text"):
             start, end, owner = cuts(data, off)
             who = pa.array(owner)
             digest = bytetext.span_hashes(data, start, end).view(np.int64)

@@ -103,7 +103,7 @@ def _hits(docs: DataFrame, bits: np.ndarray, short: bool) -> DataFrame:
 
     def rows(batches):
         table = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        for (ids,), data, off in bytetext.slices(batches, ["doc"], "text", 1 << 19):
+        for (ids,), data, off in bytetext.slices(batches, ["doc"], "text"):
             _, _, _, owner, h = hashed_words(data, off)
             first = np.cumsum(np.bincount(owner, minlength=len(off) - 1))
             first = np.concatenate([[0], first])
@@ -186,27 +186,20 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
     kinds = f"doc {rows.schema['doc'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
     # A document meets its own candidates only: texts by id, then items by id.
     texts = rows.join(found.select("doc").distinct(), "doc", "left_semi")
-    pairs = found.join(texts, "doc")
+    pairs = found.join(items, "item_id").join(texts, "doc").select("doc", "item_id", "low", "high", "words", "text")
 
-    def windows(batches):
-        for (doc, item, low, high), data, off in bytetext.slices(batches, ["doc", "item_id", "low", "high"], "text"):
+    def aligned(batches):
+        for (doc, item, low, high, words), data, off in bytetext.slices(batches, ["doc", "item_id", "low", "high", "words"], "text"):
             _, _, _, owner, h = hashed_words(data, off)
             first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(off) - 1))])
-            cut = [h[first[k] + a: min(first[k + 1], first[k] + b)].view(np.int64).tolist()
-                   for k, (a, b) in enumerate(zip(low.to_pylist(), high.to_pylist()))]
-            yield pa.RecordBatch.from_arrays([doc, item, pa.array(cut, pa.list_(pa.int64()))], ["doc", "item_id", "window"])
-
-    def aligned(batches):
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                own = [np.asarray(x, np.int64) for x in part.column(2).to_pylist()]
-                other = [np.asarray(x, np.int64) for x in part.column(3).to_pylist()]
-                got = smith_waterman(own, other) / (2 * np.array([len(x) for x in other]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.float64())], ["doc", "item_id", "score"])
-
-    cut = pairs.select("doc", "item_id", "low", "high", "text").mapInArrow(windows, f"{kinds}, window array<long>")
-    aligned_rows = cut.join(items, "item_id").select("doc", "item_id", "window", "words").mapInArrow(aligned, f"{kinds}, score double")
+            h = h.view(np.int64)
+            own = [h[first[k] + a: min(first[k + 1], first[k] + b)] for k, (a, b) in enumerate(zip(low.to_pylist(), high.to_pylist()))]
+            other = [np.asarray(x, np.int64) for x in words.to_pylist()]
+            got = [smith_waterman(own[a: a + 256], other[a: a + 256]) for a in range(0, len(own), 256)]
+            score = np.concatenate(got) / (2 * np.array([len(x) for x in other]))
+            yield pa.RecordBatch.from_arrays([doc, item, pa.array(score, pa.float64())], ["doc", "item_id", "score"])
+
+    aligned_rows = pairs.mapInArrow(aligned, f"{kinds}, score double")
     best = aligned_rows.filter(F.col("score") >= threshold).groupBy("doc", "item_id").agg(F.max("score").alias("score"), F.count("*").alias("n_windows"))
     return best.select(F.col("doc").alias(id_col), F.col("item_id").alias(item_col), "score", "n_windows")
 

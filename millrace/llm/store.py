@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path, shared_folder
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
 def kept(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to a new table in the shared folder and go on from its files.
 
@@ -42,6 +46,17 @@ def short_shuffles(spark: SparkSession):
             spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB for the session's tasks, unless it has its own setting.
+
+    Texts are long: batches by row count alone would hold tens of MB on both sides of
+    every Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "64MB", "67108864", "67108864b", str(2**31 - 1), f"{2**31 - 1}b"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a ``kept`` table that no later result reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

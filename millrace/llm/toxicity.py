@@ -99,7 +99,7 @@ def train(df: DataFrame, id_col: str, text: str, label: str, max_rows: int = 200
 
     def counted(batches):
         have = np.zeros((2, SLOTS + 1), np.int64)
-        for (y,), data, off in bytetext.slices(batches, ["y"], "text", 1 << 19):
+        for (y,), data, off in bytetext.slices(batches, ["y"], "text"):
             y = y.to_numpy(zero_copy_only=False)
             have[:, SLOTS] += np.bincount(y, minlength=2)
             owner, slot = present(data, off)
@@ -129,7 +129,7 @@ def train(df: DataFrame, id_col: str, text: str, label: str, max_rows: int = 200
     table[chosen] = np.arange(len(chosen))
 
     def listed(batches):
-        for (y,), data, off in bytetext.slices(batches, ["y"], "text", 1 << 19):
+        for (y,), data, off in bytetext.slices(batches, ["y"], "text"):
             owner, feature = present(data, off, table)
             yield pa.RecordBatch.from_arrays([
                 pa.array([y.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()], pa.binary()),
@@ -179,7 +179,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        for (ids,), data, off in bytetext.slices(batches, [id_col], "text", 1 << 19):
+        for (ids,), data, off in bytetext.slices(batches, [id_col], "text"):
             yield pa.RecordBatch.from_arrays([ids, pa.array(sent.value.score(data, off), pa.float64())], [id_col, "score"])
 
     rows = df.select(id_col, F.col(text).alias("text"))
