@@ -54,9 +54,13 @@ def test_windowed_rows_across_blocks(hot, rows):
     assert np.allclose(got["mean"], want)
 
 
-def test_halo_longer_than_block_is_refused(hot):
-    with pytest.raises(ValueError):
-        R.blocks(hot, ["key"], ORDER, before=10, rows=5)
+def test_halo_longer_than_block(hot):
+    def made(w):
+        return {"mean": F.avg("value").over(w.rowsBetween(-9, 0))}
+
+    got = frame(R.windowed_rows(hot, ["key"], ORDER, made, before=9, rows=5))
+    want = frame(hot).groupby("key", dropna=False)["value"].rolling(10, min_periods=1).mean().reset_index(level=0, drop=True).sort_index()
+    assert len(got) == hot.count() and np.allclose(got["mean"], want)
 
 
 @pytest.mark.parametrize("n", [3, 1500])
