@@ -13,6 +13,21 @@ def stream(t):
     return flow.file_stream(t.spark, t.folder, t.events.schema, "events.parquet")
 
 
+def shuffled(t):
+    """The events in files of random rows, several files to a batch, and at last one row
+    (event -1, no user, no type) past the end, which lets out what still waits."""
+    folder = scratch_path(t.spark, "shuffled")
+    t.events.repartition(6).write.parquet(folder)
+    end = t.events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+    last = end.select(*[F.col("ts") if f.name == "ts" else F.lit(-1 if f.name == "event_id" else None).cast(f.dataType).alias(f.name) for f in t.events.schema])
+    last.coalesce(1).write.mode("append").parquet(folder)
+    return flow.file_stream(t.spark, folder, t.events.schema, max_files=2)
+
+
+#: Random order spreads a batch over the whole table; rows may be this late.
+SPAN = "200 days"
+
+
 @query("str01_envelope", "SELECT event_id, 'clicks' AS source, true AS named FROM events")
 def _(t):
     out = flow.drain(flow.envelope(stream(t).select("event_id", "value"), "clicks"))
@@ -74,9 +89,21 @@ def _(t):
     return t.spark.createDataFrame([(k, int(v)) for k, v in m.items()], "metric string, value long")
 
 
-@query("str07_rate_limit")
+# Accepted requests of a user in order: each is looked up from the state that the one before left,
+# the times of the last two accepted ones (at most two lie in a window).
+RATE_SQL = f"""
+WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id {ORD}) AS k FROM events),
+s AS (SELECT user_id, event_id, k, true AS accepted, us AS newer, CAST(NULL AS BIGINT) AS older FROM o WHERE k = 1
+ UNION ALL SELECT o.user_id, o.event_id, o.k, o.us - coalesce(s.older, -9000000000000000) >= 7200000000 AS ok,
+  CASE WHEN o.us - coalesce(s.older, -9000000000000000) >= 7200000000 THEN o.us ELSE s.newer END,
+  CASE WHEN o.us - coalesce(s.older, -9000000000000000) >= 7200000000 THEN s.newer ELSE s.older END
+ FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1)
+SELECT user_id, event_id, accepted FROM s"""
+
+
+@query("str07_rate_limit", RATE_SQL)
 def _(t):
-    return flow.drain(stateful.rate_limit(stream(t), "user_id", "ts", "event_id", 2, 7200))
+    return flow.drain(stateful.rate_limit(shuffled(t), "user_id", "ts", "event_id", 2, 7200, SPAN))
 
 
 @query("str08_stream_alerts", f"""
@@ -93,13 +120,13 @@ WITH a AS (SELECT *, CASE WHEN c = 1 THEN 0.0 ELSE 0.1 * ((value - m) / 0.9) * (
 v AS (SELECT *, list_reduce(list(d) OVER (PARTITION BY user_id {ORD} ROWS UNBOUNDED PRECEDING), lambda x, y: 0.9 * x + y) AS var FROM a)
 SELECT event_id, round(m + 1e-9, 6) AS mean, round(var + 1e-9, 6) AS variance, c AS count, c > 1 AND value > m * 1.5 AS degraded FROM v""")
 def _(t):
-    out = flow.drain(stateful.ema(stream(t), "user_id", "ts", "event_id", "value"))
+    out = flow.drain(stateful.ema(shuffled(t), "user_id", "ts", "event_id", "value", delay=SPAN))
     return rounded(out, "mean", "variance", nudge=1e-9).select("event_id", "mean", "variance", "count", "degraded")
 
 
 @query("str10_stream_episodes", f"SELECT * FROM ({EPISODES}) WHERE resolved_at IS NOT NULL")
 def _(t):
-    out = flow.drain(stateful.episodes(stream(t), "event_type", "ts", "event_id", "value", 15))
+    out = flow.drain(stateful.episodes(shuffled(t), "event_type", "ts", "event_id", "value", 15, delay=SPAN))
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return out.select("event_type", at(F.col("opened_us")).alias("opened_at"), at(F.col("last_us")).alias("last_triggered"),
                       "trigger_count", at(F.col("resolved_us")).alias("resolved_at"))

@@ -1,89 +1,116 @@
-"""Per-key state over streams: rate limits, running means, alert episodes.
+"""Per-key state over streams, in event time: rate limits, running means, alert episodes.
 
-A key's new rows of one micro-batch meet in one task; ``max_files`` or
-``maxOffsetsPerTrigger`` of the source bounds them. State per key is a few
-numbers (a rate limit keeps at most ``limit`` times).
+Rows wait in their key's state until the watermark has passed them, and are then
+folded in order of time and row id. So the result does not depend on the order of
+files or on how rows fall into micro-batches; rows that come later than ``delay``
+behind the newest one are dropped (and counted by Spark). What a key holds is the
+rows of the last ``delay`` and a few numbers. A key without rows for ``idle`` seconds
+of event time is forgotten.
+
+The newest ``delay`` of a stream that has ended stays in the state; a later row, of
+any key, lets it out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .windows import late
 
-def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(order, kind="stable")
+MONTH = 30 * 86400.0
+#: A fold takes the key's numbers and one row (microseconds, row id, value), and
+#: returns the numbers and an output row, or None.
+Fold = Callable[[list, int, int, float], tuple[list, tuple | None]]
 
 
-def rate_limit(df: DataFrame, user: str, ts: str, row_id: str, limit: int = 100, seconds: float = 60.0) -> DataFrame:
-    """Accept a request when fewer than ``limit`` were accepted in the last ``seconds``, else refuse it."""
-    window = int(seconds * 1_000_000)
-    kind = df.schema[user].dataType.simpleString()
-
-    def step(key, batches, state: GroupState):
-        accepted = list(state.get[0]) if state.exists else []
-        rows = _ordered(batches, [ts, row_id])
-        verdicts = []
-        for at in rows[ts].astype("datetime64[us]").astype("int64"):
-            accepted = [a for a in accepted if at - a < window]
-            ok = len(accepted) < limit
-            if ok:
-                accepted.append(at)
-            verdicts.append(ok)
-        state.update((accepted,))
-        yield pd.DataFrame({user: key[0], row_id: rows[row_id].to_numpy(), "accepted": verdicts})
-
-    return df.select(user, ts, row_id).groupBy(user).applyInPandasWithState(
-        step, f"`{user}` {kind}, `{row_id}` long, accepted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def ema(df: DataFrame, key: str, ts: str, row_id: str, value: str, alpha: float = 0.1) -> DataFrame:
-    """Running mean and variance per point with the spread and slowness flags."""
-    kind = df.schema[key].dataType.simpleString()
+def _in_time_order(df: DataFrame, key: str, ts: str, row_id: str, value, fold: Fold, fields: list[tuple[str, str]],
+                   delay: str, idle: float, may_forget: Callable[[list], bool] = lambda held: True) -> DataFrame:
+    names = [key, *[n for n, _ in fields]]
 
-    def step(k, batches, state: GroupState):
-        mean, var, count = state.get if state.exists else (0.0, 0.0, 0)
-        rows = _ordered(batches, [ts, row_id])
+    def step(k, batches: Iterator[pd.DataFrame], state: GroupState):
+        at, ids, values, held = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        for pdf in batches:
+            at += pdf[ts].astype("datetime64[us]").astype("int64").tolist()
+            ids += pdf[row_id].tolist()
+            values += pdf["_value"].tolist()
+        mark = state.getCurrentWatermarkMs()
+        order = sorted(range(len(at)), key=lambda i: (at[i], ids[i]))
+        n = sum(at[i] < mark * 1000 for i in order)
         out = []
-        for rid, v in zip(rows[row_id], rows[value]):
-            if count == 0:
-                mean, var = float(v), 0.0
-            else:
-                gap = v - mean
-                mean, var = alpha * v + (1 - alpha) * mean, (1 - alpha) * var + alpha * gap * gap
-            count += 1
-            z = abs(v - mean) / var ** 0.5 if count >= 10 and var > 0 else None
-            level = None if z is None or z <= 3 else "high" if z > 4 else "medium"
-            out.append((k[0], rid, mean, var, count, z, level, count > 1 and v > mean * 1.5))
-        state.update((mean, var, count))
-        yield pd.DataFrame(out, columns=[key, row_id, "mean", "variance", "count", "z_score", "severity", "degraded"])
-
-    schema = f"`{key}` {kind}, `{row_id}` long, mean double, variance double, count long, z_score double, severity string, degraded boolean"
-    return df.select(key, ts, row_id, value).groupBy(key).applyInPandasWithState(
-        step, schema, "mean double, variance double, count long", "append", GroupStateTimeout.NoTimeout)
-
-
-def episodes(df: DataFrame, key: str, ts: str, row_id: str, value: str, above: float) -> DataFrame:
-    """Alert episodes: opened by the first value above the limit, counted, given out when a good value closes them."""
+        for i in order[:n]:
+            held, row = fold(held, at[i], ids[i], values[i])
+            if row is not None:
+                out.append((k[0], *row))
+        rest = order[n:]
+        if state.hasTimedOut and not rest and not n and may_forget(held):
+            state.remove()
+        else:
+            state.update(([at[i] for i in rest], [ids[i] for i in rest], [values[i] for i in rest], held))
+            wake = at[rest[0]] // 1000 + 1 if rest else mark + int(idle * 1000)
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
     kind = df.schema[key].dataType.simpleString()
+    rows = late(df, ts, delay).select(key, ts, F.col(row_id).cast("long").alias(row_id), value.alias("_value"))
+    return rows.groupBy(key).applyInPandasWithState(
+        step, f"`{key}` {kind}, " + ", ".join(f"`{n}` {t}" for n, t in fields),
+        "at array<long>, ids array<long>, vals array<double>, held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
-    def step(k, batches, state: GroupState):
-        opened, last, count = state.get if state.exists else (0, 0, 0)
-        rows = _ordered(batches, [ts, row_id])
-        out = []
-        for at, v in zip(rows[ts].astype("datetime64[us]").astype("int64"), rows[value]):
-            if v > above:
-                opened, last, count = (at, at, 1) if count == 0 else (opened, at, count + 1)
-            elif count:
-                out.append((k[0], opened, last, count, at))
-                opened, last, count = 0, 0, 0
-        state.update((int(opened), int(last), int(count)))
-        if out:
-            yield pd.DataFrame(out, columns=[key, "opened_us", "last_us", "trigger_count", "resolved_us"])
 
-    schema = f"`{key}` {kind}, opened_us long, last_us long, trigger_count long, resolved_us long"
-    return df.select(key, ts, row_id, value).groupBy(key).applyInPandasWithState(
-        step, schema, "opened long, last long, count long", "append", GroupStateTimeout.NoTimeout)
+def rate_limit(df: DataFrame, user: str, ts: str, row_id: str, limit: int = 100, seconds: float = 60.0, delay: str = "10 minutes") -> DataFrame:
+    """Accept a request when fewer than ``limit`` were accepted in the last ``seconds``, else refuse it."""
+    window = int(seconds * 1_000_000)
+
+    def fold(held, at, rid, _):
+        accepted = [a for a in held if at - a < window]
+        ok = len(accepted) < limit
+        return (accepted + [float(at)] if ok else accepted), (rid, ok)
+
+    return _in_time_order(df, user, ts, row_id, F.lit(0.0), fold, [(row_id, "long"), ("accepted", "boolean")], delay, seconds)
+
+
+def ema(df: DataFrame, key: str, ts: str, row_id: str, value: str, alpha: float = 0.1, delay: str = "10 minutes", idle: float = MONTH) -> DataFrame:
+    """Running mean and variance per point with the spread and slowness flags; null values are skipped."""
+
+    def fold(held, _, rid, v):
+        if v is None or v != v:
+            return held, None
+        mean, var, count = held or (0.0, 0.0, 0.0)
+        if count == 0:
+            mean, var = v, 0.0
+        else:
+            gap = v - mean
+            mean, var = alpha * v + (1 - alpha) * mean, (1 - alpha) * var + alpha * gap * gap
+        count += 1
+        z = abs(v - mean) / var ** 0.5 if count >= 10 and var > 0 else None
+        level = None if z is None or z <= 3 else "high" if z > 4 else "medium"
+        return [mean, var, count], (rid, mean, var, int(count), z, level, count > 1 and v > mean * 1.5)
+
+    fields = [(row_id, "long"), ("mean", "double"), ("variance", "double"), ("count", "long"), ("z_score", "double"), ("severity", "string"),
+              ("degraded", "boolean")]
+    return _in_time_order(df, key, ts, row_id, F.col(value).cast("double"), fold, fields, delay, idle)
+
+
+def episodes(df: DataFrame, key: str, ts: str, row_id: str, value: str, above: float, delay: str = "10 minutes", idle: float = MONTH) -> DataFrame:
+    """Alert episodes: opened by the first value above the limit, counted, given out when a good value closes them.
+
+    Null values neither open nor close one. A key with an open episode is not forgotten.
+    """
+
+    def fold(held, at, _, v):
+        opened, last, count = held or (0.0, 0.0, 0.0)
+        if v is None or v != v:
+            return held, None
+        if v > above:
+            return ([at, at, 1.0] if count == 0 else [opened, at, count + 1]), None
+        done = (int(opened), int(last), int(count), at) if count else None
+        return [0.0, 0.0, 0.0], done
+
+    fields = [("opened_us", "long"), ("last_us", "long"), ("trigger_count", "long"), ("resolved_us", "long")]
+    return _in_time_order(df, key, ts, row_id, F.col(value).cast("double"), fold, fields, delay, idle, lambda held: not held or held[2] == 0)

@@ -28,6 +28,24 @@ def split_stream(spark, hot, parts=4):
     return flow.file_stream(spark, folder, hot.schema, max_files=1)
 
 
+def shuffled_stream(spark, hot, parts=5):
+    """The series dealt to files by id, two files per micro-batch, and one row at the end
+    that lets out what waits; the null key is one of the keys."""
+    folder = scratch_path(spark, "shuffled")
+    for i in range(parts):
+        hot.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i).coalesce(1).write.mode("append").parquet(folder)
+    last = spark.createDataFrame([("~end", -1, 1700000000 + 10 ** 8, None)], "key string, id long, sec long, value double")
+    last.selectExpr("key", "id", "timestamp_seconds(sec) AS ts", "value").coalesce(1).write.mode("append").parquet(folder)
+    return flow.file_stream(spark, folder, hot.schema, max_files=2)
+
+
+def by_key(hot):
+    rows = {}
+    for r in sorted(hot.collect(), key=lambda r: (r["ts"], r["id"])):
+        rows.setdefault(r["key"], []).append(r)
+    return rows
+
+
 def test_duration_alert(spark, hot):
     rules = [{"rule": "r", "metric": k, "operator": "gt", "threshold": 0.0} for k in ("hot", "a", "b", "c")]
     got = {r["key"]: r["fires"] for r in T.duration_alerts(hot, "key", "ts", "value", rules, 60).collect()}
@@ -38,7 +56,7 @@ def test_duration_alert(spark, hot):
 
 def test_episodes_batch_and_stream(spark, hot):
     want = set()
-    for key, rows in ordered(hot).items():
+    for key, rows in by_key(hot).items():
         count = 0
         for r in rows:
             if r["value"] > 30:
@@ -47,10 +65,9 @@ def test_episodes_batch_and_stream(spark, hot):
             elif count:
                 want.add((key, start, last, count, r["ts"]))
                 count = 0
-    clean = hot.filter("key is not null")
-    batch = T.alert_episodes(clean, "key", ["ts", "id"], F.col("value") > 30).filter("resolved_at is not null")
+    batch = T.alert_episodes(hot, "key", ["ts", "id"], F.col("value") > 30).filter("resolved_at is not null")
     assert {tuple(r) for r in batch.select("key", "opened_at", "last_triggered", "trigger_count", "resolved_at").collect()} == want
-    out = flow.drain(stateful.episodes(split_stream(spark, hot), "key", "ts", "id", "value", 30))
+    out = flow.drain(stateful.episodes(shuffled_stream(spark, hot), "key", "ts", "id", "value", 30, "2 hours"))
     at = lambda c: F.timestamp_micros(c)
     got = out.select("key", at("opened_us"), at("last_us"), "trigger_count", at("resolved_us")).collect()
     assert {tuple(r) for r in got} == want
@@ -58,7 +75,7 @@ def test_episodes_batch_and_stream(spark, hot):
 
 def test_ema_batch_and_stream(spark, hot):
     want = {}
-    for rows in ordered(hot).values():
+    for rows in by_key(hot).values():
         mean = var = None
         for n, r in enumerate(rows, 1):
             v = r["value"]
@@ -68,9 +85,8 @@ def test_ema_batch_and_stream(spark, hot):
                 var = 0.9 * var + 0.1 * (v - mean) ** 2
                 mean = 0.9 * mean + 0.1 * v
             want[r["id"]] = (mean, var, n)
-    clean = hot.filter("key is not null")
-    batch = T.ema_anomaly(clean, "key", ["ts", "id"], "value").collect()
-    stream = flow.drain(stateful.ema(split_stream(spark, hot), "key", "ts", "id", "value")).collect()
+    batch = T.ema_anomaly(hot, "key", ["ts", "id"], "value").collect()
+    stream = flow.drain(stateful.ema(shuffled_stream(spark, hot), "key", "ts", "id", "value", delay="2 hours")).collect()
     for rows in (batch, stream):
         assert len(rows) == len(want)
         for r in rows:
@@ -80,7 +96,7 @@ def test_ema_batch_and_stream(spark, hot):
 
 def test_rate_limit_stream(spark, hot):
     want = {}
-    for rows in ordered(hot).values():
+    for rows in by_key(hot).values():
         accepted = []
         for r in rows:
             t = r["ts"].timestamp()
@@ -88,7 +104,7 @@ def test_rate_limit_stream(spark, hot):
             want[r["id"]] = len(accepted) < 3
             if want[r["id"]]:
                 accepted.append(t)
-    out = flow.drain(stateful.rate_limit(split_stream(spark, hot), "key", "ts", "id", 3, 60))
+    out = flow.drain(stateful.rate_limit(shuffled_stream(spark, hot), "key", "ts", "id", 3, 60, "2 hours"))
     assert {r["id"]: r["accepted"] for r in out.collect()} == want
 
 
