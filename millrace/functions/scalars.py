@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that stand for a missing value, and words that mean true.
 NULL_WORDS = ["null", "none", "n/a", "na", ""]
@@ -81,6 +82,22 @@ def sanitize_sql(c: str | Column) -> Column:
     return out
 
 
+def sanitize_deep(c: str | Column, kind: T.DataType) -> Column:
+    """``sanitize_sql`` on every text of a value of type ``kind``, at any depth."""
+    x = col(c)
+    if isinstance(kind, T.StringType):
+        return sanitize_sql(x)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda e: sanitize_deep(e, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [sanitize_deep(x.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(x.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.transform(F.map_entries(x), lambda e: F.struct(
+            sanitize_deep(e["key"], kind.keyType), sanitize_deep(e["value"], kind.valueType))))
+    return x
+
+
 def sanitize_sql_array(c: str | Column) -> Column:
     return F.transform(col(c), sanitize_sql)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,15 +105,18 @@ def error_rows(df: DataFrame, key: list[str], rules: list[dict]) -> DataFrame:
     return found.select(*key, "e.rule", "e.rule_type", "e.field", "e.severity", "e.value")
 
 
-def schema_check(df: DataFrame, fields: list[dict]) -> DataFrame:
+def schema_check(df: DataFrame, fields: list[dict], primary_key: Sequence[str] = ()) -> DataFrame:
     """Declared fields against the data: rows ``(field, check, errors)``.
 
     Field: ``name``, ``required``, ``nullable``, ``unique``, ``min_length``,
     ``max_length``, ``min_value``, ``max_value``, ``pattern``, ``allowed_values``.
+    The columns of ``primary_key`` must be declared.
     """
     known = {f["name"] for f in fields}
     if len(known) != len(fields) or "" in known:
         raise ValueError("field names must be distinct and not empty")
+    if not set(primary_key) <= known:
+        raise ValueError(f"primary key is not among the fields: {sorted(set(primary_key) - known)}")
     checks: list[tuple[str, str, Column]] = []
     for f in fields:
         n = f["name"]

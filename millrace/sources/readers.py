@@ -72,9 +72,11 @@ _BY_SUFFIX = [
     ((".parquet", ".pq"), read_parquet), ((".txt", ".log"), read_text), ((".orc",), read_orc), ((".avro",), read_avro)]
 
 
-def read_auto(spark: SparkSession, path: str, fallback=None) -> DataFrame:
-    """Reader by suffix (a folder may carry one)."""
+def read_auto(spark: SparkSession, path: str, fallback=None, row_tag: str = "row") -> DataFrame:
+    """Reader by suffix (a folder may carry one); ``row_tag`` is the element of a row in XML."""
     low = path.lower().rstrip("/")
+    if low.endswith(".xml"):
+        return read_xml(spark, path, row_tag)
     for endings, reader in _BY_SUFFIX:
         if low.endswith(endings):
             return reader(spark, path)
