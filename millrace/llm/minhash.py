@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 
 from . import bytetext
 from .components import components
-from .store import kept, removed
+from .store import kept
 
 SHINGLE = 5
 SIMILAR = 0.8
 K, ROWS, BANDS = 192, 5, 32
 FAR = 51
+WIDE, WIDE_FAR = 2048, 266
+#: Places of the filter that keeps most texts nobody asks for out of a join. It is
+#: broadcast, and never holds more rows than this.
+PLACES = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,12 +142,18 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two << (np.uint64(2) * np.arange(32, dtype=np.uint64)), axis=2)
 
 
-def _apart(x: str, y: str) -> Column:
+def wide_sketches(sig: np.ndarray) -> np.ndarray:
+    """n x WIDE/64 numbers of 64 coordinates, 1 bit each."""
+    one = ((sig >> np.uint64(40)) & np.uint64(1)).reshape(len(sig), -1, 64)
+    return np.bitwise_or.reduce(one << np.arange(64, dtype=np.uint64), axis=2)
+
+
+def _apart(x: str, y: str, wide: bool = False) -> Column:
     """Coordinates in which two sketches differ."""
     parts = []
-    for k in range(K // 32):
+    for k in range(WIDE // 64 if wide else K // 32):
         gap = F.col(x)[k].bitwiseXOR(F.col(y)[k])
-        parts.append(F.bit_count(gap.bitwiseOR(F.shiftrightunsigned(gap, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+        parts.append(F.bit_count(gap if wide else gap.bitwiseOR(F.shiftrightunsigned(gap, 1)).bitwiseAND(F.lit(0x5555555555555555))))
     return sum(parts[1:], parts[0])
 
 
@@ -170,14 +180,39 @@ def signed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, "digest binary, keys array<long>, sketch array<long>")
 
 
+def widened(texts: DataFrame) -> DataFrame:
+    """(digest, sketch) with ``WIDE`` coordinates; ``texts``: digest, text."""
+    import pyarrow as pa
+
+    def rows(batches):
+        for (digest,), data, off in bytetext.slices(batches, ["digest"], "text", 1 << 17):
+            owner, element, weight = shingles(data, off)
+            some = np.unique(owner)
+            if len(some):
+                sketch = wide_sketches(signatures(np.searchsorted(some, owner), element, weight, len(some), WIDE)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([digest.take(pa.array(some)), pa.FixedSizeListArray.from_arrays(
+                    pa.array(sketch.ravel()), WIDE // 64).cast(pa.list_(pa.int64()))], ["digest", "sketch"])
+
+    return texts.mapInArrow(rows, "digest binary, sketch array<long>")
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(digest, text) of the nodes, once each.
+
+    A filter of bounded size goes ahead of the join, so that few of the other texts
+    are shuffled as long as the nodes are few; with many of them it lets all pass.
+    """
+    place = F.pmod(F.xxhash64("digest"), F.lit(PLACES)).alias("place")
+    some = texts.withColumn("place", place).join(F.broadcast(nodes.select(place).distinct()), "place", "left_semi").drop("place")
+    return some.join(nodes.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, exactly."""
+    """The pairs (a, b) whose texts are similar, exactly; ``texts``: digest, text, once each."""
     import pyarrow as pa
 
-    needed = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
-    found = kept(texts.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "pair-texts")
-    both = pairs.join(found.select(F.col("digest").alias("a"), F.col("text").alias("left")), "a").join(
-        found.select(F.col("digest").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+    both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("left")), "a").join(
+        texts.select(F.col("digest").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
 
     def checked(batches):
         for batch in batches:
@@ -198,9 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
                     keep.append(common >= similar * (v.sum() + w.sum() - common) - 1e-9 and common > 0)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = kept(both.mapInArrow(checked, "a binary, b binary"), "links")
-    removed(links.sparkSession, found)
-    return links
+    return kept(both.mapInArrow(checked, "a binary, b binary"), "links")
 
 
 def links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -217,15 +250,24 @@ def links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
         "key", F.col("h.digest").alias("head"), F.col("h.sketch").alias("head_sketch"))
     star = kept(placed.join(heads, "key").filter((F.col("digest") != F.col("head")) & (_apart("sketch", "head_sketch") <= FAR)).select(
         F.least("digest", "head").alias("a"), F.greatest("digest", "head").alias("b")).distinct(), "star-pairs")
-    first = verified(star, texts, similar)
+    known = kept(_texts_of(texts, nodes), "pair-texts")
+    first = verified(star, known, similar)
     label = components(first)
     parted = placed.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     mixed = parted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    open_rows = kept(parted.join(mixed, "key", "left_semi").select("key", "digest", "label", "sketch"), "open")
-    other = open_rows.select("key", F.col("digest").alias("other"), F.col("label").alias("other_label"), F.col("sketch").alias("other_sketch"))
-    rest = open_rows.join(other, "key").filter((F.col("digest") < F.col("other")) & (F.col("label") != F.col("other_label")) & (_apart("sketch", "other_sketch") <= FAR))
-    rest = rest.select(F.col("digest").alias("a"), F.col("other").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return first.union(verified(kept(rest, "rest-pairs"), texts, similar))
+    some = kept(parted.join(mixed, "key", "left_semi").select("key", "digest", "label"), "open")
+    left_over = some.select("digest").distinct()
+    wide = widened(known.join(left_over, "digest", "left_semi")).join(sigs.select("digest", "keys"), "digest")
+    open_rows = kept(some.join(kept(wide, "wide"), "digest"), "open-wide")
+    other = open_rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("digest", "label", "sketch", "keys")])
+    # A pair counts in the first of its common buckets: no earlier key may be common.
+    place = F.array_position("keys", F.col("key")).cast("int") - 1
+    earlier = F.arrays_overlap(F.slice("keys", F.lit(1), place), F.slice("other_keys", F.lit(1), place))
+    rest = open_rows.join(other, "key").filter(
+        (F.col("digest") < F.col("other_digest")) & (F.col("label") != F.col("other_label"))
+        & (_apart("sketch", "other_sketch", True) <= WIDE_FAR) & ~earlier)
+    rest = rest.select(F.col("digest").alias("a"), F.col("other_digest").alias("b")).join(star, ["a", "b"], "left_anti")
+    return first.union(verified(kept(rest, "rest-pairs"), known, similar))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
