@@ -94,12 +94,17 @@ def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     return tables[which]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of byte ranges: a polynomial taken from running sums."""
+def hasher(data: np.ndarray, which: int = 0):
+    """A function of (start, end) that gives 64-bit hashes of byte ranges: a polynomial
+    taken from running sums."""
     up, down = _powers(len(data) + 1, which)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return lambda start, end: mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    return hasher(data, which)(start, end)
 
 
 def grams(h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,9 +3,9 @@
 A chunk ends where the gear hash of the last 32 bytes has ``CUT`` zero bits,
 after ``LEAST`` and at the latest after ``MOST`` bytes, so an insertion moves only the
 cuts around it. Chunks whose digest occurs in two documents are repeated; adjacent
-ones that share a partner document form a seed. Each seed is then extended byte by
-byte against its partner's whole text, and counts as a passage from ``min_words``
-whole words on. The partner is the first document (by id) that holds the chunk, or
+ones that stand in the same order in a partner document form a seed. Each seed is then
+extended byte by byte against its partner's whole text, and counts as a passage from
+``min_words`` whole words on. The partner is the first document (by id) that holds the chunk, or
 the last one if that is the document itself.
 
 The first document keeps a passage, the others are marked ``removed``; ``cleaned``
@@ -27,6 +27,8 @@ from . import bytetext
 from .store import kept, removed
 
 LEAST, MOST, CUT = 32, 256, 5
+#: Bytes on either side of a chunk whose hashes go with it.
+RIM = 96
 MIN_WORDS = 50
 #: A random number per byte; only its being fixed matters.
 _GEAR = bytetext.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -63,48 +65,73 @@ def cuts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(doc, tag, at, size, digest) of every chunk; ``docs``: doc, tag, text."""
+    """(doc, tag, at, size, digest, left, right, n_words, rim_words) of every chunk;
+    ``docs``: doc, tag, text. ``left`` and ``right`` are hashes of the ``RIM`` bytes before
+    and after the chunk, ``rim_words`` the words that begin there."""
     import pyarrow as pa
 
     def rows(batches):
         for (doc, tag), data, off in bytetext.slices(batches, ["doc", "tag"], "text"):
             start, end, owner = cuts(data, off)
-            who = pa.array(owner)
-            digest = bytetext.span_hashes(data, start, end).view(np.int64)
-            yield pa.RecordBatch.from_arrays([doc.take(who), tag.take(who), pa.array((start - off[owner]).astype(np.int32)),
-                                              pa.array((end - start).astype(np.int32)), pa.array(digest)], ["doc", "tag", "at", "size", "digest"])
-
-    return docs.mapInArrow(rows, "doc long, tag long, at int, size int, digest long")
-
-
-def seeds(docs: DataFrame) -> DataFrame:
-    """(doc, tag, start, end, partner, partner_tag): runs of chunks shared with a partner."""
+            if not len(start):
+                continue
+            who, spans = pa.array(owner), bytetext.hasher(data)
+            before, after = np.maximum(start - RIM, off[owner]), np.minimum(end + RIM, off[owner + 1])
+            begun = np.zeros(len(data) + 1, np.int32)
+            begun[bytetext.words(data, off)[0] + 1] = 1
+            begun = np.cumsum(begun)
+            yield pa.RecordBatch.from_arrays([
+                doc.take(who), tag.take(who), pa.array((start - off[owner]).astype(np.int32)), pa.array((end - start).astype(np.int32)),
+                pa.array(spans(start, end).view(np.int64)),
+                pa.array((spans(before, start) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                pa.array((spans(end, after) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                pa.array((begun[end] - begun[start]).astype(np.int16)),
+                pa.array((begun[start] - begun[before] + begun[after] - begun[end]).astype(np.int16))],
+                ["doc", "tag", "at", "size", "digest", "left", "right", "n_words", "rim_words"])
+
+    return docs.mapInArrow(rows, "doc long, tag long, at int, size int, digest long, left int, right int, n_words short, rim_words short")
+
+
+def seeds(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc, tag, partner, partner_tag, spans): for a document and a partner, the runs of
+    chunks (start, end, start in the partner) that may be part of a long enough passage.
+
+    A run is left out only if the bytes around it differ from the partner's on both
+    sides within ``RIM`` bytes, and all words up to there would be too few.
+    """
     chunks = kept(chunked(docs), "chunks")
-    # Null ids as the smallest number, so that plain minima order documents.
-    doc = F.coalesce("doc", F.lit(-(1 << 63)))
     # Most digests occur once; those go before any document is compared.
     many = chunks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    again = kept(chunks.join(many, "digest").select(doc.alias("doc"), "tag", "at", "size", "digest"), "chunks-again")
-    key = F.struct("doc", "tag")
-    shared = again.groupBy("digest").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low <> high")
-    here = again.join(shared, "digest").withColumn("partner", F.when(F.col("low") != F.struct("doc", "tag"), F.col("low")).otherwise(F.col("high")))
-    own = W.partitionBy("doc", "tag").orderBy("at")
-    last = F.lag(F.struct(F.col("partner"), (F.col("at") + F.col("size")).alias("end"))).over(own)
-    begun = here.withColumn("_last", last).withColumn(
-        "_new", F.coalesce((F.col("_last.end") != F.col("at")) | (F.col("_last.partner") != F.col("partner")), F.lit(True)))
-    numbered = begun.withColumn("_run", F.sum(F.col("_new").cast("int")).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    runs = numbered.groupBy("doc", "tag", "_run").agg(
-        F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.first("partner").alias("p"))
-    out = kept(runs.select("doc", "tag", "start", "end", F.col("p.doc").alias("partner"), F.col("p.tag").alias("partner_tag")), "seeds")
+    # Null ids as the smallest number, so that plain minima order documents.
+    again = kept(chunks.join(many, "digest").withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63)))), "chunks-again")
     removed(docs.sparkSession, chunks)
+    place = F.struct("doc", "tag", "at", "left", "right")
+    shared = again.groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter(
+        "low.doc <> high.doc OR low.tag <> high.tag")
+    own = (F.col("low.doc") == F.col("doc")) & (F.col("low.tag") == F.col("tag"))
+    here = again.join(shared, "digest").withColumn("p", F.when(own, F.col("high")).otherwise(F.col("low"))).drop("low", "high", "digest")
+    by_doc = W.partitionBy("doc", "tag").orderBy("at")
+    line = F.struct(F.col("p.doc"), F.col("p.tag"), (F.col("at") - F.col("p.at")).alias("shift"))
+    before = F.lag(F.struct(line.alias("line"), (F.col("at") + F.col("size")).alias("end"))).over(by_doc)
+    begun = here.withColumn("line", line).withColumn("before", before).withColumn(
+        "new", F.coalesce((F.col("before.end") != F.col("at")) | (F.col("before.line") != F.col("line")), F.lit(True)))
+    numbered = begun.withColumn("run", F.sum(F.col("new").cast("int")).over(by_doc.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = numbered.groupBy("doc", "tag", "run").agg(
+        F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.min("line").alias("line"), F.sum("n_words").alias("n_words"),
+        F.min_by(F.col("left") == F.col("p.left"), "at").alias("left"),
+        F.max_by(F.col("right") == F.col("p.right"), "at").alias("right"), F.sum("rim_words").alias("all_rims"))
+    likely = runs.filter(F.col("left") | F.col("right") | (F.col("n_words") + F.col("all_rims") + 2 >= min_words))
+    pairs = likely.groupBy("doc", "tag", F.col("line.doc").alias("partner"), F.col("line.tag").alias("partner_tag")).agg(
+        F.collect_list(F.struct("start", "end", (F.col("start") - F.col("line.shift")).alias("there"))).alias("spans"))
+    out = kept(pairs, "seeds")
+    removed(docs.sparkSession, again)
     return out
 
 
-def extend(a: bytes, b: bytes, start: int, end: int) -> tuple[int, int] | None:
-    """The longest range of ``a`` around [start, end) that also stands in ``b``, at the
-    first place where the range itself does."""
-    there = b.find(a[start:end])
-    if there < 0:
+def extend(a: bytes, b: bytes, start: int, end: int, there: int) -> tuple[int, int] | None:
+    """The longest range of ``a`` around [start, end) that also stands in ``b``, where the
+    range itself begins at ``there``; None if it does not."""
+    if a[start:end] != b[there: there + end - start]:
         return None
     x, y = start, there
     step = 64
@@ -151,7 +178,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
 def _passages(rows: DataFrame, min_words: int) -> DataFrame:
     import pyarrow as pa
 
-    found = seeds(rows)
+    found = seeds(rows, min_words)
     low = F.lit(-(1 << 63))
     needed = found.select("doc", "tag").union(found.select("partner", "partner_tag")).distinct()
     texts = kept(rows.select(F.coalesce("doc", low).alias("doc"), "tag", "text").join(needed, ["doc", "tag"], "left_semi").groupBy(
@@ -163,17 +190,23 @@ def _passages(rows: DataFrame, min_words: int) -> DataFrame:
     def checked(batches):
         for batch in batches:
             out = []
-            for doc, tag, start, end, partner, partner_tag, a, b in zip(*[c.to_pylist() for c in batch.columns]):
-                a, b = a.encode(), b.encode()
-                span = extend(a, b, start, end)
-                if span:
-                    x, y, n = whole_words(a, *span)
-                    if n >= min_words:
-                        out.append((doc, tag, x, y, n, partner, (partner, partner_tag) < (doc, tag)))
+            for k in range(batch.num_rows):
+                doc, tag, partner, partner_tag, spans, a, b = (c[k].as_py() for c in batch.columns)
+                a, b, last = a.encode(), b.encode(), (0, -1, 0)
+                for s in sorted(spans, key=lambda s: (s["start"] - s["there"], s["start"])):
+                    start, end, there = s["start"], s["end"], s["there"]
+                    if start - there == last[0] and end <= last[1]:
+                        continue  # inside what the run before was extended to
+                    found = extend(a, b, start, end, there)
+                    if found:
+                        last = (start - there, found[1])
+                        x, y, n = whole_words(a, *found)
+                        if n >= min_words:
+                            out.append((doc, tag, x, y, n, partner, (partner, partner_tag) < (doc, tag)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], names)
 
-    got = both.select("doc", "tag", "start", "end", "partner", "partner_tag", "text", "other").mapInArrow(
+    got = both.select("doc", "tag", "partner", "partner_tag", "spans", "text", "other").mapInArrow(
         checked, "doc long, tag long, start int, end int, n_words int, partner long, removed boolean")
     # Seeds of one passage extend to the same range; the smallest partner stands for all.
     one = got.groupBy("doc", "tag", "start", "end").agg(F.max("n_words").alias("n_words"), F.min("partner").alias("partner"), F.max("removed").alias("removed"))
