@@ -28,6 +28,7 @@ HEADLINE = [
     "tsa20_ema_baseline", "tsa29_forecast_linear", "tsa33_autocorrelation", "sta01_describe_groups", "sta02_mann_whitney",
     "prv02_redact", "prv03_detect_leaks", "prv21_mutual_information", "lin02_downstream", "vec01_knn", "sql01_query",
     "pip03_generic_rules", "snk05_upsert", "str14_tumbling", "str16_sessions", "str05_drain",
+    "str09_stream_ema", "str10_stream_episodes", "lin08_find_cycles", "tsa21_ema_anomaly", "sta13_ratio_matrix", "nrm07_tfidf",
 ]
 
 
