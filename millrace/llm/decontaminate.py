@@ -1,20 +1,24 @@
-"""Benchmark passages in training text: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. All word n-grams of the test items go into a bit map of fixed size; a scan of the
-   documents keeps the n-grams whose bit is set (document, position, hash).
-2. These join the items' n-grams by hash. A seed's weight is its rarity: the
-   logarithm of all documents over the documents that hold it, counted over the
-   whole corpus. Seeds of one document and item are grouped by diagonal (position in
-   the document less position in the item, in buckets as wide as an item, each seed
-   in two overlapping buckets). A group is a candidate if it holds enough of the
-   item's weight; common n-grams weigh next to nothing, so they make no candidates,
-   and no n-gram or document is left out for being frequent.
+"""Benchmark passages in training text: word pairs as seeds, then Smith-Waterman alignment.
+
+1. All word pairs of the test items go into a bit map of fixed size; a scan of the
+   documents keeps the pairs whose bit is set (document, position, hash).
+2. These join the items' pairs by hash. Seeds of one document and item are grouped by
+   diagonal (position in the document less position in the item) in overlapping buckets
+   that hold every alignment of the threshold whole. A group is a candidate if it holds
+   as many of the item's pairs as the score needs: of 2n points an inserted word costs 1
+   and breaks one pair, a changed or missing word costs 3 and breaks two, a word left out
+   at an end costs 2 and breaks one, so n - 1 - 2n(1 - threshold) pairs remain. Rarity
+   decides nothing: half that number of an item's most frequent pairs is not looked
+   up and not asked for, which only saves work. Items so short that no pair need
+   remain (3 to 5 words at 0.6) are also sought by pairs with one word between.
 3. The candidate's words are aligned with the item's by Smith-Waterman (match 2,
    mismatch -1, gap -1). The score is that of the best local alignment over the score
-   of a full match; a document is contaminated from ``threshold`` on.
+   of a full match; a document is contaminated from ``threshold`` on. From 0.6 on no
+   pair of document and item is missed; a lower one may miss items of up to
+   1 / (2 threshold - 1) words.
 
-Words are runs of letters and digits in lower case. Items of fewer words than an
-n-gram are one n-gram of their own length and match only by it. Null and empty texts hold no words
+Words are runs of letters and digits in lower case. Items of one or two words match
+only as they stand. Null and empty texts hold no words
 and never match; items without words are ignored. Repeated documents are scored as
 rows of their own (by id, best score kept); columns other than id and text are only
 carried by ``clean``.
@@ -22,19 +26,19 @@ carried by ``clean``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytetext
 from .store import kept
 
-GRAM = 3
+GRAM = 2
 BITS = 23
 THRESHOLD = 0.6
-#: Share of an item's seed weight that a candidate must hold. A copy with every fourth
-#: word changed keeps about 0.75^3 = 0.42 of its n-grams.
-CANDIDATE = 0.15
 
 _TABLE = np.zeros(256, bool)
 _TABLE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -65,14 +69,30 @@ def _item_words(items: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.mapInArrow(hashed, f"item_id {kind}, words array<long>").filter(F.size("words") > 0)
 
 
-def _grams(words: list[int]) -> list[int]:
-    h = np.asarray(words, np.int64).view(np.uint64)
-    n = min(GRAM, len(h))
-    return bytetext.grams(h, np.zeros(len(h), np.int64), n)[0].view(np.int64).tolist()
+def needed(n: int, threshold: float = THRESHOLD) -> int:
+    """Word pairs that an item of ``n`` words must share at ``threshold``; 0 if none need remain."""
+    return max(0, math.ceil(n * (2 * threshold - 1) - 1 - 1e-9))
+
+
+def _gapped(h: np.ndarray, owner: np.ndarray, step: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first position) of the pairs of words ``step`` apart; in documents the item's
+    neighbours are sought with one word between."""
+    at = np.flatnonzero(owner[:-step] == owner[step:])
+    return bytetext.mix(bytetext.mix(h[at]) ^ h[at + step]), at
+
+
+def _grams(words: list[int], threshold: float) -> tuple[list[int], list[int]]:
+    """(hash, position) of an item's seeds."""
+    h, owner = np.asarray(words, np.int64).view(np.uint64), np.zeros(len(words), np.int64)
+    gram, at = bytetext.grams(h, owner, min(GRAM, len(h)))
+    if len(h) > GRAM and not needed(len(h), threshold):
+        more, there = _gapped(h, owner, 1)
+        gram, at = np.concatenate([gram, more]), np.concatenate([at, there])
+    return gram.view(np.int64).tolist(), at.tolist()
 
 
-def _item_grams(words: DataFrame) -> DataFrame:
-    """(item_id, n_words, gram, at) of every n-gram of the items."""
+def _item_grams(words: DataFrame, threshold: float) -> DataFrame:
+    """(item_id, n_words, gram, at) of every seed of the items."""
     import pyarrow as pa
 
     kind = words.schema["item_id"].dataType.simpleString()
@@ -80,11 +100,11 @@ def _item_grams(words: DataFrame) -> DataFrame:
     def rows(batches):
         for b in batches:
             ids, lists = b.column(0), b.column(1).to_pylist()
-            grams = [_grams(w) for w in lists]
-            owner = np.repeat(np.arange(len(lists)), [len(g) for g in grams])
+            grams = [_grams(w, threshold) for w in lists]
+            owner = np.repeat(np.arange(len(lists)), [len(g) for g, _ in grams])
             yield pa.RecordBatch.from_arrays([
-                ids.take(pa.array(owner)), pa.array([len(lists[k]) for k in owner], pa.int32()), pa.array([g for x in grams for g in x], pa.int64()),
-                pa.array([k for x in grams for k in range(len(x))], pa.int32())], ["item_id", "n_words", "gram", "at"])
+                ids.take(pa.array(owner)), pa.array([len(lists[k]) for k in owner], pa.int32()), pa.array([g for x, _ in grams for g in x], pa.int64()),
+                pa.array([k for _, x in grams for k in x], pa.int32())], ["item_id", "n_words", "gram", "at"])
 
     return words.select("item_id", "words").mapInArrow(rows, f"item_id {kind}, n_words int, gram long, at int")
 
@@ -93,9 +113,9 @@ def _bit(gram):
     return F.shiftrightunsigned(gram, 64 - BITS)
 
 
-def _hits(docs: DataFrame, bits: np.ndarray, short: bool) -> DataFrame:
+def _hits(docs: DataFrame, bits: np.ndarray, short: bool, gapped: bool) -> DataFrame:
     """(doc, gram, at) of the documents' n-grams whose bit is set; ``short``: also runs of
-    one to GRAM-1 words."""
+    one to GRAM-1 words; ``gapped``: also pairs with one word between."""
     import pyarrow as pa
 
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
@@ -107,8 +127,7 @@ def _hits(docs: DataFrame, bits: np.ndarray, short: bool) -> DataFrame:
             _, _, _, owner, h = hashed_words(data, off)
             first = np.cumsum(np.bincount(owner, minlength=len(off) - 1))
             first = np.concatenate([[0], first])
-            for n in sizes:
-                gram, at = bytetext.grams(h, owner, n)
+            for gram, at in [*(bytetext.grams(h, owner, n) for n in sizes), *([_gapped(h, owner)] if gapped else [])]:
                 hit = np.flatnonzero(table[(gram >> np.uint64(64 - BITS)).astype(np.int64)])
                 at = at[hit]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[at])), pa.array(gram[hit].view(np.int64)),
@@ -150,29 +169,31 @@ def smith_waterman(left: list[np.ndarray], right: list[np.ndarray], match: int =
     return best
 
 
-def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, item_id, low, high): windows of documents (in words) that hold enough seeds."""
-    words = items.withColumn("n_words", F.size("words"))
-    grams = kept(_item_grams(words), "bench-grams")
+    grams = kept(_item_grams(items, threshold), "bench-grams")
     bits = np.zeros(1 << BITS, bool)
     # At most 2^BITS places, whatever the benchmark's size.
     bits[[r[0] for r in grams.select(_bit(F.col("gram"))).distinct().collect()]] = True
-    short = not grams.filter(F.col("n_words") < GRAM).isEmpty()
-    hits = kept(_hits(docs, bits, short), "bench-hits")
-    found = hits.groupBy("gram").agg(F.countDistinct("doc").alias("df"))
-    total = docs.select(F.count("*")).head()[0]
-    rarity = F.log((F.lit(float(total)) + 1) / (F.coalesce("df", F.lit(0)) + F.lit(0.5)))
-    weighed = kept(grams.join(found, "gram", "left").withColumn("weight", F.greatest(rarity, F.lit(0.05))), "bench-seeds")
-    whole = weighed.groupBy("item_id").agg(F.sum("weight").alias("whole"))
-    seeds = hits.join(weighed.select("gram", F.col("at").alias("item_at"), "item_id", "n_words", "weight"), "gram")
-    width = F.col("n_words") + GRAM
-    place = F.floor((F.col("at") - F.col("item_at") + F.lit(1 << 20)) / width)
-    each = seeds.withColumn("bucket", F.explode(F.array(place, place - 1)))
+    lengths = [r[0] for r in grams.select("n_words").distinct().collect()]
+    hits = kept(_hits(docs, bits, min(lengths, default=GRAM) < GRAM, any(n > GRAM and not needed(n, threshold) for n in lengths)), "bench-hits")
+    asked = F.greatest(F.lit(0), F.ceil(F.col("n_words") * (2 * threshold - 1) - 1 - 1e-9)).cast("int")
+    spared = F.floor(asked / 2).cast("int")
+    # Only places of the seeds and how many are found matter; what is spared is taken from
+    # the pairs asked for, so a copy that keeps enough of them keeps enough of the rest.
+    often = hits.groupBy("gram").agg(F.count("*").alias("often"))
+    order = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("often"), "at"))
+    sought = grams.join(often, "gram").withColumn("order", order).filter(F.col("order") > spared)
+    sought = kept(sought.select("gram", F.col("at").alias("item_at"), "item_id", "n_words"), "bench-seeds")
+    # An alignment of the threshold leaves its diagonal by less than ``width``.
+    width = F.ceil(F.col("n_words") * (2 - 2 * threshold)).cast("int") + GRAM
+    seeds = hits.join(sought, "gram")
+    place = F.floor((F.col("at") - F.col("item_at")) / width).cast("int")
     # A seed of the item counts once in a bucket, wherever it occurs there.
-    once = each.groupBy("doc", "item_id", "n_words", "bucket", "item_at").agg(F.max("weight").alias("weight"), F.min("at").alias("low"), F.max("at").alias("high"))
-    held = once.groupBy("doc", "item_id", "n_words", "bucket").agg(F.sum("weight").alias("held"), F.min("low").alias("low"), F.max("high").alias("high"))
-    good = held.join(whole, "item_id").filter(F.col("held") >= F.lit(CANDIDATE) * F.col("whole"))
-    return good.select("doc", "item_id", F.greatest(F.col("low") - F.col("n_words"), F.lit(0)).alias("low"), (F.col("high") + GRAM + F.col("n_words")).alias("high"))
+    once = seeds.select("doc", "item_id", "n_words", F.explode(F.array(place, place - 1)).alias("bucket"), "item_at").distinct()
+    held = once.groupBy("doc", "item_id", "n_words", "bucket").agg(F.count("*").alias("held"))
+    good = held.filter(F.col("held") >= F.greatest(F.lit(1), asked - spared))
+    return good.select("doc", "item_id", F.greatest(F.col("bucket") * width, F.lit(0)).alias("low"), ((F.col("bucket") + 2) * width + F.col("n_words")).alias("high"))
 
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -182,7 +203,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
 
     items = kept(_item_words(bench, item_col, item_text), "bench-words")
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
-    found = kept(candidates(rows, items), "bench-candidates")
+    found = kept(candidates(rows, items, threshold), "bench-candidates")
     kinds = f"doc {rows.schema['doc'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
     # A document meets its own candidates only: texts by id, then items by id.
     texts = rows.join(found.select("doc").distinct(), "doc", "left_semi")

@@ -292,3 +292,51 @@ def test_slices_cut_nothing():
     for (ids,), data, off in bytetext.slices([batch.slice(1), batch.slice(0, 0), batch], ["i"], "t", 64):
         out += [(i, data[a:b].tobytes().decode()) for i, a, b in zip(ids.to_pylist(), off[:-1], off[1:])]
     assert out == [(i, t or "") for i, t in enumerate(texts)][1:] + [(i, t or "") for i, t in enumerate(texts)]
+
+
+def tidy(text):
+    return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+
+
+def all_pairs(rows, items):
+    """(document, item) of every pair that reaches the threshold, aligned without any filter."""
+    out = set()
+    for d, t in rows:
+        for i, x in items:
+            a, b = tidy(t), tidy(x)
+            if len(b) > 2 and align(a, b) / (2 * len(b)) >= decontaminate.THRESHOLD:
+                out.add((d, i))
+    return out
+
+
+def test_frequent_edited_items(spark):
+    """Copies with edits are found however many documents hold them, and wherever the edits lie."""
+    rnd = random.Random(21)
+    items = [(k, " ".join(prose(rnd, n))) for k, n in enumerate((24, 40, 12, 10, 30, 4, 5, 6, 7, 3))]
+    word = lambda: "x" + rnd.choice(VOCAB)
+
+    def copy(words, way):
+        if way == 0:  # every fourth word changed
+            return [word() if k % 4 == 3 else w for k, w in enumerate(words)]
+        if way == 1:  # a word after every second one
+            return [v for k, w in enumerate(words) for v in ([w, word()] if k % 2 else [w])]
+        if way == 2:  # a word after four of five
+            return [v for k, w in enumerate(words) for v in ([w] if k % 5 == 4 or k == len(words) - 1 else [w, word()])]
+        if way == 3:  # the first 60 in a hundred
+            return words[: -(-len(words) * 3 // 5)]
+        return edited(rnd, words, 0.25)
+
+    hot = " ".join(copy(items[0][1].split(), 0))
+    rows = [(k, " ".join([*prose(rnd, 8), hot, *prose(rnd, 4)])) for k in range(60)]
+    for k in range(60, 180):
+        _, text = items[rnd.randrange(len(items))]
+        rows.append((k, " ".join([*prose(rnd, rnd.randint(0, 15)), *copy(text.split(), k % 5), *prose(rnd, rnd.randint(0, 15))])))
+    want = all_pairs(rows, items)
+    assert {(k, 0) for k in range(60)} <= want and {i for _, i in want} == {i for i, _ in items}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.matches(docs, bench).collect()}
+    assert set(got) == want
+    texts, sought = dict(rows), dict(items)
+    assert all(abs(s - align(tidy(texts[d]), tidy(sought[i])) / (2 * len(tidy(sought[i])))) < 1e-9 for (d, i), s in got.items())
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
