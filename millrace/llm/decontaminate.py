@@ -53,7 +53,8 @@ def hashed_words(data: np.ndarray, off: np.ndarray):
 
 
 def _item_words(items: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(item_id, words: hashes) of the items with words; equal ids are one item by text."""
+    """(item, item_id, words: hashes) of the items with words. Rows of equal id and words are
+    one item; ``item`` is a number of its own for each, fixed once the rows are written."""
     import pyarrow as pa
 
     def hashed(batches):
@@ -66,7 +67,8 @@ def _item_words(items: DataFrame, id_col: str, text: str) -> DataFrame:
 
     kind = items.schema[id_col].dataType.simpleString()
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(hashed, f"item_id {kind}, words array<long>").filter(F.size("words") > 0)
+    found = rows.mapInArrow(hashed, f"item_id {kind}, words array<long>").filter(F.size("words") > 0).distinct()
+    return found.select(F.monotonically_increasing_id().alias("item"), "item_id", "words")
 
 
 def needed(n: int, threshold: float = THRESHOLD) -> int:
@@ -92,11 +94,9 @@ def _grams(words: list[int], threshold: float) -> tuple[list[int], list[int]]:
 
 
 def _item_grams(words: DataFrame, threshold: float) -> DataFrame:
-    """(item_id, n_words, gram, at) of every seed of the items."""
+    """(item, n_words, gram, at) of every seed of the items."""
     import pyarrow as pa
 
-    kind = words.schema["item_id"].dataType.simpleString()
-
     def rows(batches):
         for b in batches:
             ids, lists = b.column(0), b.column(1).to_pylist()
@@ -104,9 +104,9 @@ def _item_grams(words: DataFrame, threshold: float) -> DataFrame:
             owner = np.repeat(np.arange(len(lists)), [len(g) for g, _ in grams])
             yield pa.RecordBatch.from_arrays([
                 ids.take(pa.array(owner)), pa.array([len(lists[k]) for k in owner], pa.int32()), pa.array([g for x, _ in grams for g in x], pa.int64()),
-                pa.array([k for _, x in grams for k in x], pa.int32())], ["item_id", "n_words", "gram", "at"])
+                pa.array([k for _, x in grams for k in x], pa.int32())], ["item", "n_words", "gram", "at"])
 
-    return words.select("item_id", "words").mapInArrow(rows, f"item_id {kind}, n_words int, gram long, at int")
+    return words.select("item", "words").mapInArrow(rows, "item long, n_words int, gram long, at int")
 
 
 def _bit(gram):
@@ -170,7 +170,7 @@ def smith_waterman(left: list[np.ndarray], right: list[np.ndarray], match: int =
 
 
 def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, item_id, low, high): windows of documents (in words) that hold enough seeds."""
+    """(doc, item, low, high): windows of documents (in words) that hold enough seeds."""
     grams = kept(_item_grams(items, threshold), "bench-grams")
     bits = np.zeros(1 << BITS, bool)
     # At most 2^BITS places, whatever the benchmark's size.
@@ -182,18 +182,18 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     # Only places of the seeds and how many are found matter; what is spared is taken from
     # the pairs asked for, so a copy that keeps enough of them keeps enough of the rest.
     often = hits.groupBy("gram").agg(F.count("*").alias("often"))
-    order = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("often"), "at"))
+    order = F.row_number().over(W.partitionBy("item").orderBy(F.desc("often"), "at"))
     sought = grams.join(often, "gram").withColumn("order", order).filter(F.col("order") > spared)
-    sought = kept(sought.select("gram", F.col("at").alias("item_at"), "item_id", "n_words"), "bench-seeds")
+    sought = kept(sought.select("gram", F.col("at").alias("item_at"), "item", "n_words"), "bench-seeds")
     # An alignment of the threshold leaves its diagonal by less than ``width``.
     width = F.ceil(F.col("n_words") * (2 - 2 * threshold)).cast("int") + GRAM
     seeds = hits.join(sought, "gram")
     place = F.floor((F.col("at") - F.col("item_at")) / width).cast("int")
     # A seed of the item counts once in a bucket, wherever it occurs there.
-    once = seeds.select("doc", "item_id", "n_words", F.explode(F.array(place, place - 1)).alias("bucket"), "item_at").distinct()
-    held = once.groupBy("doc", "item_id", "n_words", "bucket").agg(F.count("*").alias("held"))
+    once = seeds.select("doc", "item", "n_words", F.explode(F.array(place, place - 1)).alias("bucket"), "item_at").distinct()
+    held = once.groupBy("doc", "item", "n_words", "bucket").agg(F.count("*").alias("held"))
     good = held.filter(F.col("held") >= F.greatest(F.lit(1), asked - spared))
-    return good.select("doc", "item_id", F.greatest(F.col("bucket") * width, F.lit(0)).alias("low"), ((F.col("bucket") + 2) * width + F.col("n_words")).alias("high"))
+    return good.select("doc", "item", F.greatest(F.col("bucket") * width, F.lit(0)).alias("low"), ((F.col("bucket") + 2) * width + F.col("n_words")).alias("high"))
 
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -207,7 +207,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
     kinds = f"doc {rows.schema['doc'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
     # A document meets its own candidates only: texts by id, then items by id.
     texts = rows.join(found.select("doc").distinct(), "doc", "left_semi")
-    pairs = found.join(items, "item_id").join(texts, "doc").select("doc", "item_id", "low", "high", "words", "text")
+    pairs = found.join(items, "item").join(texts, "doc").select("doc", "item_id", "low", "high", "words", "text")
 
     def aligned(batches):
         for (doc, item, low, high, words), data, off in bytetext.slices(batches, ["doc", "item_id", "low", "high", "words"], "text"):

@@ -340,3 +340,20 @@ def test_frequent_edited_items(spark):
     texts, sought = dict(rows), dict(items)
     assert all(abs(s - align(tidy(texts[d]), tidy(sought[i])) / (2 * len(tidy(sought[i])))) < 1e-9 for (d, i), s in got.items())
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_repeated_items(spark):
+    """Benchmark rows that repeat, and rows of one id with other texts, hide no copy."""
+    rnd = random.Random(22)
+    texts = [" ".join(prose(rnd, n)) for n in (20, 35, 15, 28)]
+    rows = [(k, " ".join([*prose(rnd, 10), *edited(rnd, texts[k % 4].split(), 0.1 * (k % 3 == 0)), *prose(rnd, 10)])) for k in range(40)]
+    items = [(0, texts[0]), (1, texts[1]), (2, texts[2]), (2, texts[3])] * 10
+    want = all_pairs(rows, set(items))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    got = decontaminate.matches(docs, bench).collect()
+    assert {d for d, _ in want} == {k for k, _ in rows}
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)
+    assert decontaminate.clean(docs, bench).count() == 0
+    once = decontaminate.matches(docs, bench.distinct()).collect()
+    assert sorted(got) == sorted(once)
