@@ -21,7 +21,8 @@ Words are runs of letters and digits in lower case. Items of one or two words ma
 only as they stand. Null and empty texts hold no words
 and never match; items without words are ignored. Repeated documents are scored as
 rows of their own (by id, best score kept); columns other than id and text are only
-carried by ``clean``.
+carried by ``clean``. A null item id is an id like any other. Documents with a null id
+have no row in ``matches``, which could not tell them apart; ``clean`` judges them too.
 """
 
 from __future__ import annotations

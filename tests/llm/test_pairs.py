@@ -357,3 +357,13 @@ def test_repeated_items(spark):
     assert decontaminate.clean(docs, bench).count() == 0
     once = decontaminate.matches(docs, bench.distinct()).collect()
     assert sorted(got) == sorted(once)
+
+
+def test_null_ids_of_items_and_documents(spark):
+    rnd = random.Random(23)
+    one, two = (" ".join(prose(rnd, 25)) for _ in range(2))
+    rows = [(1, "start " + one), (2, two + " end"), (None, "here " + one), (None, "nothing of it"), (3, "nor here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, one), (7, two)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()} == {(1, None), (2, 7)}
+    assert sorted(r["text"] for r in decontaminate.clean(docs, bench).collect()) == ["nor here", "nothing of it"]
