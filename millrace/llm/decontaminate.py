@@ -7,10 +7,9 @@
    that hold every alignment of the threshold whole. A group is a candidate if it holds
    as many of the item's pairs as the score needs: of 2n points an inserted word costs 1
    and breaks one pair, a changed or missing word costs 3 and breaks two, a word left out
-   at an end costs 2 and breaks one, so n - 1 - 2n(1 - threshold) pairs remain. Rarity
-   decides nothing: half that number of an item's most frequent pairs is not looked
-   up and not asked for, which only saves work. Items so short that no pair need
-   remain (3 to 5 words at 0.6) are also sought by pairs with one word between.
+   at an end costs 2 and breaks one, so n - 1 - 2n(1 - threshold) pairs remain. What
+   other documents hold decides nothing. Items so short that no pair need remain (3 to
+   5 words at 0.6) are also sought by pairs with one word between.
 3. The candidate's words are aligned with the item's by Smith-Waterman (match 2,
    mismatch -1, gap -1). The score is that of the best local alignment over the score
    of a full match; a document is contaminated from ``threshold`` on. From 0.6 on no
@@ -31,7 +30,6 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytetext
@@ -178,22 +176,15 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     bits[[r[0] for r in grams.select(_bit(F.col("gram"))).distinct().collect()]] = True
     lengths = [r[0] for r in grams.select("n_words").distinct().collect()]
     hits = kept(_hits(docs, bits, min(lengths, default=GRAM) < GRAM, any(n > GRAM and not needed(n, threshold) for n in lengths)), "bench-hits")
-    asked = F.greatest(F.lit(0), F.ceil(F.col("n_words") * (2 * threshold - 1) - 1 - 1e-9)).cast("int")
-    spared = F.floor(asked / 2).cast("int")
-    # Only places of the seeds and how many are found matter; what is spared is taken from
-    # the pairs asked for, so a copy that keeps enough of them keeps enough of the rest.
-    often = hits.groupBy("gram").agg(F.count("*").alias("often"))
-    order = F.row_number().over(W.partitionBy("item").orderBy(F.desc("often"), "at"))
-    sought = grams.join(often, "gram").withColumn("order", order).filter(F.col("order") > spared)
-    sought = kept(sought.select("gram", F.col("at").alias("item_at"), "item", "n_words"), "bench-seeds")
+    asked = F.greatest(F.lit(1), F.ceil(F.col("n_words") * (2 * threshold - 1) - 1 - 1e-9))
     # An alignment of the threshold leaves its diagonal by less than ``width``.
     width = F.ceil(F.col("n_words") * (2 - 2 * threshold)).cast("int") + GRAM
-    seeds = hits.join(sought, "gram")
+    seeds = hits.join(grams.withColumnRenamed("at", "item_at"), "gram")
     place = F.floor((F.col("at") - F.col("item_at")) / width).cast("int")
     # A seed of the item counts once in a bucket, wherever it occurs there.
     once = seeds.select("doc", "item", "n_words", F.explode(F.array(place, place - 1)).alias("bucket"), "item_at").distinct()
     held = once.groupBy("doc", "item", "n_words", "bucket").agg(F.count("*").alias("held"))
-    good = held.filter(F.col("held") >= F.greatest(F.lit(1), asked - spared))
+    good = held.filter(F.col("held") >= asked)
     return good.select("doc", "item", F.greatest(F.col("bucket") * width, F.lit(0)).alias("low"), ((F.col("bucket") + 2) * width + F.col("n_words")).alias("high"))
 
 
