@@ -1,17 +1,23 @@
-"""Repeated passages by content-defined chunks (gear rolling hash).
-
-A chunk ends where the gear hash of the last 32 bytes has ``CUT`` zero bits,
-after ``LEAST`` and at the latest after ``MOST`` bytes, so an insertion moves only the
-cuts around it. Chunks whose digest occurs in two documents are repeated; adjacent
-ones that stand in the same order in a partner document form a seed. Each seed is then
-extended byte by byte against its partner's whole text, and counts as a passage from
-``min_words`` whole words on. The partner is the first document (by id) that holds the chunk, or
-the last one if that is the document itself.
+"""Repeated passages of ``min_words`` whole words and more, by their content.
+
+1. Every run of two fifths of ``min_words`` words has a hash; of the runs in a window of
+   ``min_words`` words the least hash marks the window (winnowing). Equal windows have
+   equal marks, so a passage that two documents share cannot escape. Consecutive windows
+   with the same mark form a block: about one for 16 words.
+2. Blocks whose mark stands in one document only are dropped. Equal blocks are looked
+   at once, in the first document that holds them: their windows are hashed, and a
+   window is repeated if documents of all its blocks are two or more.
+3. Each repeated window has a partner: the first document (by id) that holds it, or the last
+   one for the first document itself. Windows that overlap and stand at the same distance
+   in the same partner are one passage, which stands there whole. A longer run whose
+   parts have different first documents gives several passages that overlap.
+
+``cuts`` gives content-defined chunks by a gear rolling hash.
 
 The first document keeps a passage, the others are marked ``removed``; ``cleaned``
 cuts those out. Documents are told apart by id and text: rows that repeat both are
 one document, and a passage repeated only inside one document is none. Null and empty
-texts have no chunks. Offsets are bytes of the UTF-8 text.
+texts have no passages. Offsets are bytes of the UTF-8 text.
 """
 
 from __future__ import annotations
@@ -27,8 +33,6 @@ from . import bytetext
 from .store import kept, removed
 
 LEAST, MOST, CUT = 32, 256, 5
-#: Bytes on either side of a chunk whose hashes go with it.
-RIM = 96
 MIN_WORDS = 50
 #: A random number per byte; only its being fixed matters.
 _GEAR = bytetext.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
@@ -64,108 +68,72 @@ def cuts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.array(start, np.int64), np.array(end, np.int64), np.array(owner, np.int64)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(doc, tag, at, size, digest, left, right, n_words, rim_words) of every chunk;
-    ``docs``: doc, tag, text. ``left`` and ``right`` are hashes of the ``RIM`` bytes before
-    and after the chunk, ``rim_words`` the words that begin there."""
+def marked(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc, tag, mark, block, at, size, word) of every block; ``docs``: doc, tag, text. ``at``
+    and ``size`` are bytes, ``word`` is the number of its first word, ``block`` its hash."""
     import pyarrow as pa
 
+    run = max(1, min_words * 2 // 5)
+    width = min_words - run + 1
+
     def rows(batches):
         for (doc, tag), data, off in bytetext.slices(batches, ["doc", "tag"], "text"):
-            start, end, owner = cuts(data, off)
-            if not len(start):
+            start, end, owner = bytetext.words(data, off)
+            n = len(start) - min_words + 1
+            if n < 1:
+                continue
+            spans = bytetext.hasher(data)
+            hashes = spans(start[: len(start) - run + 1], end[run - 1:])
+            at = np.flatnonzero(owner[:n] == owner[min_words - 1:])
+            if not len(at):
                 continue
-            who, spans = pa.array(owner), bytetext.hasher(data)
-            before, after = np.maximum(start - RIM, off[owner]), np.minimum(end + RIM, off[owner + 1])
-            begun = np.zeros(len(data) + 1, np.int32)
-            begun[bytetext.words(data, off)[0] + 1] = 1
-            begun = np.cumsum(begun)
+            least = np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(1)[at] + at
+            # A mark of one text is no mark of the next, so a change of mark ends every block.
+            first = bytetext.runs_of(least)
+            low, high = at[first], at[np.append(first[1:], len(at)) - 1] + min_words - 1
+            who = pa.array(owner[low])
+            begun = np.searchsorted(owner, owner[low])
             yield pa.RecordBatch.from_arrays([
-                doc.take(who), tag.take(who), pa.array((start - off[owner]).astype(np.int32)), pa.array((end - start).astype(np.int32)),
-                pa.array(spans(start, end).view(np.int64)),
-                pa.array((spans(before, start) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                pa.array((spans(end, after) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                pa.array((begun[end] - begun[start]).astype(np.int16)),
-                pa.array((begun[start] - begun[before] + begun[after] - begun[end]).astype(np.int16))],
-                ["doc", "tag", "at", "size", "digest", "left", "right", "n_words", "rim_words"])
-
-    return docs.mapInArrow(rows, "doc long, tag long, at int, size int, digest long, left int, right int, n_words short, rim_words short")
-
-
-def seeds(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, tag, partner, partner_tag, spans): for a document and a partner, the runs of
-    chunks (start, end, start in the partner) that may be part of a long enough passage.
-
-    A run is left out only if the bytes around it differ from the partner's on both
-    sides within ``RIM`` bytes, and all words up to there would be too few.
-    """
-    chunks = kept(chunked(docs), "chunks")
-    # Most digests occur once; those go before any document is compared.
-    many = chunks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    # Null ids as the smallest number, so that plain minima order documents.
-    again = kept(chunks.join(many, "digest").withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63)))), "chunks-again")
-    removed(docs.sparkSession, chunks)
-    place = F.struct("doc", "tag", "at", "left", "right")
-    shared = again.groupBy("digest").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter(
-        "low.doc <> high.doc OR low.tag <> high.tag")
-    own = (F.col("low.doc") == F.col("doc")) & (F.col("low.tag") == F.col("tag"))
-    here = again.join(shared, "digest").withColumn("p", F.when(own, F.col("high")).otherwise(F.col("low"))).drop("low", "high", "digest")
-    by_doc = W.partitionBy("doc", "tag").orderBy("at")
-    line = F.struct(F.col("p.doc"), F.col("p.tag"), (F.col("at") - F.col("p.at")).alias("shift"))
-    before = F.lag(F.struct(line.alias("line"), (F.col("at") + F.col("size")).alias("end"))).over(by_doc)
-    begun = here.withColumn("line", line).withColumn("before", before).withColumn(
-        "new", F.coalesce((F.col("before.end") != F.col("at")) | (F.col("before.line") != F.col("line")), F.lit(True)))
-    numbered = begun.withColumn("run", F.sum(F.col("new").cast("int")).over(by_doc.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    runs = numbered.groupBy("doc", "tag", "run").agg(
-        F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("end"), F.min("line").alias("line"), F.sum("n_words").alias("n_words"),
-        F.min_by(F.col("left") == F.col("p.left"), "at").alias("left"),
-        F.max_by(F.col("right") == F.col("p.right"), "at").alias("right"), F.sum("rim_words").alias("all_rims"))
-    likely = runs.filter(F.col("left") | F.col("right") | (F.col("n_words") + F.col("all_rims") + 2 >= min_words))
-    pairs = likely.groupBy("doc", "tag", F.col("line.doc").alias("partner"), F.col("line.tag").alias("partner_tag")).agg(
-        F.collect_list(F.struct("start", "end", (F.col("start") - F.col("line.shift")).alias("there"))).alias("spans"))
-    out = kept(pairs, "seeds")
-    removed(docs.sparkSession, again)
-    return out
-
-
-def extend(a: bytes, b: bytes, start: int, end: int, there: int) -> tuple[int, int] | None:
-    """The longest range of ``a`` around [start, end) that also stands in ``b``, where the
-    range itself begins at ``there``; None if it does not."""
-    if a[start:end] != b[there: there + end - start]:
-        return None
-    x, y = start, there
-    step = 64
-    while x and y:
-        n = min(step, x, y)
-        if a[x - n: x] == b[y - n: y]:
-            x, y = x - n, y - n
-        elif n == 1:
-            break
-        else:
-            step = n // 2
-    u, v = end, there + end - start
-    step = 64
-    while u < len(a) and v < len(b):
-        n = min(step, len(a) - u, len(b) - v)
-        if a[u: u + n] == b[v: v + n]:
-            u, v = u + n, v + n
-        elif n == 1:
-            break
-        else:
-            step = n // 2
-    return x, u
-
-
-_SPACES = b" \t\n\x0b\x0c\r"
-
-
-def whole_words(text: bytes, start: int, end: int) -> tuple[int, int, int]:
-    """(start, end, words): the range without words that stand only partly in it."""
-    while start and start < end and text[start - 1] not in _SPACES and text[start] not in _SPACES:
-        start += 1
-    while end < len(text) and end > start and text[end] not in _SPACES and text[end - 1] not in _SPACES:
-        end -= 1
-    return start, end, len(text[start:end].split())
+                doc.take(who), tag.take(who), pa.array(hashes[least[first]].view(np.int64)), pa.array(spans(start[low], end[high]).view(np.int64)),
+                pa.array((start[low] - off[owner[low]]).astype(np.int32)), pa.array((end[high] - start[low]).astype(np.int32)),
+                pa.array((low - begun).astype(np.int32))], ["doc", "tag", "mark", "block", "at", "size", "word"])
+
+    return docs.mapInArrow(rows, "doc long, tag long, mark long, block long, at int, size int, word int")
+
+
+def _windows(both: DataFrame, min_words: int) -> DataFrame:
+    """(h, more, mark, block, k, s, e, low_at, high_at and documents) of the windows of blocks;
+    ``both``: doc, tag, text, blocks."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def rows(batches):
+        for (doc, tag, blocks), data, off in bytetext.slices(batches, ["doc", "tag", "blocks"], "text"):
+            start, end, _ = bytetext.words(data, off)
+            flat = blocks.flatten()
+            text_of = np.repeat(np.arange(len(off) - 1), pc.list_value_length(blocks).to_numpy(zero_copy_only=False))
+            at = flat.field("at").to_numpy(zero_copy_only=False) + off[text_of]
+            first = np.searchsorted(start, at)
+            last = np.searchsorted(end, at + flat.field("size").to_numpy(zero_copy_only=False))
+            count = last - first + 2 - min_words
+            here, of = bytetext.spread(first, count), np.repeat(np.arange(len(first)), count)
+            a, b, whose = start[here], end[here + min_words - 1], pa.array(of)
+            own = pa.array(text_of[of])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(bytetext.span_hashes(data, a, b).view(np.int64)),
+                pa.array((bytetext.span_hashes(data, a, b, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                *(flat.field(c).take(whose) for c in ("mark", "block")),
+                pa.array((here - first[of]).astype(np.int32)), pa.array((a - at[of]).astype(np.int32)), pa.array((b - at[of]).astype(np.int32)),
+                doc.take(own), tag.take(own), flat.field("at").take(whose),
+                *(flat.field(c).take(whose) for c in ("high_doc", "high_tag", "high_at"))],
+                ["h", "more", "mark", "block", "k", "s", "e", "doc", "tag", "at", "high_doc", "high_tag", "high_at"])
+
+    return both.mapInArrow(rows, "h long, more int, mark long, block long, k int, s int, e int, doc long, tag long, at int, "
+                                 "high_doc long, high_tag long, high_at int")
+
+
+def _apart(low: str, high: str):
+    return (F.col(f"{low}.doc") != F.col(f"{high}.doc")) | (F.col(f"{low}.tag") != F.col(f"{high}.tag"))
 
 
 def passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -176,41 +144,46 @@ def passages(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
 
 
 def _passages(rows: DataFrame, min_words: int) -> DataFrame:
-    import pyarrow as pa
-
-    found = seeds(rows, min_words)
-    low = F.lit(-(1 << 63))
-    needed = found.select("doc", "tag").union(found.select("partner", "partner_tag")).distinct()
-    texts = kept(rows.select(F.coalesce("doc", low).alias("doc"), "tag", "text").join(needed, ["doc", "tag"], "left_semi").groupBy(
-        "doc", "tag").agg(F.first("text").alias("text")), "seed-texts")
-    both = found.join(texts, ["doc", "tag"]).join(
-        texts.select(F.col("doc").alias("partner"), F.col("tag").alias("partner_tag"), F.col("text").alias("other")), ["partner", "partner_tag"])
-    names = ["doc", "tag", "start", "end", "n_words", "partner", "removed"]
-
-    def checked(batches):
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                doc, tag, partner, partner_tag, spans, a, b = (c[k].as_py() for c in batch.columns)
-                a, b, last = a.encode(), b.encode(), (0, -1, 0)
-                for s in sorted(spans, key=lambda s: (s["start"] - s["there"], s["start"])):
-                    start, end, there = s["start"], s["end"], s["there"]
-                    if start - there == last[0] and end <= last[1]:
-                        continue  # inside what the run before was extended to
-                    found = extend(a, b, start, end, there)
-                    if found:
-                        last = (start - there, found[1])
-                        x, y, n = whole_words(a, *found)
-                        if n >= min_words:
-                            out.append((doc, tag, x, y, n, partner, (partner, partner_tag) < (doc, tag)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()))], names)
-
-    got = both.select("doc", "tag", "partner", "partner_tag", "spans", "text", "other").mapInArrow(
-        checked, "doc long, tag long, start int, end int, n_words int, partner long, removed boolean")
-    # Seeds of one passage extend to the same range; the smallest partner stands for all.
+    null = F.lit(-(1 << 63))
+    # Null ids as the smallest number, so that plain minima order documents.
+    docs = rows.select(F.coalesce("doc", null).alias("doc"), "tag", "text")
+    spots = kept(marked(docs, min_words), "marks")
+    place = F.struct("doc", "tag", "at")
+    blocks = spots.groupBy("mark", "block").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("size").alias("size"))
+    blocks = kept(blocks, "blocks")
+    often = blocks.groupBy("mark").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter(_apart("low", "high")).select("mark")
+    chosen = blocks.join(often, "mark").groupBy(F.col("low.doc").alias("doc"), F.col("low.tag").alias("tag")).agg(F.collect_list(F.struct(
+        F.col("low.at").alias("at"), "size", "mark", "block", F.col("high.doc").alias("high_doc"), F.col("high.tag").alias("high_tag"),
+        F.col("high.at").alias("high_at"))).alias("blocks"))
+    chosen = kept(chosen, "blocks-again")
+    removed(rows.sparkSession, blocks)
+    # Rows that repeat id and text give their windows twice, which changes no minimum.
+    windows = kept(_windows(docs.join(chosen, ["doc", "tag"]).select("doc", "tag", "text", "blocks"), min_words), "windows")
+    removed(rows.sparkSession, chosen)
+    here = F.struct("doc", "tag", (F.col("at") + F.col("s")).alias("at"))
+    there = F.struct(F.col("high_doc").alias("doc"), F.col("high_tag").alias("tag"), (F.col("high_at") + F.col("s")).alias("at"))
+    shared = windows.groupBy("h", "more").agg(F.min(here).alias("low"), F.max(there).alias("high")).filter(_apart("low", "high"))
+    found = windows.select("h", "more", "mark", "block", "k", "s", "e").join(shared, ["h", "more"])
+    # A block has fewer windows than a window words, so all of them overlap.
+    ends = [F.struct(F.col(f"{x}.doc"), F.col(f"{x}.tag"), (F.col(f"{x}.at") - F.col("s")).alias("at")).alias(x) for x in ("low", "high")]
+    pieces = kept(found.groupBy("mark", "block", *ends).agg(
+        F.min("s").alias("s"), F.max("e").alias("e"), F.min("k").alias("first"), F.max("k").alias("last")), "pieces")
+    removed(rows.sparkSession, windows)
+    own = (F.col("low.doc") == F.col("doc")) & (F.col("low.tag") == F.col("tag"))
+    each = spots.join(pieces, ["mark", "block"]).withColumn("p", F.when(own, F.col("high")).otherwise(F.col("low"))).select(
+        "doc", "tag", F.col("p.doc").alias("partner"), F.col("p.tag").alias("partner_tag"), (F.col("at") - F.col("p.at")).alias("shift"),
+        (F.col("at") + F.col("s")).alias("start"), (F.col("at") + F.col("e")).alias("end"), (F.col("word") + F.col("first")).alias("first"),
+        (F.col("word") + F.col("last") + min_words).alias("last"), (~own).alias("removed")).distinct()
+    line = ["doc", "tag", "partner", "partner_tag", "shift"]
+    by_line = W.partitionBy(*line).orderBy("start", "end")
+    reached = F.max("end").over(by_line.rowsBetween(W.unboundedPreceding, -1))
+    numbered = each.withColumn("new", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))).withColumn(
+        "run", F.sum("new").over(by_line.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    got = numbered.groupBy(*line, "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("first")).alias("n_words"), F.first("removed").alias("removed"))
+    # The smallest partner stands for all that share one range.
     one = got.groupBy("doc", "tag", "start", "end").agg(F.max("n_words").alias("n_words"), F.min("partner").alias("partner"), F.max("removed").alias("removed"))
-    return one.select(F.nullif("doc", low).alias("doc"), "tag", "start", "end", "n_words", F.nullif("partner", low).alias("partner"), "removed")
+    return one.select(F.nullif("doc", null).alias("doc"), "tag", "start", "end", "n_words", F.nullif("partner", null).alias("partner"), "removed")
 
 
 def cleaned(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

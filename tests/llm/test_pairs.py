@@ -367,3 +367,46 @@ def test_null_ids_of_items_and_documents(spark):
     bench = spark.createDataFrame([(None, one), (7, two)], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()} == {(1, None), (2, 7)}
     assert sorted(r["text"] for r in decontaminate.clean(docs, bench).collect()) == ["nor here", "nothing of it"]
+
+
+def repeated_runs(rows, n=50):
+    """{(document, byte start, byte end): documents} of every run of ``n`` words that two documents share."""
+    import re
+
+    seen = {}
+    for d, t in rows:
+        raw = (t or "").encode()
+        spots = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        for a in range(len(spots) - n + 1):
+            x, y = spots[a][0], spots[a + n - 1][1]
+            seen.setdefault(raw[x:y], []).append((d, x, y))
+    return {spot: {d for d, _, _ in spots} for spots in seen.values() if len({d for d, _, _ in spots}) > 1 for spot in spots}
+
+
+def held_against_all_runs(spark, rows):
+    got = chunks.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    texts, runs = dict(rows), repeated_runs(rows)
+    ranges = {}
+    for r in got:
+        ranges.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["removed"]))
+        part = texts[r["doc_id"]].encode()[r["start"]: r["end"]]
+        assert part in texts[r["partner"]].encode() and len(part.split()) == r["n_words"] >= 50 and r["partner"] != r["doc_id"]
+    for (d, x, y), docs in runs.items():
+        assert any(a <= x and y <= b and cut == (d != min(docs)) for a, b, cut in ranges.get(d, [])), (d, x, y, docs)
+    assert set(ranges) == {d for d, _, _ in runs}
+    return runs
+
+
+def test_passages_of_several_partners(spark):
+    """A passage counts although each of its parts also stands, too short, in an earlier document."""
+    rnd = random.Random(31)
+    a, b, c = (prose(rnd, n) for n in (20, 22, 24))
+    f, g, h = (prose(rnd, n) for n in (70, 30, 30))
+    rows = [(k, " ".join(w)) for k, w in enumerate([
+        prose(rnd, 60), prose(rnd, 9) + a + b + prose(rnd, 9), prose(rnd, 5) + b + c + prose(rnd, 9), f + prose(rnd, 4), f[:35] + prose(rnd, 30),
+        prose(rnd, 3) + f, f[35:] + prose(rnd, 40), prose(rnd, 7) + g + h, prose(rnd, 8) + a + b + c + prose(rnd, 3), a + b + c + prose(rnd, 8),
+        g + h + prose(rnd, 5), f[:34], prose(rnd, 5) + f[36:]])]
+    runs = held_against_all_runs(spark, rows)
+    assert {3, 5, 7, 8, 9, 10} == {d for d, _, _ in runs}
+    left = {r["doc_id"]: r["text"] for r in chunks.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert " ".join(a + b + c) in left[8] and " ".join(a + b + c) not in left[9] and " ".join(f) in left[3] and " ".join(f) not in left[5]
