@@ -410,3 +410,25 @@ def test_passages_of_several_partners(spark):
     assert {3, 5, 7, 8, 9, 10} == {d for d, _, _ in runs}
     left = {r["doc_id"]: r["text"] for r in chunks.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert " ".join(a + b + c) in left[8] and " ".join(a + b + c) not in left[9] and " ".join(f) in left[3] and " ".join(f) not in left[5]
+
+
+def test_passages_of_short_words(spark):
+    """Passages are found whatever their bytes: words of one or two letters, no cut places, shifted repeats."""
+    rnd = random.Random(32)
+    tiny = lambda n: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzäö") for _ in range(rnd.randint(1, 2))) for _ in range(n)]
+    rows, k = [], 0
+    for n in (50, 50, 50, 51, 52, 55, 49) * 12:
+        passage = tiny(n)
+        for _ in range(2):
+            rows.append((k, " ".join(tiny(rnd.randint(0, 30)) + passage + tiny(rnd.randint(0, 30)))))
+            k += 1
+    rows += [(k, "la " * 120), (k + 1, "x\tla " + "la " * 70), (k + 2, "la " * 49), (k + 3, "y" + " la" * 300)]
+    held_against_all_runs(spark, rows)
+
+
+def test_query_passages_whole(spark):
+    rows = sorted({(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["doc_id"] is not None})
+    if len(dict(rows)) == len(rows):
+        held_against_all_runs(spark, rows)
+    got = {r["doc_id"] for r in QUERIES["op6_repeated_passages"](spark, SF).collect()}
+    assert got - {None} >= {d for d, _, _ in repeated_runs(rows)}
