@@ -147,7 +147,7 @@ def _passages(rows: DataFrame, min_words: int) -> DataFrame:
     null = F.lit(-(1 << 63))
     # Null ids as the smallest number, so that plain minima order documents.
     docs = rows.select(F.coalesce("doc", null).alias("doc"), "tag", "text")
-    spots = kept(marked(docs, min_words), "marks")
+    spots = kept(marked(docs, min_words), "marks", "zstd")
     place = F.struct("doc", "tag", "at")
     blocks = spots.groupBy("mark", "block").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("size").alias("size"))
     blocks = kept(blocks, "blocks")
@@ -158,17 +158,19 @@ def _passages(rows: DataFrame, min_words: int) -> DataFrame:
     chosen = kept(chosen, "blocks-again")
     removed(rows.sparkSession, blocks)
     # Rows that repeat id and text give their windows twice, which changes no minimum.
-    windows = kept(_windows(docs.join(chosen, ["doc", "tag"]).select("doc", "tag", "text", "blocks"), min_words), "windows")
+    windows = kept(_windows(docs.join(chosen, ["doc", "tag"]).select("doc", "tag", "text", "blocks"), min_words), "windows", "zstd")
     removed(rows.sparkSession, chosen)
     here = F.struct("doc", "tag", (F.col("at") + F.col("s")).alias("at"))
     there = F.struct(F.col("high_doc").alias("doc"), F.col("high_tag").alias("tag"), (F.col("high_at") + F.col("s")).alias("at"))
-    shared = windows.groupBy("h", "more").agg(F.min(here).alias("low"), F.max(there).alias("high")).filter(_apart("low", "high"))
+    # Written first, so that the shuffle files of the counting are gone when the windows are dealt out again.
+    shared = kept(windows.groupBy("h", "more").agg(F.min(here).alias("low"), F.max(there).alias("high")).filter(_apart("low", "high")), "shared", "zstd")
     found = windows.select("h", "more", "mark", "block", "k", "s", "e").join(shared, ["h", "more"])
     # A block has fewer windows than a window words, so all of them overlap.
     ends = [F.struct(F.col(f"{x}.doc"), F.col(f"{x}.tag"), (F.col(f"{x}.at") - F.col("s")).alias("at")).alias(x) for x in ("low", "high")]
     pieces = kept(found.groupBy("mark", "block", *ends).agg(
         F.min("s").alias("s"), F.max("e").alias("e"), F.min("k").alias("first"), F.max("k").alias("last")), "pieces")
     removed(rows.sparkSession, windows)
+    removed(rows.sparkSession, shared)
     own = (F.col("low.doc") == F.col("doc")) & (F.col("low.tag") == F.col("tag"))
     each = spots.join(pieces, ["mark", "block"]).withColumn("p", F.when(own, F.col("high")).otherwise(F.col("low"))).select(
         "doc", "tag", F.col("p.doc").alias("partner"), F.col("p.tag").alias("partner_tag"), (F.col("at") - F.col("p.at")).alias("shift"),
