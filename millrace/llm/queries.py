@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import corpus_queries, model_queries, native_queries  # noqa: F401
+from . import corpus_queries, model_queries, native_queries, scan_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 QUERIES["pipeline"] = corpus_pipeline.run
