@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import resample
+from . import resample, secretscan, whitening
 from .registry import query
 
 RESAMPLE_SQL = r"""
@@ -47,3 +48,31 @@ FROM rated
 def op11_resampling(t) -> DataFrame:
     """Importance weights of all documents against the benchmark's texts, and the draw of five in a hundred."""
     return resample.resample(t.documents, t.benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def vocabulary() -> tuple[str, str]:
+    """File and pattern of the 50k tiktoken vocabulary of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op12_secrets")
+def op12_secrets(t) -> DataFrame:
+    """Secrets in all documents: counts and digest of the fixed patterns, and all spans."""
+    found = secretscan.scan(t.documents, *vocabulary())
+    spans = F.col("spans")
+
+    def n(kind: str):
+        return F.size(secretscan.of_kind(spans, kind)).cast("long")
+
+    return found.select(
+        "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
+        F.sha2(secretscan.joined(secretscan.of_kind(spans, *secretscan.BASE)), 256).alias("base_sha256"),
+        secretscan.joined(spans).alias("spans"), n("random").alias("n_random"))
+
+
+@query("op13_whitening")
+def op13_whitening(t) -> DataFrame:
+    """All embeddings on the four leading components of their distinct vectors, to unit variance."""
+    return whitening.whitened(t.embeddings)
