@@ -167,14 +167,10 @@ def gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFram
     spark = raw.sparkSession
     all_of = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     both = all_of.join(raw.withColumnRenamed("n", "s"), "bucket", "left").join(target.withColumnRenamed("n", "t"), "bucket", "left").fillna(0, ["s", "t"])
-    whole = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-
-    def real(x) -> Column:
-        return F.col(x).cast("double")
-
-    share = (real("t") + 1) * (real("all_s") + buckets) / ((real("s") + 1) * (real("all_t") + buckets))
-    # One row of totals beside each bucket.
-    return both.join(F.broadcast(whole)).select("bucket", F.floor(1000 * F.log(share)).alias("gain"))
+    s, t = F.col("s").cast("double"), F.col("t").cast("double")
+    whole = both.select(F.struct(F.sum("s").cast("double").alias("s"), F.sum("t").cast("double").alias("t"))).scalar()
+    share = (t + 1) * (whole["s"] + buckets) / ((s + 1) * (whole["t"] + buckets))
+    return both.select("bucket", F.floor(1000 * F.log(share)).alias("gain"))
 
 
 def weigh(df: DataFrame, gain: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
