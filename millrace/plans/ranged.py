@@ -20,9 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import settle
+from .keys import join_by_key
 
 Cols = Sequence[str]
 SLICES = 32
+#: Ranks at which a sketch is read, and its accuracy.
+GRID, ACCURACY = 500, 10_000
+#: Values of a key that a bracket may hold for the last step.
+INSIDE = 100_000
+#: Keys whose brackets are broadcast: a row of some hundred bytes each.
+MANY_KEYS = 50_000
 
 
 def ranged(df: DataFrame, keys: Cols, order: Cols, inside: bool = False) -> DataFrame:
@@ -179,6 +186,83 @@ def ranked_values(df: DataFrame, keys: Cols, value: str, weight: str | None = No
     return running(value_counts(df, keys, value, weight), keys, [value], {"upto": F.col("n")}, {"total": "upto"})
 
 
+def _ranks(points: Mapping[str, float], method: str, n: Column) -> dict[str, tuple[Column, Column]]:
+    """Lowest and highest wanted rank (from 0) of each point among ``n`` values."""
+    out = {}
+    for name, p in points.items():
+        if method == "index":
+            low = F.least(F.floor(n * F.lit(float(p)) + F.lit(1e-9)), n - 1)
+            out[name] = (low, low)
+        else:
+            spot = (n - 1) * F.lit(float(p))
+            low = F.floor(spot + F.lit(1e-9))
+            out[name] = (low, F.ceil(spot - F.lit(1e-9)) if method == "linear" else low)
+    return out
+
+
+def _bounded(table: DataFrame) -> DataFrame:
+    """``table`` as a local frame to broadcast if it has at most ``MANY_KEYS`` rows."""
+    few = table.limit(MANY_KEYS + 1).toArrow()
+    if few.num_rows > MANY_KEYS:
+        return table
+    return F.broadcast(table.sparkSession.createDataFrame(few, table.schema))
+
+
+def _beside(rows: DataFrame, table: DataFrame, keys: Cols) -> DataFrame:
+    """``rows`` with the columns of their key's row in ``table``."""
+    if keys:
+        return join_by_key(rows, table, keys)
+    one = table.select(F.struct(*table.columns).alias("b")).scalar()
+    return rows.select("*", *[one[c].alias(c) for c in table.columns])
+
+
+def _brackets(rows: DataFrame, keys: Cols, points: Mapping[str, float], method: str) -> DataFrame:
+    """Per key ``_lo<i>``, ``_hi<i>``: values between which the ranks of point i lie.
+
+    A sketch of each key's values, read at ``GRID`` ranks, gives them; the neighbours one
+    step farther out are taken, which is twenty times its error. At most five steps' share of
+    the values lies strictly between them; while that may be more than ``INSIDE`` values,
+    these are sketched again.
+    """
+    steps = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    inf = float("inf")
+
+    def cell(grid: Column, rank: Column, n: Column, out: int, far: float) -> Column:
+        at = (F.floor(F.try_divide(rank, n) * GRID) - 1 if out < 0 else F.ceil(F.try_divide(rank + 1, n) * GRID) + 1).cast("int")
+        return F.when((at < 0) | (at > GRID), F.lit(far)).otherwise(F.get(grid, at))
+
+    n = F.count(F.lit(1))
+    sketch = rows.groupBy(*keys).agg(n.alias("_n"), F.percentile_approx("_spot", steps, ACCURACY).alias("_grid"))
+    names = list(points)
+    made = sketch.select(*keys, "_n", *[
+        c for i, (low, high) in enumerate(_ranks(points, method, F.col("_n")).values())
+        for c in (cell(F.col("_grid"), low, F.col("_n"), -1, -inf).alias(f"_lo{i}"), cell(F.col("_grid"), high, F.col("_n"), 1, inf).alias(f"_hi{i}"))])
+    width = F.col("_n") * 5 / GRID
+    table = _bounded(made.select("*", *[F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), 0).otherwise(width).alias(f"_w{i}") for i in range(len(names))]))
+
+    def widest() -> float:
+        each = [F.max(f"_w{i}") for i in range(len(names))]
+        return table.agg((F.greatest(*each) if len(each) > 1 else each[0]).alias("w")).head()["w"] or 0
+
+    while widest() > INSIDE:
+        beside, spot = _beside(rows, table, keys), F.col("_spot")
+        aggs = [F.first("_n").alias("_n")]
+        for i in range(len(names)):
+            lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+            between = (spot > lo) & (spot < hi)
+            aggs += [F.first(lo).alias(f"_lo{i}"), F.first(hi).alias(f"_hi{i}"), F.count_if(spot <= lo).alias(f"_upto{i}"),
+                     F.count_if(between).alias(f"_in{i}"), F.percentile_approx(F.when(between, spot), steps, ACCURACY).alias(f"_grid{i}")]
+        cols = []
+        for i, (low, high) in enumerate(_ranks(points, method, F.col("_n")).values()):
+            lo, hi, upto, inside, grid = (F.col(f"_{c}{i}") for c in ("lo", "hi", "upto", "in", "grid"))
+            # A rank may be that of an end itself, whatever the number of equal values there.
+            new_lo = F.when(low < upto, lo).when(low >= upto + inside, hi).otherwise(F.greatest(lo, cell(grid, low - upto, inside, -1, -inf)))
+            new_hi = F.when(high < upto, lo).when(high >= upto + inside, hi).otherwise(F.least(hi, cell(grid, high - upto, inside, 1, inf)))
+            cols += [new_lo.alias(f"_lo{i}"), new_hi.alias(f"_hi{i}"), F.when(new_lo == new_hi, 0).otherwise(inside * 5 / GRID).alias(f"_w{i}")]
+        table = _bounded(beside.groupBy(*keys).agg(*aggs).select(*keys, "_n", *cols))
+    return table
+
+
 def quantiles(
     df: DataFrame,
     keys: Cols,
@@ -187,43 +271,78 @@ def quantiles(
     method: str = "linear",
     weight: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles per key, one column per entry of ``points`` (0..1).
+    """Exact quantiles per key, one column per entry of ``points`` (0..1); nulls are left out.
 
     linear   interpolates at p·(n−1); lower takes the element at int(p·(n−1));
     index    takes the element at int(p·n), the last one at most.
-    Values are picked by rank from the distinct values, so no task holds a key.
+
+    A first pass brackets the wanted ranks by a sketch per key. A second one counts what
+    lies between the brackets and keeps, as distinct values with counts, only what lies
+    inside; the ranks are picked from that. Values are compared as doubles for the
+    brackets alone. The sketch decides nothing but the size of the second
+    step: a rank outside its bracket ends the job. With up to ``MANY_KEYS`` keys the
+    brackets are broadcast, so no value is shuffled but those inside. ``weight`` holds
+    counts made earlier; such values are ranked over range partitions.
     """
+    if weight:
+        return _weighted_quantiles(df, keys, value, points, method, weight)
+    rows = df.select(*keys, value).filter(F.col(value).isNotNull()).withColumn("_spot", F.col(value).cast("double"))
+    table = _brackets(rows, keys, points, method)
+    beside = _beside(rows, table, keys)
+    spot, inside, edge = F.col("_spot"), F.lit(False), F.lit(float("-inf"))
+    for i in range(len(points)):
+        inside = inside | spot.between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+        edge = F.when((F.col(f"_hi{i}") < spot) & (F.col(f"_hi{i}") > edge), F.col(f"_hi{i}")).otherwise(edge)
+    # Values between two brackets become one row that follows the lower bracket.
+    placed = beside.select(*keys, F.when(inside, spot).otherwise(edge).alias("_at"), (~inside).alias("_out"), F.when(inside, F.col(value)).alias("_v"))
+    counts = placed.groupBy(*keys, "_at", "_out", "_v").agg(F.count("*").alias("_n"))
+    line = counts.groupBy(*keys).agg(
+        F.sum("_n").alias("_total"), F.array_sort(F.collect_list(F.struct("_at", "_out", "_v", "_n"))).alias("_line"))
+    ranks = _ranks(points, method, F.col("_total"))
+    ranked = line.select(*keys, "_total", "_line", *[c for i, r in enumerate(ranks.values()) for c in (r[0].alias(f"_r{i}"), r[1].alias(f"_s{i}"))])
+    kind = df.schema[value].dataType.simpleString()
+    wanted = [f"_{x}{i}" for i in range(len(points)) for x in "rs"]
+    start = F.struct(F.lit(0).cast("long").alias("seen"), *[F.lit(None).cast(kind).alias(w) for w in wanted])
+
+    def step(acc: Column, x: Column) -> Column:
+        upto = acc["seen"] + x["_n"]
+        return F.struct(upto.alias("seen"), *[
+            F.when((acc["seen"] <= F.col(w)) & (F.col(w) < upto), x["_v"]).otherwise(acc[w]).alias(w) for w in wanted])
+
+    picked = ranked.select(*keys, "_total", F.aggregate("_line", start, step).alias("_p"))
+    out = []
+    for i, (name, p) in enumerate(points.items()):
+        lo, hi = (F.when(F.col("_total").isNotNull(), F.coalesce(
+            F.col("_p")[f"_{x}{i}"], F.raise_error(F.lit("a rank lies outside its bracket")).cast(kind))) for x in "rs")
+        if method == "linear":
+            at = (F.col("_total") - 1) * F.lit(float(p))
+            # lo + (hi - lo) * share, where equal ends keep their own type
+            out.append((lo + (hi - lo) * F.greatest(at - F.floor(at + F.lit(1e-9)), F.lit(0.0))).alias(name))
+        else:
+            out.append(lo.alias(name))
+    return picked.select(*keys, *out)
+
+
+def _weighted_quantiles(df: DataFrame, keys: Cols, value: str, points: Mapping[str, float], method: str, weight: str) -> DataFrame:
+    """``quantiles`` of values with counts, picked by rank from running counts."""
     ranked = ranked_values(df, keys, value, weight)
     n = F.col("total")
     floor_of = F.col("upto") - F.col("n")
+    ranks = _ranks(points, method, n)
 
     def holds(rank: Column) -> Column:
         return (floor_of <= rank) & (rank < F.col("upto"))
 
-    low, high, aggs = {}, {}, []
+    wanted = F.lit(False)
+    for low, high in ranks.values():
+        wanted = wanted | holds(low) | holds(high)
+    aggs = []
     for name, p in points.items():
-        if method == "index":
-            low[name] = F.least(F.floor(n * F.lit(p) + F.lit(1e-9)), n - 1)
-        else:
-            spot = (n - 1) * F.lit(float(p))
-            low[name] = F.floor(spot + F.lit(1e-9))
-            if method == "linear":
-                high[name] = F.ceil(spot - F.lit(1e-9))
-    wanted = None
-    for rank in [*low.values(), *high.values()]:
-        wanted = holds(rank) if wanted is None else (wanted | holds(rank))
-    picked = ranked.filter(wanted)
-    for name, p in points.items():
-        lo = F.max(F.when(holds(low[name]), F.col(value)))
-        if method == "linear":
-            hi = F.max(F.when(holds(high[name]), F.col(value)))
-            spot = (F.max("total") - 1) * F.lit(float(p))
-            share = spot - F.floor(spot + F.lit(1e-9))
-            # lo + (hi - lo) * share, where equal ends keep their own type
-            aggs.append((lo + (hi - lo) * F.greatest(share, F.lit(0.0))).alias(name))
-        else:
-            aggs.append(lo.alias(name))
-    return picked.groupBy(*keys).agg(*aggs)
+        lo, hi = (F.max(F.when(holds(r), F.col(value))) for r in ranks[name])
+        spot = (F.max("total") - 1) * F.lit(float(p))
+        share = F.greatest(spot - F.floor(spot + F.lit(1e-9)), F.lit(0.0))
+        aggs.append((lo + (hi - lo) * share if method == "linear" else lo).alias(name))
+    return ranked.filter(wanted).groupBy(*keys).agg(*aggs)
 
 
 def trailing_sums(

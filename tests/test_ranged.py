@@ -79,6 +79,45 @@ def test_quantiles(hot):
         assert np.allclose(row[list(points)].astype(float), np.quantile(part["value"], list(points.values())))
 
 
+@pytest.mark.parametrize("method, many", [("linear", 1), ("linear", 50_000), ("index", 50_000)])
+def test_quantiles_by_several_rounds_of_brackets(spark, monkeypatch, method, many):
+    """Skewed, tied and negative values, one key with most rows, brackets of a few values."""
+    for name, v in {"INSIDE": 20, "GRID": 20, "ACCURACY": 400, "MANY_KEYS": many}.items():
+        monkeypatch.setattr(R, name, v)
+    rng = np.random.default_rng(3)
+    rows = [("hot", float(v)) for v in np.round(rng.lognormal(3, 3, 5000), 2)] + [("hot", 7.0)] * 3000
+    rows += [("ties", float(v)) for v in rng.integers(-2, 2, 700)] + [(None, float(v)) for v in rng.normal(size=300)]
+    rows += [("one", -1.5), ("hot", None), ("nothing", None), ("two", 1.0), ("two", 2.0)]
+    points = {"a": 0.0, "b": 0.3, "c": 0.5, "d": 0.99}
+    got = {r["k"]: [r[p] for p in points] for r in R.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", points, method).collect()}
+    assert set(got) == {"hot", "ties", None, "one", "two"}
+    for k in got:
+        s = np.sort([v for x, v in rows if x == k and v is not None])
+        n = len(s)
+        want = {"linear": lambda p: np.quantile(s, p), "lower": lambda p: s[int(p * (n - 1))], "index": lambda p: s[min(int(p * n), n - 1)]}[method]
+        assert np.allclose(got[k], [want(p) for p in points.values()], rtol=1e-12), (k, method)
+
+
+def test_quantiles_of_whole_numbers_and_nothing(spark):
+    big = [2**60 + i for i in range(50)]
+    df = spark.createDataFrame([(v,) for v in big], "v long")
+    assert R.quantiles(df, [], "v", {"a": 0.5}, "lower").head()["a"] == big[24]
+    none = df.filter("v < 0")
+    assert R.quantiles(none, [], "v", {"a": 0.5}).collect()[0]["a"] is None
+    assert R.quantiles(none.selectExpr("v AS k", "v"), ["k"], "v", {"a": 0.5}).collect() == []
+
+
+def test_quantiles_move_only_what_is_inside(spark):
+    """The plan neither sorts values over ranges nor reads a checkpoint, and few values are shuffled."""
+    df = spark.range(200_000).selectExpr("id % 2 AS k", "hash(id) AS v")
+    made = R.quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.9})
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "RDDScan" not in plan and "ExistingRDD" not in plan.replace("Scan ExistingRDD", "", 1)
+    stage = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "SortMergeJoin" not in stage
+
+
 @pytest.mark.parametrize("method", ["lower", "index"])
 def test_picked_quantiles(spark, method):
     values = [5.0, 1.0, 1.0, 9.0, 3.0, 7.0, 7.0]
