@@ -13,8 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,6 +22,8 @@ from .keys import join_by_key
 
 Cols = Sequence[str]
 SLICES = 32
+#: Rows of a block of a recurrence.
+BLOCK = 256
 #: Ranks at which a sketch is read, and its accuracy.
 GRID, ACCURACY = 500, 10_000
 #: Values of a key that a bracket may hold for the last step.
@@ -408,74 +408,49 @@ def trailing_sums(
 def affine_scans(df: DataFrame, keys: Cols, order: Cols, states: Mapping[str, tuple[str, str, str]]) -> DataFrame:
     """``s = keep·s_before + add`` along each key; a key's first row takes ``first``.
 
-    ``states`` maps an output name to its ``(keep, add, first)`` columns. Steps of
-    this form compose: the first and last key of every sorted range partition
-    (no other key can go on elsewhere) are folded to one ``(keep, add)`` pair
-    each, the pairs of a key are chained over its partitions, and each partition
-    is replayed from the true start. Rows stream
-    through in Arrow batches, so neither a key nor a partition is held whole,
-    and the only shuffle is the range partitioning itself.
+    ``states`` maps an output name to its ``(keep, add, first)`` columns. Steps of this
+    form compose: (k, a) after (k', a') is (k·k', k·a' + a). Rows are numbered per key and
+    gathered in blocks of ``BLOCK`` rows. Each block is folded to one step; these steps are
+    a shorter recurrence, solved in the same way, level by level, until one block holds a
+    key. Then each block is replayed row by row from the state before it. A key may
+    hold all rows: no task sees more of it at once than a block.
     """
-    names = list(states)
-    columns = list(df.columns)
-    width = len(names)
-    flat = ranged(df, keys, order, inside=True).withColumn("_g", F.to_json("_key")).drop("_key")
-
-    def numbers(pdf: pd.DataFrame):
-        return [[pdf[c].to_numpy(float).tolist() for c in states[n]] for n in names]
-
-    def fold(batches):
-        part, g, mult, total, end = None, None, [1.0] * width, [0.0] * width, [None] * width
-        first = True
-        for pdf in batches:
-            done = []
-            cols, groups = numbers(pdf), pdf["_g"].tolist()
-            for i, here in enumerate(groups):
-                if here != g:
-                    if g is not None and first:
-                        done.append((g, part, mult, total, end))
-                        first = False
-                    g, mult, total, end = here, [1.0] * width, [0.0] * width, [None] * width
-                    part = int(pdf["_part"].iat[i])
-                for s in range(width):
-                    k, a = cols[s][0][i], cols[s][1][i]
-                    mult[s], total[s] = mult[s] * k, total[s] * k + a
-                    end[s] = cols[s][2][i] if end[s] is None else end[s] * k + a
-            yield pd.DataFrame(done, columns=["_g", "_part", "_m", "_t", "_e"])
-        if g is not None:
-            yield pd.DataFrame([(g, part, mult, total, end)], columns=["_g", "_part", "_m", "_t", "_e"])
-
-    def replay(batches):
-        g, state = None, [0.0] * width
-        for pdf in batches:
-            cols, groups, starts = numbers(pdf), pdf["_g"].tolist(), pdf["_start"].tolist()
-            out = np.empty((width, len(pdf)))
-            for i, here in enumerate(groups):
-                begins = False
-                if here != g:
-                    g, begins = here, starts[i] is None
-                    state = [0.0] * width if begins else list(starts[i])
-                for s in range(width):
-                    k, a, f = cols[s][0][i], cols[s][1][i], cols[s][2][i]
-                    state[s] = f if begins else state[s] * k + a
-                    out[s, i] = state[s]
-            yield pdf[columns].assign(**{n: out[s] for s, n in enumerate(names)})
-
-    pairs = flat.mapInPandas(
-        fold, "_g string, _part int, _m array<double>, _t array<double>, _e array<double>")
-    before = W.partitionBy("_g").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = pairs.select(
-        "_g",
-        "_part",
-        F.aggregate(
-            F.collect_list(F.struct("_m", "_t", "_e")).over(before),
-            F.lit(None).cast("array<double>"),
-            lambda acc, x: F.when(acc.isNull(), x["_e"]).otherwise(
-                F.transform(x["_t"], lambda t, i: t + F.get(acc, i) * F.get(x["_m"], i))),
-        ).alias("_start"),
-    ).filter(F.col("_start").isNotNull())
-    # A partition is sorted, so only its first key can have begun earlier:
-    # at most one start per range partition is broadcast.
-    joined = flat.join(F.broadcast(starts), ["_g", "_part"], "left")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInPandas(replay, ", ".join([fields, *[f"`{n}` double" for n in names]]))
+    columns, names = list(df.columns), list(states)
+    placed = row_index(df, keys, order, "_idx").withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+    placed = settle(placed.withColumn("_at", F.col("_idx") - 1))
+    steps = []
+    for keep, add, first in states.values():
+        begins = F.col("_at") == 0
+        k, a = F.when(begins, 0.0).otherwise(F.col(keep).cast("double")), F.when(begins, F.col(first)).otherwise(F.col(add)).cast("double")
+        steps.append(F.struct(k.alias("k"), a.alias("a")))
+    longest = placed.agg(F.max("_idx").alias("n")).head()["n"] or 0
+    rows = placed.select("_key", "_at", F.array(*steps).alias("_steps"), F.struct(*columns).alias("_row"))
+    done = _states(rows, len(names), longest)
+    return done.select("_row.*", *[F.col("_s")[i].alias(n) for i, n in enumerate(names)])
+
+
+def _states(rows: DataFrame, width: int, longest: int) -> DataFrame:
+    """Adds ``_s``, the states after each row's ``_steps`` (k, a), to rows numbered by ``_at`` from 0 along each ``_key``."""
+    others = [c for c in rows.columns if c not in ("_key", "_steps")]
+    line = F.collect_list(F.struct("_at", "_steps", *[c for c in others if c != "_at"]))
+    by_place = F.array_sort(line, lambda x, y: (x["_at"] - y["_at"]).cast("int"))
+    blocks = rows.groupBy("_key", F.floor(F.col("_at") / BLOCK).alias("_block")).agg(by_place.alias("_line"))
+    none = F.array_repeat(F.lit(0.0), width)
+    if longest <= BLOCK:
+        begun = blocks.withColumn("_start", none)
+    else:
+        unit = F.array_repeat(F.struct(F.lit(1.0).alias("k"), F.lit(0.0).alias("a")), width)
+        whole = F.aggregate("_line", unit, lambda acc, x: F.zip_with(acc, x["_steps"], lambda u, v: F.struct(
+            (u["k"] * v["k"]).alias("k"), (v["k"] * u["a"] + v["a"]).alias("a"))))
+        ends = _states(blocks.select("_key", F.col("_block").alias("_at"), whole.alias("_steps")), width, -(-longest // BLOCK))
+        before = ends.select("_key", (F.col("_at") + 1).alias("_block"), F.col("_s").alias("_before"))
+        begun = blocks.join(before, ["_key", "_block"], "left").withColumn("_start", F.when(F.col("_block") == 0, none).otherwise(F.col("_before")))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = F.zip_with(acc["now"], x["_steps"], lambda s, v: v["k"] * s + v["a"])
+        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all"))
+
+    start = F.struct(F.col("_start").alias("now"), F.array().cast("array<array<double>>").alias("all"))
+    replayed = begun.select("_key", "_line", F.aggregate("_line", start, step, lambda acc: acc["all"]).alias("_all"))
+    pairs = replayed.select("_key", F.explode(F.arrays_zip("_line", "_all")).alias("_x"))
+    return pairs.select("_key", *[F.col("_x._line")[c].alias(c) for c in others], F.col("_x._all").alias("_s"))

@@ -149,3 +149,28 @@ def test_affine_scans(hot):
         last = state.get(key)
         state[key] = (value, 1) if last is None else (last[0] * 0.9 + value * 0.1, last[1] + 1)
         assert abs(state[key][0] - m) < 1e-9 and state[key][1] == c
+
+
+@pytest.mark.parametrize("block", [2, 8])
+def test_affine_scans_over_thousands_of_blocks(spark, monkeypatch, block):
+    """Levels of blocks, with steps that forget all and null inputs of another key."""
+    monkeypatch.setattr(R, "BLOCK", block)
+    n = 40_000 if block == 8 else 60  # 5,000 blocks of one key
+    rows = spark.range(n).selectExpr("'a' AS key", "id", "CASE WHEN id % 97 = 5 THEN 0.0 ELSE 0.5 + (id % 7) / 8 END AS k", "(id * 37 % 101) - 50.0 AS a", "3.0D AS f")
+    more = spark.sql("SELECT CAST(NULL AS STRING) AS key, id, 0.5D AS k, CAST(NULL AS DOUBLE) AS a, 1.0D AS f FROM range(5)")
+    got = R.affine_scans(rows.unionByName(more), ["key"], ["id"], {"s": ("k", "a", "f")}).orderBy("id").collect()
+    s, seen = None, 0
+    for r in got:
+        if r["key"] is None:
+            assert (r["s"] == 1.0) if r["id"] == 0 else r["s"] is None
+            continue
+        s = r["f"] if s is None else s * float(r["k"]) + float(r["a"])
+        assert abs(r["s"] - s) < 1e-9 * max(1, abs(s))
+        seen += 1
+    assert seen == n
+
+
+def test_affine_scans_run_in_the_jvm(hot):
+    rows = hot.withColumn("k", F.lit(0.9)).withColumn("a", F.col("value") * 0.1)
+    plan = R.affine_scans(rows, ["key"], ORDER, {"m": ("k", "a", "value")})._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
