@@ -16,6 +16,13 @@ from .store import worker_state
 WORD = np.ones(256, bool)
 WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_PRIME = np.uint64((1 << 31) - 1)
+#: Two independent pairs of bases.
+_BASES = ((1_362_918_571, 771_340_227), (1_918_204_633, 402_653_471))
+#: Places of the tables of powers.
+_BLOCK = 1 << 19
+#: Bytes that running sums take at a time, so that their numbers stay in the cache.
+_PART = 1 << 14
 
 
 def slices(batches, columns: list[str], text: str, limit: int = 1 << 19) -> Iterator[tuple]:
@@ -82,25 +89,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """(powers, inverse powers) of an odd number modulo 2^64."""
-    tables = worker_state("powers", dict)
-    if which not in tables or len(tables[which][0]) < n:
-        size = max(n, 1 << 19)
-        p = _ODD[which]
-        tables[which] = tuple(
-            np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, v, np.uint64)]), dtype=np.uint64)
-            for v in (p, pow(p, -1, 1 << 64)))
-    return tables[which]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^62 modulo the prime, in place."""
+    for _ in range(2):
+        high = x >> np.uint64(31)
+        x &= _PRIME
+        x += high
+    x -= _PRIME * (x >= _PRIME)
+    return x
+
+
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(powers, inverse powers) of ``base`` modulo the prime, from 0 to ``_BLOCK``."""
+    tables = worker_state("prime_powers", dict)
+    if base not in tables:
+        both = []
+        for v in (base, pow(base, -1, int(_PRIME))):
+            out, have = np.ones(_BLOCK + 1, np.uint64), 1
+            while have <= _BLOCK:
+                more = min(have, _BLOCK + 1 - have)
+                out[have: have + more] = _reduced(out[:more] * np.uint64(pow(v, have, int(_PRIME))))
+                have += more
+            both.append(out)
+        tables[base] = tuple(both)
+    return tables[base]
+
+
+def _sums(data: np.ndarray, base: int) -> np.ndarray:
+    """Running sums of (byte + 1) times the power of its place: numbers below 2^32, right modulo the prime."""
+    up, _ = _powers(base)
+    out = np.zeros(len(data) + 1, np.uint32)
+    high, last = np.empty(_PART, np.uint64), np.uint64(0)
+    for a in range(0, len(data), _PART):
+        part = data[a: a + _PART].astype(np.uint64)
+        n, at = len(part), a % _BLOCK
+        part += np.uint64(1)
+        part *= up[at: at + n]
+        np.cumsum(part, out=part)  # below 2^53
+        if a >= _BLOCK:
+            part = _reduced(part)
+            part *= np.uint64(pow(base, a - at, int(_PRIME)))
+        part += last
+        for _ in range(2):
+            np.right_shift(part, np.uint64(31), out=high[:n])
+            part &= _PRIME
+            part += high[:n]
+        out[a + 1: a + 1 + n] = part
+        last = part[-1]
+    return out
 
 
 def hasher(data: np.ndarray, which: int = 0):
-    """A function of (start, end) that gives 64-bit hashes of byte ranges: a polynomial
-    taken from running sums."""
-    up, down = _powers(len(data) + 1, which)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return lambda start, end: mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    """A function of (start, end) that gives 64-bit hashes of byte ranges.
+
+    Two polynomials modulo the prime 2^31 - 1, taken from running sums: ranges of n bytes
+    that differ meet in one of them for at most n of the 2^31 bases. (Modulo a power of two
+    some texts meet for every base.)
+    """
+    bases = _BASES[which]
+    sums = [_sums(data, b) for b in bases]
+
+    def value(k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        gap = sums[k][end].astype(np.uint64)
+        gap += _PRIME + _PRIME
+        gap -= sums[k][start]
+        _, down = _powers(bases[k])
+        got = _reduced(_reduced(gap) * down[start % _BLOCK])
+        far = start >= _BLOCK
+        if far.any():
+            block = start[far] // _BLOCK
+            back = pow(int(down[1]), _BLOCK, int(_PRIME))
+            step = np.array([pow(back, k, int(_PRIME)) for k in range(int(block.max()) + 1)], np.uint64)
+            got[far] = _reduced(got[far] * step[block])
+        return got
+
+    def hashes(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        both = (value(0, start, end) << np.uint64(32)) | value(1, start, end)
+        return mix(both + (end - start).astype(np.uint64) * np.uint64(_ODD[0]))
+
+    return hashes
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:

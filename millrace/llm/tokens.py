@@ -101,8 +101,67 @@ def _cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.all, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, more: np.ndarray) -> int:
+        """Append; returns the place of the first one."""
+        at, self.n = self.n, self.n + len(more)
+        if self.n > len(self.all):
+            wide = np.zeros(max(self.n, 2 * len(self.all)), self.all.dtype)
+            wide[:at] = self.all[:at]
+            self.all = wide
+        self.all[at: self.n] = more
+        return at
+
+
+class _Index:
+    """Numbers of 64-bit keys, by open addressing: a look-up or insertion costs the same
+    however many keys are known."""
+
+    def __init__(self):
+        self.key, self.slots = _Rows(np.uint64), np.full(1 << 14, -1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - (len(self.slots).bit_length() - 1))).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if unknown."""
+        out, slot, todo = np.full(len(keys), -1, np.int64), self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            entry = self.slots[slot[todo]]
+            hit = (entry >= 0) & (self.key.all[entry] == keys[todo])
+            out[todo[hit]] = entry[hit]
+            todo = todo[(entry >= 0) & ~hit]
+            slot[todo] = (slot[todo] + 1) % len(self.slots)
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers for different, unknown keys."""
+        at = self.key.add(keys)
+        if 2 * self.key.n > len(self.slots):
+            self.slots = np.full(4 << self.key.n.bit_length(), -1, np.int32)
+            self._place(np.arange(self.key.n))
+        else:
+            self._place(np.arange(at, self.key.n))
+        return np.arange(at, self.key.n)
+
+    def _place(self, entries: np.ndarray) -> None:
+        slot, todo = self._slot(self.key.all[entries]), np.arange(len(entries))
+        while len(todo):
+            s = slot[todo]
+            free = self.slots[s] < 0
+            self.slots[s[free]] = entries[todo[free]]
+            todo = todo[self.slots[s] != entries[todo]]
+            slot[todo] = (slot[todo] + 1) % len(self.slots)
+
+
 class Pieces:
-    """Token ids of pieces of text, remembered by a 64-bit hash and checked by length and byte sum."""
+    """Token ids of pieces of text, remembered by hash. A piece's bytes are remembered too,
+    and ids are used only where they are the same."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -111,44 +170,59 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.index, self.ids, self.raw = _Index(), _Rows(np.uint32), _Rows(np.uint8)
+        # Of each piece: place and count in ids, place and count in raw.
+        self.at, self.size, self.raw_at, self.raw_size = _Rows(np.int64), _Rows(np.int32), _Rows(np.int64), _Rows(np.int32)
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self.ids.all
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, raw: bytes, start: np.ndarray, end: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _fresh(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces; (place in ``flat``, count) of each."""
+        raw = data.tobytes()
+        ids = self._each([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())])
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        at = self.ids.add(np.fromiter((x for one in ids for x in one), np.uint32, int(size.sum())))
+        return at + np.cumsum(size) - size, size
+
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first place in ``flat``, count) of each piece."""
         import pandas as pd
 
         back, uniq = pd.factorize(key)
-        first = np.zeros(len(uniq), np.int64)
-        first[back[::-1]] = np.arange(len(key) - 1, -1, -1)
-        if len(self.key) + len(uniq) > MEMORY:
+        if self.index.key.n + len(uniq) > MEMORY:
             self.forget()
-        spot = np.searchsorted(self.key, uniq)
-        known = spot < len(self.key)
-        known[known] = self.key[spot[known]] == uniq[known]
-        new = np.flatnonzero(~known)
+        known = self.index.find(uniq)
+        new = np.flatnonzero(known < 0)
         if len(new):
-            begin, stop = start[first[new]].tolist(), end[first[new]].tolist()
-            ids = self._each([raw[a:b].decode() for a, b in zip(begin, stop)])
-            size = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(size.sum()))
-            at = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, flat])
-            order = np.argsort(uniq[new])
-            new, at, size = new[order], at[order], size[order]
-            place = spot[new]
-            self.key = np.insert(self.key, place, uniq[new])
-            self.check = np.insert(self.check, place, check[first[new]])
-            self.at = np.insert(self.at, place, at)
-            self.size = np.insert(self.size, place, size)
-            spot = np.searchsorted(self.key, uniq)
-        spot = spot[back]
-        if not np.array_equal(self.check[spot], check):
-            raise ValueError("two pieces have one hash")
-        return self.at[spot], self.size[spot]
+            first = np.zeros(len(uniq), np.int64)
+            first[back[::-1]] = np.arange(len(key) - 1, -1, -1)
+            a, b = start[first[new]], end[first[new]]
+            at, size = self._fresh(data, a, b)
+            known[new] = self.index.add(uniq[new])
+            place = self.raw.add(data[bytetext.spread(a, b - a)])
+            for rows, more in ((self.at, at), (self.size, size), (self.raw_at, place + np.cumsum(b - a) - (b - a)), (self.raw_size, b - a)):
+                rows.add(more)
+        known = known[back]
+        at, size = self.at.all[known], self.size.all[known]
+        odd = self._differ(data, start, end, known)
+        if len(odd):
+            at[odd], size[odd] = self._fresh(data, start[odd], end[odd])
+        return at, size
+
+    def _differ(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those remembered under their hash."""
+        long = end - start
+        unlike = self.raw_size.all[known] != long
+        size = np.where(unlike, 0, long)
+        wrong = np.flatnonzero(self.raw.all[bytetext.spread(self.raw_at.all[known], size)] != data[bytetext.spread(start, size)])
+        if len(wrong):
+            unlike[np.searchsorted(np.cumsum(size), wrong, "right")] = True
+        return np.flatnonzero(unlike)
 
     def _each(self, pieces: list[str], run: int = 64) -> list[list[int]]:
         """Ids of each piece. Pieces without white space but a blank in front are
@@ -169,15 +243,8 @@ class Pieces:
         return [next(first) if ok else next(rest) for ok in plain]
 
 
-def _byte_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, np.uint32)
-    np.cumsum(data, dtype=np.uint32, out=sums[1:])
-    return (sums[end] - sums[start]) * np.uint32(0x9E3779B1) + (end - start).astype(np.uint32)
-
-
 def encode_slice(pieces: Pieces, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, count per text), without end ids."""
-    raw = data.tobytes()
     edges = _cuts(data, off)
     start, end = edges[:-1], edges[1:]
     owner = np.searchsorted(off, start, "right") - 1
@@ -185,12 +252,12 @@ def encode_slice(pieces: Pieces, data: np.ndarray, off: np.ndarray) -> tuple[np.
     if whole.any():
         usable = ~whole[owner]
         start, end, owner = start[usable], end[usable], owner[usable]
-    at, size = pieces.encode(raw, start, end, bytetext.span_hashes(data, start, end), _byte_sums(data, start, end))
+    at, size = pieces.encode(data, start, end, bytetext.span_hashes(data, start, end))
     ids = pieces.flat[bytetext.spread(at, size.astype(np.int64))]
     counts = np.bincount(owner, weights=size, minlength=len(off) - 1).astype(np.int64)
     if not whole.any():
         return ids, counts
-    odd = np.flatnonzero(whole)
+    odd, raw = np.flatnonzero(whole), data.tobytes()
     direct = dict(zip(odd.tolist(), pieces.whole([raw[off[k]: off[k + 1]].decode() for k in odd.tolist()])))
     ends = np.cumsum(counts)
     parts = [np.asarray(direct[k], np.uint32) if k in direct else ids[ends[k] - counts[k]: ends[k]] for k in range(len(counts))]
