@@ -9,7 +9,7 @@ from ..operators import custom as C
 from ..operators import validate as V
 from ..plans import chain, sqlsurface
 from ..session import scratch_path
-from ..sources import payloads, readers, sinks
+from ..sources import keyed, payloads, readers, sinks
 from .profiling import rounded
 from .registry import query
 from .relational import runs
@@ -322,6 +322,15 @@ def _(t):
     return _in_scratch(t, load)
 
 
+@query("snk05_upsert_keyed", f"SELECT * FROM {UPSERTED}")
+def _(t):
+    rows = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    table = keyed.KeyedTable.create(t.spark, scratch_path(t.spark, "keyed"), rows.schema, ["c_custkey"], 16)
+    table.upsert(rows, ["c_acctbal", "c_name"])
+    table.upsert(_updates(t), ["c_acctbal", "c_name"])
+    return table.read()
+
+
 @query("snk06_object_store", "SELECT * FROM region")
 def _(t):
     folder = scratch_path(t.spark, "bucket")

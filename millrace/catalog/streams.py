@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.keyed import KeyedTable
 from ..streaming import flow, stateful, windows
 from .profiling import rounded
 from .registry import query
@@ -137,6 +138,23 @@ def _(t):
     return flow.drain(stream(t).filter("value > 10").select("event_id", "event_type"))
 
 
+@query("str11_keyed_sink", """
+SELECT user_id, event_id, event_type, value FROM events WHERE user_id IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def _(t):
+    """The last event of each user, kept up to date by micro-batches that come in any order."""
+    rows = shuffled(t).filter("user_id IS NOT NULL").select("user_id", "event_id", "event_type", "value", "ts")
+    table = KeyedTable.create(t.spark, scratch_path(t.spark, "last-events"), rows.schema, ["user_id"], 16)
+
+    def newest(batch, batch_id):
+        # Batches are not in time order: the row in force takes part.
+        both = batch.unionByName(table.read().join(batch.select("user_id").distinct(), "user_id", "left_semi"))
+        flow.upsert_into(table, ["user_id"], ["ts", "event_id"])(both, batch_id)
+
+    flow.each_batch(rows, newest, scratch_path(t.spark, "last-events-checkpoint")).awaitTermination()
+    return table.read().drop("ts")
+
+
 @query("str13_buffered_map", "SELECT event_id, round(value * 2, 2) AS doubled FROM events")
 def _(t):
     def twice(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException, UnsupportedOperationException
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.ranged import row_index
-from ..session import scratch_path
 
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]{0,63}$")
 MAX_VALUE = 10_000
@@ -96,18 +96,28 @@ def upsert(target: DataFrame, updates: DataFrame, key: list[str], order: list[st
 
 
 def upsert_table(spark: SparkSession, table: str, updates: DataFrame, key: list[str], order: list[str]) -> None:
-    """Upsert into a plain table: the new state is written beside it, then swapped in.
+    """Upsert into a plain table: the new state is written beside the old one, and then the
+    catalog is pointed to it. A failure before that leaves the table as it was.
 
-    Table formats with MERGE should use ``DataFrame.mergeInto`` instead.
+    The whole table is written once. Tables that change often should be a
+    ``keyed.KeyedTable``; formats with MERGE have ``merge_table``.
     """
     check_identifier(table)
-    beside = scratch_path(spark, table)
+    before = _location(spark, table)
+    beside = f"{before.rstrip('/')}-{uuid.uuid4().hex}"
     upsert(spark.table(table), updates, key, order).write.parquet(beside)
-    spark.read.parquet(beside).write.format("parquet").mode("overwrite").saveAsTable(table)
-    path = spark._jvm.org.apache.hadoop.fs.Path(beside)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{beside}'")
+    spark.catalog.refreshTable(table)
+    path = spark._jvm.org.apache.hadoop.fs.Path(before)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _location(spark: SparkSession, table: str) -> str:
+    """Folder of a plain table."""
+    rows = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").collect()
+    return rows[0]["data_type"]
+
+
 def merge_table(spark: SparkSession, table: str, updates: DataFrame, key: list[str], order: list[str]) -> str:
     """Upsert by the table format's own MERGE, which touches only files with changed keys;
     a format without one gets ``upsert_table``. Tells which it was: merge or rewrite.

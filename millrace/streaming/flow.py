@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..session import scratch_path
+from ..sources.keyed import KeyedTable
 from ..sources.sinks import upsert_table
 
 log = logging.getLogger(__name__)
@@ -89,11 +90,18 @@ def to_files(folder: str, format: str = "parquet") -> Callable[[DataFrame, int],
     return run
 
 
-def upsert_into(table: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A processor that upserts each batch into a table; repeating a batch changes nothing."""
+def upsert_into(table: str | KeyedTable, key: list[str], order: list[str], writer: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A processor that upserts each batch into a table; repeating a batch changes nothing.
+
+    A ``KeyedTable`` rewrites the buckets with changed keys only and remembers the last
+    batch of ``writer``; a plain table is written anew with every batch.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch.sparkSession, table, batch, key, order)
+        if isinstance(table, KeyedTable):
+            table.upsert(batch, order, (writer, batch_id))
+        else:
+            upsert_table(batch.sparkSession, table, batch, key, order)
 
     return run
 
