@@ -1,9 +1,10 @@
 """Repeated passages of ``min_words`` whole words and more, by their content.
 
-1. Every run of two fifths of ``min_words`` words has a hash; of the runs in a window of
-   ``min_words`` words the least hash marks the window (winnowing). Equal windows have
-   equal marks, so a passage that two documents share cannot escape. Consecutive windows
-   with the same mark form a block: about one for 16 words.
+1. Chunks are cut by content: of the places in a window of ``min_words`` words at which a
+   run of two fifths of ``min_words`` words ends, the one with the least gear hash (over the run's last 32 bytes) is the window's cut.
+   Equal windows have equal cuts, whatever was inserted before them, so a passage that two
+   documents share cannot escape. The run at the cut marks the window, and consecutive windows
+   with the same cut form a block, the chunk that is compared by digest: about one for 16 words.
 2. Blocks whose mark stands in one document only are dropped. Equal blocks are looked
    at once, in the first document that holds them: their windows are hashed, and a
    window is repeated if documents of all its blocks are two or more.
@@ -12,7 +13,7 @@
    in the same partner are one passage, which stands there whole. A longer run whose
    parts have different first documents gives several passages that overlap.
 
-``cuts`` gives content-defined chunks by a gear rolling hash.
+``cuts`` gives chunks without overlap by a gear hash below a bound.
 
 The first document keeps a passage, the others are marked ``removed``; ``cleaned``
 cuts those out. Documents are told apart by id and text: rows that repeat both are
@@ -49,6 +50,14 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def cut_values(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Gear hash at the end of each range, of its own bytes alone (of the last 32 at most)."""
+    h = gear(data)
+    size = end - start
+    before = np.where(start > 0, h[start - 1], np.uint32(0))
+    return h[end - 1] - np.where(size < 32, before << np.minimum(size, 31).astype(np.uint32), np.uint32(0))
+
+
 def cuts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text number) of the chunks of all texts."""
     # The top bits see the whole window.
@@ -70,7 +79,7 @@ def cuts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def marked(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc, tag, mark, block, at, size, word) of every block; ``docs``: doc, tag, text. ``at``
-    and ``size`` are bytes, ``word`` is the number of its first word, ``block`` its hash."""
+    and ``size`` are bytes, ``word`` is the number of its first word, ``block`` a hash of it and its mark."""
     import pyarrow as pa
 
     run = max(1, min_words * 2 // 5)
@@ -83,18 +92,21 @@ def marked(docs: DataFrame, min_words: int) -> DataFrame:
             if n < 1:
                 continue
             spans = bytetext.hasher(data)
-            hashes = spans(start[: len(start) - run + 1], end[run - 1:])
             at = np.flatnonzero(owner[:n] == owner[min_words - 1:])
             if not len(at):
                 continue
-            least = np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(1)[at] + at
+            places = cut_values(data, start[: len(start) - run + 1], end[run - 1:])
+            least = np.lib.stride_tricks.sliding_window_view(places, width).argmin(1)[at] + at
             # A mark of one text is no mark of the next, so a change of mark ends every block.
             first = bytetext.runs_of(least)
             low, high = at[first], at[np.append(first[1:], len(at)) - 1] + min_words - 1
             who = pa.array(owner[low])
             begun = np.searchsorted(owner, owner[low])
+            cut = least[first]
+            mark = spans(start[cut], end[cut + run - 1])
             yield pa.RecordBatch.from_arrays([
-                doc.take(who), tag.take(who), pa.array(hashes[least[first]].view(np.int64)), pa.array(spans(start[low], end[high]).view(np.int64)),
+                doc.take(who), tag.take(who), pa.array(mark.view(np.int64)),
+                pa.array(bytetext.mix(mark ^ bytetext.mix(spans(start[low], end[high]))).view(np.int64)),
                 pa.array((start[low] - off[owner[low]]).astype(np.int32)), pa.array((end[high] - start[low]).astype(np.int32)),
                 pa.array((low - begun).astype(np.int32))], ["doc", "tag", "mark", "block", "at", "size", "word"])
 
@@ -102,7 +114,7 @@ def marked(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _windows(both: DataFrame, min_words: int) -> DataFrame:
-    """(h, more, mark, block, k, s, e, low_at, high_at and documents) of the windows of blocks;
+    """(h, more, block, k, s, e, low_at, high_at and documents) of the windows of blocks;
     ``both``: doc, tag, text, blocks."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -122,13 +134,13 @@ def _windows(both: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array(bytetext.span_hashes(data, a, b).view(np.int64)),
                 pa.array((bytetext.span_hashes(data, a, b, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                *(flat.field(c).take(whose) for c in ("mark", "block")),
+                flat.field("block").take(whose),
                 pa.array((here - first[of]).astype(np.int32)), pa.array((a - at[of]).astype(np.int32)), pa.array((b - at[of]).astype(np.int32)),
                 doc.take(own), tag.take(own), flat.field("at").take(whose),
                 *(flat.field(c).take(whose) for c in ("high_doc", "high_tag", "high_at"))],
-                ["h", "more", "mark", "block", "k", "s", "e", "doc", "tag", "at", "high_doc", "high_tag", "high_at"])
+                ["h", "more", "block", "k", "s", "e", "doc", "tag", "at", "high_doc", "high_tag", "high_at"])
 
-    return both.mapInArrow(rows, "h long, more int, mark long, block long, k int, s int, e int, doc long, tag long, at int, "
+    return both.mapInArrow(rows, "h long, more int, block long, k int, s int, e int, doc long, tag long, at int, "
                                  "high_doc long, high_tag long, high_at int")
 
 
@@ -153,7 +165,7 @@ def _passages(rows: DataFrame, min_words: int) -> DataFrame:
     blocks = kept(blocks, "blocks")
     often = blocks.groupBy("mark").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter(_apart("low", "high")).select("mark")
     chosen = blocks.join(often, "mark").groupBy(F.col("low.doc").alias("doc"), F.col("low.tag").alias("tag")).agg(F.collect_list(F.struct(
-        F.col("low.at").alias("at"), "size", "mark", "block", F.col("high.doc").alias("high_doc"), F.col("high.tag").alias("high_tag"),
+        F.col("low.at").alias("at"), "size", "block", F.col("high.doc").alias("high_doc"), F.col("high.tag").alias("high_tag"),
         F.col("high.at").alias("high_at"))).alias("blocks"))
     chosen = kept(chosen, "blocks-again")
     removed(rows.sparkSession, blocks)
@@ -164,15 +176,15 @@ def _passages(rows: DataFrame, min_words: int) -> DataFrame:
     there = F.struct(F.col("high_doc").alias("doc"), F.col("high_tag").alias("tag"), (F.col("high_at") + F.col("s")).alias("at"))
     # Written first, so that the shuffle files of the counting are gone when the windows are dealt out again.
     shared = kept(windows.groupBy("h", "more").agg(F.min(here).alias("low"), F.max(there).alias("high")).filter(_apart("low", "high")), "shared", "zstd")
-    found = windows.select("h", "more", "mark", "block", "k", "s", "e").join(shared, ["h", "more"])
+    found = windows.select("h", "more", "block", "k", "s", "e").join(shared, ["h", "more"])
     # A block has fewer windows than a window words, so all of them overlap.
     ends = [F.struct(F.col(f"{x}.doc"), F.col(f"{x}.tag"), (F.col(f"{x}.at") - F.col("s")).alias("at")).alias(x) for x in ("low", "high")]
-    pieces = kept(found.groupBy("mark", "block", *ends).agg(
+    pieces = kept(found.groupBy("block", *ends).agg(
         F.min("s").alias("s"), F.max("e").alias("e"), F.min("k").alias("first"), F.max("k").alias("last")), "pieces")
     removed(rows.sparkSession, windows)
     removed(rows.sparkSession, shared)
     own = (F.col("low.doc") == F.col("doc")) & (F.col("low.tag") == F.col("tag"))
-    each = spots.join(pieces, ["mark", "block"]).withColumn("p", F.when(own, F.col("high")).otherwise(F.col("low"))).select(
+    each = spots.drop("mark").join(pieces, "block").withColumn("p", F.when(own, F.col("high")).otherwise(F.col("low"))).select(
         "doc", "tag", F.col("p.doc").alias("partner"), F.col("p.tag").alias("partner_tag"), (F.col("at") - F.col("p.at")).alias("shift"),
         (F.col("at") + F.col("s")).alias("start"), (F.col("at") + F.col("e")).alias("end"), (F.col("word") + F.col("first")).alias("first"),
         (F.col("word") + F.col("last") + min_words).alias("last"), (~own).alias("removed")).distinct()
