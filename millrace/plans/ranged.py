@@ -22,6 +22,8 @@ from .keys import join_by_key
 
 Cols = Sequence[str]
 SLICES = 32
+#: Rows of a time block that one task takes.
+DENSE = 200_000
 #: Rows of a block of a recurrence.
 BLOCK = 256
 #: Ranks at which a sketch is read, and its accuracy.
@@ -353,56 +355,54 @@ def trailing_sums(
     seconds: float,
     sums: Mapping[str, Column],
 ) -> DataFrame:
-    """Sums over the rows of the same key in ``[ts - seconds, ts]``, per row.
+    """Sums over the rows of the same key in ``[ts - seconds, ts]``, per row; nulls count as 0.
 
-    Each row puts two probes into the ordered stream, one before the window
-    and one after all rows at its own time; the sum is the difference of two
-    running sums. Bursts inside one window therefore cost no more than quiet
-    times.
+    Time is cut into blocks as long as the window, and each row goes to its own block
+    and, ``seconds`` later, as halo to the next one. A row's window is the rows of its block up
+    to its time and the halo from its time on: two running sums, one from either end. So
+    nothing is subtracted, whatever the values' scale, and nothing is joined back.
 
-    The difference is exact because whole numbers are summed: each value is
-    multiplied by the power of two that brings the largest one below 2^80, so
-    14 digits are left for the number of rows and a value keeps all its bits
-    down to 2^-80 of the largest.
+    Where a block holds more than ``DENSE`` rows, blocks are cut into cells, and what the cells
+    before and after hold is carried over. Rows of a key with one and the same time stay together.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     span = int(seconds * 1_000_000)
-    numbers = df.select(*keys, row_id, micros.alias("_at"), *[e.cast("double").alias(f"_v_{n}") for n, e in sums.items()])
-    tops = numbers.agg(*[F.max(F.abs(f"_v_{n}")).alias(n) for n in sums]).select(F.struct(*sums).alias("t")).scalar()
-
-    def unit(n: str) -> Column:
-        top = tops[n]
-        return F.pow(F.lit(2.0), F.when(top > 0, 79 - F.floor(F.log2(top))).otherwise(0).cast("double"))
-
-    base = numbers.select(
-        *keys, row_id, "_at", *[(F.col(f"_v_{n}") * unit(n)).cast("decimal(38,0)").alias(f"_v_{n}") for n in sums])
-    marks = base.withColumn(
-        "_mark",
-        F.explode(
-            F.array(
-                F.struct((F.col("_at") - span).alias("at"), F.lit(0).alias("kind")),
-                F.struct(F.col("_at").alias("at"), F.lit(1).alias("kind")),
-                F.struct(F.col("_at").alias("at"), F.lit(2).alias("kind")),
-            )
-        ),
-    ).select(
-        *keys,
-        row_id,
-        F.col("_mark.at").alias("_at"),
-        F.col("_mark.kind").alias("_kind"),
-        *[F.when(F.col("_mark.kind") == 1, F.col(f"_v_{n}")).alias(f"_v_{n}") for n in sums],
-    )
-    run = running(
-        marks, keys, ["_at", "_kind", row_id], {n: F.coalesce(F.col(f"_v_{n}"), F.lit(0)) for n in sums}
-    )
-    ends = run.filter("_kind <> 1").groupBy(row_id).agg(
-        *[
-            ((F.max(F.when(F.col("_kind") == 2, F.col(n))) - F.max(F.when(F.col("_kind") == 0, F.col(n))))
-             .cast("double") / unit(n)).alias(n)
-            for n in sums
-        ]
-    )
-    return df.join(ends, row_id)
+    values = [F.coalesce(e.cast("double"), F.lit(0.0)).alias(n) for n, e in sums.items()]
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    base = df.select(key.alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"),
+                     F.struct(*df.columns).alias("_row"), F.struct(*values).alias("_v"))
+    if not span:
+        same = W.partitionBy("_key", "_at")
+        return base.select("_row.*", *[F.sum(F.col("_v")[n]).over(same).alias(n) for n in sums])
+    block = F.floor(F.col("_at") / span).cast("long")
+    most = base.groupBy("_key", block.alias("_block")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).head()["n"] or 0
+    cells = min(span, -(-most // DENSE))
+    here = F.struct(block.alias("block"), F.col("_at").alias("at"), F.col("_row").alias("row"))
+    later = F.struct((block + 1).alias("block"), (F.col("_at") + span).alias("at"), F.lit(None).cast(base.schema["_row"].dataType).alias("row"))
+    spread = base.select("_key", "_v", F.explode(F.array(here, later)).alias("_x")).select(
+        "_key", F.col("_x.block").alias("_block"), F.col("_x.at").alias("_at"), F.col("_x.row").alias("_row"), "_v")
+    own = F.col("_row").isNotNull()
+    part = ["_key", "_block"]
+    if cells > 1:
+        inside = F.col("_at") - F.col("_block") * span
+        spread = spread.withColumn("_cell", F.floor(inside / -(-span // cells)).cast("long"))
+        part.append("_cell")
+    upto = W.partitionBy(*part).orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    since = W.partitionBy(*part).orderBy(F.col("_at").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    summed = spread.select(
+        *part, "_row",
+        *[F.coalesce(F.sum(F.when(own, F.col("_v")[n])).over(upto), F.lit(0.0)).alias(f"_a_{n}") for n in sums],
+        *[F.coalesce(F.sum(F.when(~own, F.col("_v")[n])).over(since), F.lit(0.0)).alias(f"_b_{n}") for n in sums]).filter(own)
+    whole = {n: F.col(f"_a_{n}") + F.col(f"_b_{n}") for n in sums}
+    if cells > 1:
+        totals = spread.groupBy(*part).agg(
+            *[F.sum(F.when(own, F.col("_v")[n])).alias(f"_a_{n}") for n in sums], *[F.sum(F.when(~own, F.col("_v")[n])).alias(f"_b_{n}") for n in sums])
+        line = W.partitionBy("_key", "_block").orderBy("_cell")
+        carried = totals.select(
+            *part, *[(F.coalesce(F.sum(f"_a_{n}").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+                      + F.coalesce(F.sum(f"_b_{n}").over(line.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0))).alias(f"_c_{n}") for n in sums])
+        summed = summed.join(carried, part)
+        whole = {n: x + F.col(f"_c_{n}") for n, x in whole.items()}
+    return summed.select("_row.*", *[x.alias(n) for n, x in whole.items()])
 
 
 def affine_scans(df: DataFrame, keys: Cols, order: Cols, states: Mapping[str, tuple[str, str, str]]) -> DataFrame:

@@ -141,6 +141,23 @@ def test_trailing_sums_with_bursts(hot):
             assert abs(got.loc[rid, "s"] - part["value"].to_numpy()[inside].sum()) < 1e-6
 
 
+@pytest.mark.parametrize("dense", [3, 40, 200_000])
+@pytest.mark.parametrize("seconds", [0, 0.000003, 7])
+def test_trailing_sums_of_any_scale(spark, monkeypatch, dense, seconds):
+    """Bursts, equal times, times before 1970, null keys, and values of 24 orders of magnitude in one block."""
+    monkeypatch.setattr(R, "DENSE", dense)
+    rng = np.random.default_rng(5)
+    rows = [("a", i, int(t), float(10.0 ** rng.integers(-9, 15))) for i, t in enumerate(np.sort(rng.integers(-4_000_000, 30_000_000, 300)))]
+    rows += [(None, 1000 + i, int(t), 1.0) for i, t in enumerate(rng.integers(0, 20, 60))] + [("b", 2000, 5, None)]
+    df = spark.createDataFrame(rows, "key string, id long, us long, v double").withColumn("ts", F.timestamp_micros("us"))
+    got = {r["id"]: (r["s"], r["n"]) for r in R.trailing_sums(df, ["key"], "ts", "id", seconds, {"s": F.col("v"), "n": F.lit(1)}).collect()}
+    assert len(got) == len(rows)
+    span = int(seconds * 1_000_000)
+    for key, i, t, _ in rows:
+        inside = [v or 0.0 for k, _, u, v in rows if k == key and t - span <= u <= t]
+        assert got[i][1] == len(inside) and got[i][0] == pytest.approx(sum(inside), rel=1e-12)
+
+
 def test_affine_scans(hot):
     rows = hot.withColumn("k", F.lit(0.9)).withColumn("a", F.col("value") * 0.1).withColumn("one", F.lit(1.0))
     got = frame(R.affine_scans(rows, ["key"], ORDER, {"m": ("k", "a", "value"), "c": ("one", "one", "one")}))
