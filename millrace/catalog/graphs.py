@@ -114,6 +114,20 @@ def _(t):
     return L.find_cycles(ring).select(F.array_join("cycle", ">").alias("cycle"), "complete")
 
 
+@query("lin08_components", """
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 40 AS src, (o_custkey * 7 + o_orderkey) % 40 AS dst FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey % 11 = 0
+ UNION SELECT 100 + o_custkey % 60, 100 + (o_custkey % 60 + 1) % 60 FROM orders WHERE o_custkey % 60 <> 30),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+SELECT a.src::BIGINT AS asset, least(a.src, min(b.src))::BIGINT AS component FROM (SELECT DISTINCT src FROM r WHERE src = dst) a
+JOIN r c ON c.src = a.src JOIN r b ON b.dst = a.src AND b.src = c.dst GROUP BY a.src""")
+def _(t):
+    """Strong components of a graph drawn from all orders: a dense part and a chain of customers."""
+    o, k, n = t.orders, F.col("o_custkey"), F.col("o_orderkey")
+    dense = o.filter((k % 3 == 0) & (n % 11 == 0)).select((k % 40).alias("src"), ((k * 7 + n) % 40).alias("dst"))
+    chain = o.filter(k % 60 != 30).select((100 + k % 60).alias("src"), (100 + (k % 60 + 1) % 60).alias("dst"))
+    return L.strong_components(dense.unionByName(chain))
+
+
 @query("lin09_opportunities", f"""
 SELECT asset, 'caching' AS type, 'high' AS priority FROM {CRIT} WHERE down > 15
 UNION ALL SELECT asset, 'quality_improvement', 'critical' FROM {CRIT} WHERE q < 0.7 AND c > 0.6""")

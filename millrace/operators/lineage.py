@@ -176,27 +176,91 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return core
 
 
-def find_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(asset, component) of the assets on cycles; a component is named by its smallest asset.
+
+    In each round the smallest name flows along the edges until nothing changes, so that an
+    asset has the smallest name that reaches it. Those that reach that one back, through
+    assets of the same name, are its component. What is found leaves the graph with its edges,
+    and assets that then lie on no cycle are trimmed. A round ends at least one
+    component in every part of the graph; each step is a join on single assets.
+    """
+    left = cyclic_core(edges)
+    found = [left.limit(0).select(F.col("src").alias("asset"), F.col("src").alias("component"))]
+    while not left.isEmpty():
+        names = settle(left.select(F.explode(F.array("src", "dst")).alias("asset")).distinct().withColumn("name", F.col("asset")))
+        while True:
+            offered = left.join(names, left["src"] == names["asset"]).groupBy("dst").agg(F.min("name").alias("offer"))
+            better = names.join(offered, names["asset"] == offered["dst"], "left").select(
+                "asset", F.least("name", "offer").alias("name"), F.coalesce(F.col("offer") < F.col("name"), F.lit(False)).alias("moved"))
+            better = settle(better)
+            names = better.select("asset", "name")
+            if better.filter("moved").isEmpty():
+                break
+        ends = names.withColumnRenamed("asset", "dst")
+        same = settle(left.join(names.withColumnRenamed("asset", "src"), "src").join(ends, ["dst", "name"]).select("src", "dst", "name"))
+        members = frontier = settle(names.filter("asset = name"))
+        while not frontier.isEmpty():
+            back = same.join(frontier, (same["dst"] == frontier["asset"]) & (same["name"] == frontier["name"])).select(
+                F.col("src").alias("asset"), same["name"]).distinct()
+            frontier = settle(back.join(members.select("asset"), "asset", "left_anti"))
+            members = settle(members.unionByName(frontier))
+        # A root that nothing leads back to has no cycle, unless it points at itself.
+        found.append(members.select("asset", F.col("name").alias("component")))
+        gone = members.select("asset")
+        left = cyclic_core(left.join(gone.withColumnRenamed("asset", "src"), "src", "left_anti").join(
+            gone.withColumnRenamed("asset", "dst"), "dst", "left_anti"))
+    every = settle(reduce(DataFrame.unionByName, found))
+    several = every.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    loops = edges.filter("src = dst").select(F.col("src").alias("asset")).distinct()
+    alone = every.join(several, "component", "left_anti").join(loops, "asset", "left_semi").select("asset", "component")
+    return every.join(several, "component", "left_semi").select("asset", "component").unionByName(alone)
+
+
+def component_sizes(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, assets, edges, dimension) of strong components: with E inner edges and V assets,
+    a component has at most 2^dimension - 1 simple cycles, dimension being E - V + 1."""
+    inner = _inner(edges, members).groupBy("component").agg(F.count("*").alias("edges"))
+    size = members.groupBy("component").agg(F.count("*").alias("assets"))
+    return size.join(inner, "component").select("component", "assets", "edges", (F.col("edges") - F.col("assets") + 1).alias("dimension"))
+
+
+def _inner(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, dst, component) of the different edges within a component."""
+    once = edges.select("src", "dst").distinct()
+    return once.join(members.withColumnRenamed("asset", "src"), "src").join(
+        members.withColumnRenamed("asset", "dst"), ["dst", "component"]).select("src", "dst", "component")
+
+
+def find_cycles(edges: DataFrame, depth: int | None = None, dimension: int = 16) -> DataFrame:
     """Simple cycles, each listed once from its smallest asset, with ``complete``.
 
-    Paths are followed until none is left. ``depth`` bounds the assets of a
-    cycle; ``complete`` is then false if longer paths were left.
+    Cycles lie within strong components, so paths are followed inside these only (or, if
+    the whole graph has few edges to spare, as it is), until none is left. A component whose number of cycles has no bound of 2^``dimension`` (see
+    ``component_sizes``) is not listed, and ``complete`` is false: its assets are in
+    ``strong_components``. ``depth`` bounds the assets of a cycle; ``complete`` is then
+    false if longer paths were left.
     """
-    core = cyclic_core(edges)
+    core, whole = cyclic_core(edges), True
+    # Every asset of the core has an edge out, so no part of it has more edges to spare than all of it.
+    if core.count() - core.select("src").distinct().count() + 1 > dimension:
+        members = settle(strong_components(edges))
+        sizes = settle(component_sizes(edges, members))
+        small = sizes.filter(F.col("dimension") <= dimension).select("component")
+        whole = sizes.filter(F.col("dimension") > dimension).isEmpty()
+        core = settle(_inner(edges, members).join(small, "component", "left_semi").select("src", "dst"))
     paths = settle(core.filter("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")))
     found = [paths.filter("start = last").select(F.array("start").alias("cycle"))]
     paths = paths.filter("start <> last")
-    done, steps = False, 1
-    while depth is None or steps < depth:
+    done, steps = paths.isEmpty(), 1
+    while not done and (depth is None or steps < depth):
         steps += 1
         ahead = paths.join(core, paths["last"] == core["src"]).filter(F.col("dst") >= F.col("start"))
         found.append(ahead.filter("dst = start").select(F.col("path").alias("cycle")))
         paths = settle(ahead.filter(~F.array_contains("path", F.col("dst"))).select(
             "start", F.col("dst").alias("last"), F.array_append("path", F.col("dst")).alias("path")))
         done = paths.isEmpty()
-        if done:
-            break
-    return reduce(DataFrame.unionByName, found).withColumn("complete", F.lit(done or paths.isEmpty()))
+    return reduce(DataFrame.unionByName, found).withColumn("complete", F.lit(done and whole))
 
 
 def opportunities(rows: DataFrame) -> DataFrame:
