@@ -141,6 +141,16 @@ def _(t):
     return P.line_sample(t.spark, path, 200, seed=2)
 
 
+@query("smp06_line_sample_check", "SELECT least(200, count(*))::BIGINT AS n, least(200, count(*))::BIGINT AS distinct_lines, least(200, count(*))::BIGINT AS known FROM events")
+def _(t):
+    """Size of the sample, its different lines, and those that are lines of the file."""
+    path = scratch_path(t.spark, "lines")
+    sinks.write_file(t.events.select("event_id", "value"), path, "json")
+    few = P.line_sample(t.spark, path, 200, seed=2)
+    known = few.join(t.spark.read.text(path).distinct(), "value", "left_semi").agg(F.count("*").alias("n")).scalar()
+    return few.agg(F.count("*").alias("n"), F.count_distinct("value").alias("distinct_lines")).withColumn("known", known)
+
+
 @query("smp07_multi_file", "SELECT 2 AS files, 20 AS least, 20 AS most")
 def _(t):
     folder = scratch_path(t.spark, "two")

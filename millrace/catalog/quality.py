@@ -146,11 +146,13 @@ def _(t):
 
 @query("qua13_feature_row_more", """
 WITH x AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_linenumber, l_returnflag FROM lineitem)) AS d FROM lineitem)
-SELECT round(1 - d / n, 8)::DOUBLE AS duplicate_percentage, (SELECT count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) AS referential_integrity_errors,
+SELECT round(1 - d / n, 8)::DOUBLE AS duplicate_percentage, (SELECT count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey + CASE WHEN s_acctbal > 0 THEN 0 ELSE 1000000 END FROM supplier)) AS referential_integrity_errors,
  round(n * 4 * 8 / 1073741824, 10)::DOUBLE AS data_volume_gb FROM x""")
 def _(t):
     df = t.lineitem.select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
-    out = Q.feature_row(df, F.lit(NOW), parents=[(t.supplier.filter("s_acctbal > 0"), "l_suppkey", "s_suppkey")])
+    # Suppliers without a balance have keys that no line refers to.
+    parents = t.supplier.withColumn("s_suppkey", F.col("s_suppkey") + F.when(F.col("s_acctbal") > 0, 0).otherwise(1000000))
+    out = Q.feature_row(df, F.lit(NOW), parents=[(parents, "l_suppkey", "s_suppkey")])
     out = out.select("duplicate_percentage", "referential_integrity_errors", "data_volume_gb")
     return rounded(rounded(out, "duplicate_percentage", digits=8), "data_volume_gb", digits=10)
 

@@ -24,10 +24,11 @@ def _(t):
 
 @query("enr02_lookup", """
 SELECT c_custkey, coalesce(n_name, 'unknown') AS nation FROM customer
-LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey""")
+LEFT JOIN (SELECT n_nationkey + 5 AS k, n_name FROM nation) ON c_nationkey = k""")
 def _(t):
-    table = t.nation.filter("n_nationkey < 20")
-    return E.lookup(t.customer, table, "c_nationkey", "n_nationkey", "n_name", "nation", "unknown").select("c_custkey", "nation")
+    # Keys moved on by five: some customers find no row, some rows no customer.
+    table = t.nation.select((F.col("n_nationkey") + 5).alias("k"), "n_name")
+    return E.lookup(t.customer, table, "c_nationkey", "k", "n_name", "nation", "unknown").select("c_custkey", "nation")
 
 
 @query("enr02_inline_lookup", """
@@ -147,16 +148,17 @@ def _(t):
 
 @query("src25_resolve_conflicts", """
 WITH s AS (SELECT c_custkey AS id, 'crm' AS source, 0 AS p, c_custkey % 3 AS updated, c_acctbal AS v FROM customer
- UNION ALL SELECT c_custkey, 'billing', 1, c_custkey % 2, c_acctbal + 1 FROM customer WHERE c_nationkey < 15
- UNION ALL SELECT c_custkey, 'web', 2, 1, c_acctbal + 2 FROM customer WHERE c_nationkey > 8)
+ UNION ALL SELECT c_custkey + 40, 'billing', 1, c_custkey % 2, c_acctbal + 1 FROM customer
+ UNION ALL SELECT c_custkey * 2, 'web', 2, 1, c_acctbal + 2 FROM customer)
 SELECT id, source, updated, v FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated DESC, p) = 1""")
 def _(t):
     c = t.customer
     crm = c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("updated"), F.col("c_acctbal").alias("v"))
-    bill = c.filter("c_nationkey < 15").select(
-        F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2).alias("updated"), (F.col("c_acctbal") + 1).alias("v"))
-    web = c.filter("c_nationkey > 8").select(
-        F.col("c_custkey").alias("id"), F.lit(1).cast("long").alias("updated"), (F.col("c_acctbal") + 2).alias("v"))
+    # Each source has ids that another one lacks.
+    bill = c.select(
+        (F.col("c_custkey") + 40).alias("id"), (F.col("c_custkey") % 2).alias("updated"), (F.col("c_acctbal") + 1).alias("v"))
+    web = c.select(
+        (F.col("c_custkey") * 2).alias("id"), F.lit(1).cast("long").alias("updated"), (F.col("c_acctbal") + 2).alias("v"))
     return J.resolve_conflicts([("crm", crm), ("billing", bill), ("web", web)], "id", "updated")
 
 

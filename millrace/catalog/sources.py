@@ -111,6 +111,14 @@ def _(t):
     return readers.column_sample(t.orders, 100)
 
 
+@query("src12_column_sample_check", "SELECT least(100, count(*))::BIGINT AS n, least(100, count(*))::BIGINT AS distinct_rows, 0::BIGINT AS strange FROM orders")
+def _(t):
+    """Size of the sample, its different orders, and rows of it that the table does not hold."""
+    few = readers.column_sample(t.orders, 100)
+    strange = few.join(t.orders, few.columns, "left_anti").agg(F.count("*").alias("n")).scalar()
+    return few.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("distinct_rows")).withColumn("strange", strange)
+
+
 def files(t):
     """The data folder's own listing with names made relative."""
     return readers.list_files(t.spark, t.folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), "length")

@@ -185,7 +185,8 @@ RETENTION = [
 ]
 
 SENSITIVE_KEYS = ["password", "secret", "token", "key", "credential"]
-SENSITIVE_PAIRS = r"(?i)(password|token|secret|key)\s*[=:]\s*\S+"
+# Matched without regard to case.
+SENSITIVE_PAIRS = [r"password\s*[=:]\s*\S+", r"token\s*[=:]\s*\S+", r"secret\s*[=:]\s*\S+", r"key\s*[=:]\s*\S+"]
 
 # Statements a guarded query must not hold; the second list counts in strict mode only.
 FORBIDDEN_SQL = [
@@ -242,6 +243,9 @@ STREAM_WORDS = ["kafka", "kinesis", "pubsub", "eventbridge", "rabbitmq", "active
 QUEUE_WORDS = ["sqs", "sns", "servicebus", "queue"]
 
 # Column-name patterns of a schema.
-TIMESTAMP_NAMES = r"\b\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}|\btimestamp\b|\bcreated_at\b|\bupdated_at\b|\bdate\b|\btime\b"
-INCREMENTAL_NAMES = r"\bid\b|\bkey\b|\bsequence\b|\bversion\b|\bmodified\b"
-GEO_NAMES = r"\blat(itude)?\b|\blon(gitude)?\b|\bcoordinates?\b|\blocation\b|\baddress\b|\bzip_?code\b|\bpostal_?code\b"
+TIMESTAMP_NAMES = [
+    r"\b\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}", r"\btimestamp\b", r"\bcreated_at\b", r"\bupdated_at\b", r"\bdate\b", r"\btime\b"]
+INCREMENTAL_NAMES = [r"\bid\b", r"\bkey\b", r"\bsequence\b", r"\bversion\b", r"\bmodified\b"]
+GEO_NAMES = [
+    r"\blat(itude)?\b", r"\blon(gitude)?\b", r"\bcoordinates?\b", r"\blocation\b", r"\baddress\b", r"\bzip_?code\b",
+    r"\bpostal_?code\b"]

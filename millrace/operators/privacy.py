@@ -246,11 +246,12 @@ def participant_anomalies(df: DataFrame, group: str, metric: str, value: str, th
 
 
 _KEYS = "|".join(P.SENSITIVE_KEYS)
+_PAIRS = "(?i)" + "|".join(P.SENSITIVE_PAIRS)
 
 
 def redact_json(text: str | Column) -> Column:
     """Values under sensitive keys, and strings holding a sensitive pair, at any depth of a JSON text."""
-    pair = re.compile(P.SENSITIVE_PAIRS)
+    pair = re.compile(_PAIRS)
 
     def clean(value):
         if isinstance(value, dict):
@@ -276,7 +277,7 @@ def redact_map(c: str) -> Column:
     def value(k: Column, v: Column) -> Column:
         sensitive = F.lower(k).rlike(f"({_KEYS})$")
         return F.when(sensitive, F.lit("[REDACTED]")).when(
-            v.rlike(P.SENSITIVE_PAIRS), F.lit("[REDACTED - SENSITIVE DATA DETECTED]")).otherwise(v)
+            v.rlike(_PAIRS), F.lit("[REDACTED - SENSITIVE DATA DETECTED]")).otherwise(v)
 
     return F.transform_values(F.col(c), value)
 

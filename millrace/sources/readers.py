@@ -205,9 +205,9 @@ def data_patterns(columns: DataFrame) -> DataFrame:
     name, kind = F.lower(F.col("column")), F.col("type")
     numeric = kind.rlike("int|double|float|decimal|long")
     out = columns.groupBy("table").agg(
-        F.bool_or(name.rlike(P.TIMESTAMP_NAMES)).alias("has_timestamps"),
-        F.bool_or(name.rlike(P.INCREMENTAL_NAMES)).alias("has_incremental_keys"),
-        F.bool_or(name.rlike(P.GEO_NAMES)).alias("has_geospatial"),
+        F.bool_or(name.rlike("|".join(P.TIMESTAMP_NAMES))).alias("has_timestamps"),
+        F.bool_or(name.rlike("|".join(P.INCREMENTAL_NAMES))).alias("has_incremental_keys"),
+        F.bool_or(name.rlike("|".join(P.GEO_NAMES))).alias("has_geospatial"),
         F.bool_or(numeric & ~kind.rlike("^(array|struct|map)")).alias("has_numeric"),
         F.bool_or(kind == "string").alias("has_categorical"),
         F.bool_or(kind.rlike("^(array|struct|map)")).alias("has_nested"), F.count("*").alias("_n"))
