@@ -193,6 +193,25 @@ def _(t):
     return flow.drain(windows.sliding_sketch(windows.late(stream(t)), "event_type", "ts", "value"))
 
 
+@query("str15_sliding_stream_error", """
+SELECT event_type, window_start, count(*) AS n, true AS p50_near, true AS p95_near, true AS p99_near FROM (
+ SELECT event_type, unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 14 MINUTE, time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE)) AS window_start FROM events)
+WHERE window_start + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""")
+def _(t):
+    """All closed windows of the stream, and whether their percentiles lie within 2 % of the asked ranks."""
+    out = flow.drain(windows.sliding_sketch(windows.late(stream(t)), "event_type", "ts", "value"))
+    found = out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    minute = F.date_trunc("minute", F.col("ts"))
+    every = t.events.select("event_type", "value", F.explode(F.sequence(minute - F.expr("INTERVAL 14 MINUTES"), minute, F.expr("INTERVAL 1 MINUTE"))).alias("window_start"))
+    both = every.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).join(found, ["event_type", "window_start"])
+    near = []
+    for p in (0.5, 0.95, 0.99):
+        q = F.col(f"p{round(p * 100)}")
+        below, upto = F.count_if(F.col("value") < q) / F.count("value"), F.count_if(F.col("value") <= q) / F.count("value")
+        near.append(((below <= p + 0.02) & (upto >= p - 0.02)).alias(f"p{round(p * 100)}_near"))
+    return both.groupBy("event_type", "window_start").agg(F.first("n").alias("n"), *near)
+
+
 SESSIONS = """(SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, CAST(count(*) AS BIGINT) AS events, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_seconds
  FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events))
  GROUP BY user_id, s)"""

@@ -26,12 +26,20 @@ def tumbling(df: DataFrame, key: str, ts: str, value: str, width: str = "5 minut
 
 
 def sliding_sketch(df: DataFrame, key: str, ts: str, value: str, width: str = "15 minutes", slide: str = "1 minute",
-                   points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Percentile sketches per sliding window; bounded state, fit for a stream."""
-    out = df.groupBy(key, F.window(ts, width, slide).alias("w")).agg(
-        F.count("*").alias("n"), F.percentile_approx(value, list(points), 10_000).alias("q"))
-    names = [f"p{round(p * 100)}" for p in points]
-    return out.select(key, F.col("w.start").alias("window_start"), "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+                   points: tuple[float, ...] = (0.5, 0.95, 0.99), k: int = 800) -> DataFrame:
+    """Percentiles per sliding window from one sketch per slide; bounded state, fit for a stream.
+
+    Each row goes into the sketch of its pane, one ``slide`` long. When the watermark has passed a pane, its
+    sketch is merged into those of the windows it belongs to. ``k`` is the size of the KLL
+    sketches: ranks are off by less than 0.5 % of the window at 800, and exact for small windows.
+    Null values are counted in ``n`` alone.
+    """
+    panes = df.groupBy(key, F.window(ts, slide).alias("pane")).agg(
+        F.count("*").alias("n"), F.count(value).alias("m"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+    out = panes.groupBy(key, F.window("pane", width, slide).alias("w")).agg(
+        F.sum("n").alias("n"), F.sum("m").alias("m"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+    found = [F.when(F.col("m") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p))).alias(f"p{round(p * 100)}") for p in points]
+    return out.select(key, F.col("w.start").alias("window_start"), "n", *found)
 
 
 def sliding_exact(df: DataFrame, key: str, ts: str, value: str, width: int = 900, slide: int = 60,
