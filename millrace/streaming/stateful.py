@@ -3,12 +3,15 @@
 Rows wait in their key's state until the watermark has passed them, and are then
 folded in order of time and row id. So the result does not depend on the order of
 files or on how rows fall into micro-batches; rows that come later than ``delay``
-behind the newest one are dropped (and counted by Spark). What a key holds is the
-rows of the last ``delay`` and a few numbers. A key without rows for ``idle`` seconds
-of event time is forgotten.
+behind the newest one are dropped (and counted by Spark).
+
+Waiting rows lie in buckets of ``BUCKET`` seconds of event time, one entry of a map state each. A batch
+touches the buckets its rows fall into and no others; a timer at the end of each bucket
+folds it when the watermark gets there. What a key holds is the rows of the last
+``delay`` and a few numbers. A key without rows for ``idle`` seconds of event time is forgotten.
 
 The newest ``delay`` of a stream that has ended stays in the state; a later row, of
-any key, lets it out.
+any key, lets it out. State is kept by RocksDB, which the map state needs.
 """
 
 from __future__ import annotations
@@ -18,49 +21,92 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from .windows import late
 
 MONTH = 30 * 86400.0
+#: Seconds of event time whose rows of a key are one entry of the state.
+BUCKET = 60
 #: A fold takes the key's numbers and one row (microseconds, row id, value), and
 #: returns the numbers and an output row, or None.
 Fold = Callable[[list, int, int, float], tuple[list, tuple | None]]
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _processor(fold: Fold, names: list[str], idle: float, may_forget: Callable[[list], bool], bucket: int):
+    """The processor of one operator. A class made here travels with its code."""
+    width = bucket * 1_000_000
+
+    class InTimeOrder(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", "bucket long", "at array<long>, ids array<long>, vals array<double>")
+            self.held = handle.getValueState("held", "numbers array<double>, forget long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            new: dict[int, tuple[list, list, list]] = {}
+            for pdf in rows:
+                # By place: the optimizer may name columns as their sources.
+                pdf = pdf.set_axis(["key", "at", "id", "value"], axis=1)
+                pdf["at"] = pdf["at"].astype("datetime64[us]").astype("int64")
+                for b, part in pdf.groupby(pdf["at"] // width):
+                    one = new.setdefault(int(b), ([], [], []))
+                    for have, column in zip(one, ("at", "id", "value")):
+                        have.extend(part[column].tolist())
+            for b, (at, ids, values) in new.items():
+                if self.waiting.containsKey((b,)):
+                    old = self.waiting.getValue((b,))
+                    at, ids, values = list(old[0]) + at, list(old[1]) + ids, list(old[2]) + values
+                else:
+                    # The first instant at which no row of the bucket can come any more.
+                    self.handle.registerTimer((b + 1) * bucket * 1000)
+                self.waiting.updateValue((b,), (at, ids, values))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            b = now // (bucket * 1000) - 1
+            numbers, forget = [], 0
+            if self.held.exists():
+                kept = self.held.get()
+                numbers, forget = list(kept[0]), kept[1]
+            if now % (bucket * 1000) or not self.waiting.containsKey((b,)):
+                if now == forget and may_forget(numbers):
+                    self.held.clear()
+                return
+            at, ids, values = (list(x) for x in self.waiting.getValue((b,)))
+            self.waiting.removeKey((b,))
+            out = []
+            for i in sorted(range(len(at)), key=lambda i: (at[i], ids[i])):
+                numbers, row = fold(numbers, at[i], ids[i], values[i])
+                if row is not None:
+                    out.append((key[0], *row))
+            if forget:
+                self.handle.deleteTimer(forget)
+            # Never the end of a bucket.
+            forget = now + int(idle * 1000) // 1000 * 1000 + 1
+            self.handle.registerTimer(forget)
+            self.held.update(([float(x) for x in numbers], forget))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+        def close(self) -> None:
+            pass
+
+    return InTimeOrder()
 
 
 def _in_time_order(df: DataFrame, key: str, ts: str, row_id: str, value, fold: Fold, fields: list[tuple[str, str]],
-                   delay: str, idle: float, may_forget: Callable[[list], bool] = lambda held: True) -> DataFrame:
+                   delay: str, idle: float, may_forget: Callable[[list], bool] = lambda held: True, bucket: int = BUCKET) -> DataFrame:
     names = [key, *[n for n, _ in fields]]
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState):
-        at, ids, values, held = (list(x) for x in state.get) if state.exists else ([], [], [], [])
-        for pdf in batches:
-            at += pdf[ts].astype("datetime64[us]").astype("int64").tolist()
-            ids += pdf[row_id].tolist()
-            values += pdf["_value"].tolist()
-        mark = state.getCurrentWatermarkMs()
-        order = sorted(range(len(at)), key=lambda i: (at[i], ids[i]))
-        n = sum(at[i] < mark * 1000 for i in order)
-        out = []
-        for i in order[:n]:
-            held, row = fold(held, at[i], ids[i], values[i])
-            if row is not None:
-                out.append((k[0], *row))
-        rest = order[n:]
-        if state.hasTimedOut and not rest and not n and may_forget(held):
-            state.remove()
-        else:
-            state.update(([at[i] for i in rest], [ids[i] for i in rest], [values[i] for i in rest], held))
-            wake = at[rest[0]] // 1000 + 1 if rest else mark + int(idle * 1000)
-            state.setTimeoutTimestamp(max(wake, mark + 1))
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
+    df.sparkSession.conf.set(_STORE, _ROCKS)
     kind = df.schema[key].dataType.simpleString()
     rows = late(df, ts, delay).select(key, ts, F.col(row_id).cast("long").alias(row_id), value.alias("_value"))
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kind}, " + ", ".join(f"`{n}` {t}" for n, t in fields),
-        "at array<long>, ids array<long>, vals array<double>, held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(key).transformWithStateInPandas(
+        _processor(fold, names, idle, may_forget, bucket),
+        f"`{key}` {kind}, " + ", ".join(f"`{n}` {t}" for n, t in fields), "Append", "EventTime")
 
 
 def rate_limit(df: DataFrame, user: str, ts: str, row_id: str, limit: int = 100, seconds: float = 60.0, delay: str = "10 minutes") -> DataFrame:
