@@ -5,8 +5,8 @@ two compressed sizes by the size of the text is the feature, and a logistic curv
 fitted on training rows that built no dictionary turns it into a score. All blocks
 count, so long texts are judged by all they hold.
 
-Training reads a bounded sample: at most about ``max_rows`` labelled rows, chosen by a
-hash of the id, with ``max_bytes`` of text taken from all over each row. Texts that
+Training reads a bounded sample: the whole texts of at most about ``max_rows`` labelled rows,
+chosen by a hash of the id, of fewer if those are more than ``max_bytes`` on average. Texts that
 are null or empty take the score of a feature of 0. With one class only, or too
 little text for a dictionary, every text scores the share of good rows. Rows that
 repeat get equal scores; columns other than id and text are not read.
@@ -80,27 +80,27 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return w[0] / scale, w[1]
 
 
-def train(df: DataFrame, id_col: str, text: str, label: str, max_rows: int = 6000, max_bytes: int = 1 << 14,
+def train(df: DataFrame, id_col: str, text: str, label: str, max_rows: int = 6000, max_bytes: int = 48 << 20,
           share: float | None = None) -> Model:
     """``label`` is 1 for good and 0 for bad; other rows are not read. ``share`` is the
-    share of good texts to calibrate to (that of the rows, if none is given)."""
+    share of good texts to calibrate to (that of the rows, if none is given).
+
+    Whole texts of ``max_rows`` rows, half of each class; of fewer where texts are so long that these
+    would be more than ``max_bytes`` on average.
+    """
     import zstandard as zs
 
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("y"))
     rows = rows.filter("id IS NOT NULL AND text <> '' AND y IN (0, 1)")
-    seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not seen:
+    found = rows.groupBy("y").agg(F.count("*").alias("n"), F.avg(F.octet_length("text")).alias("size")).collect()
+    if not found:
         return Model(b"", b"", 0.0, 0.0, 0.5)
+    seen = {r["y"]: r["n"] for r in found}
     share = seen.get(1, 0) / sum(seen.values()) if share is None else share
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    bound = {y: int((1 << 20) * min(1.0, max_rows / 2 / n)) for y, n in seen.items()}
+    bound = {r["y"]: int((1 << 20) * min(1.0, min(max_rows, max_bytes / r["size"]) / 2 / r["n"])) for r in found}
     rows = rows.filter(spot < F.when(F.col("y") == 1, F.lit(bound.get(1, 0))).otherwise(F.lit(bound.get(0, 0))))
-    # Pieces from all over a long text, so that a row brings max_bytes at most.
-    size = F.length("text")
-    piece = max_bytes // 8
-    cut = F.when(size <= max_bytes, F.col("text")).otherwise(F.concat(*[
-        F.substring(F.col("text"), (F.lit(1) + F.floor((size - piece) * F.lit(k / 7))).cast("int"), F.lit(piece)) for k in range(8)]))
-    got = sorted((r["id"], r["y"], r["t"].encode()) for r in rows.select("id", "y", cut.alias("t")).collect())
+    got = sorted((r["id"], r["y"], r["text"].encode()) for r in rows.select("id", "y", "text").collect())
     books = {}
     for y in (0, 1):
         blocks = [t[a: a + BLOCK] for k, (_, v, t) in enumerate(got) if v == y and k % 2 == 0 for a in range(0, len(t), BLOCK)]
@@ -129,11 +129,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text
     """Per row: id, score (0 to 1, higher: better)."""
     import pyarrow as pa
 
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    # Bytes and numbers: tasks need no copy of the package to read them.
+    sent = df.sparkSession.sparkContext.broadcast((model.good, model.bad, model.slope, model.offset, model.share))
 
     def scored(batches):
-        for (ids,), data, off in bytetext.slices(batches, [id_col], "text"):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sent.value.curve(differences(sent.value, data, off)), pa.float64())], [id_col, "score"])
+        model = Model(*sent.value)
+        for (ids,), data, off in bytetext.slices(batches, ["id"], "text"):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(model.curve(differences(model, data, off)), pa.float64())], [id_col, "score"])
 
-    rows = df.select(id_col, F.col(text).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(scored, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")

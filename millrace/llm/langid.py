@@ -109,6 +109,7 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, script_counts: np.ndarray):
         self.langs = langs
+        self.odds, self.allowed = np.zeros((SLOTS, 0), np.float32), np.zeros(0, np.int64)
         if not langs:
             return
         total = counts.sum(1, keepdims=True) + 0.5 * SLOTS
@@ -119,6 +120,16 @@ class Model:
         share = script_counts / np.maximum(1, script_counts.sum(1, keepdims=True))
         self.allowed = np.array([sum(1 << int(k) for k in np.flatnonzero(s >= 0.001)) for s in share], np.int64)
 
+    def parts(self) -> tuple:
+        """What tasks need, as arrays: they read it without a copy of the package."""
+        return self.langs, self.odds, self.allowed
+
+    @classmethod
+    def again(cls, parts: tuple) -> Model:
+        model = cls([], None, None)
+        model.langs, model.odds, model.allowed = parts
+        return model
+
     def words(self, data, start, end) -> np.ndarray:
         """Score of each word in each language; languages of other scripts are out of
         reach, unless no language has the script."""
@@ -173,15 +184,25 @@ def viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray, switch: flo
     return path
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", max_rows: int | None = None) -> Model:
-    """Counts over the rows with a language; ``max_rows`` bounds the sample by a hash of
-    the text (about so many rows are read, whatever the table's size)."""
+def train(df: DataFrame, text: str = "text", lang: str = "lang", max_rows: int | None = None, id_col: str | None = None) -> Model:
+    """Counts over the rows with a language.
+
+    ``max_rows`` bounds the sample of each language, drawn by a hash of ``id_col`` (of the
+    text where it is null or not given): a language with fewer rows keeps all of them.
+    """
     import pyarrow as pa
 
-    rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    key = F.col(text) if id_col is None else F.coalesce(F.col(id_col).cast("string"), F.col(text))
+    rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("spot"))
+    rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
     if max_rows is not None:
-        total = rows.select("lang").count()
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, max_rows / max(1, total)))))
+        # A row per language, as the model has.
+        seen = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+        bound = F.lit(0)
+        for r in seen:
+            bound = F.when(F.col("lang") == r["lang"], F.lit(int((1 << 20) * min(1.0, max_rows / r["n"])))).otherwise(bound)
+        rows = rows.filter(F.col("spot") < bound)
+    rows = rows.select("text", "lang")
 
     def counted(batches):
         total: dict[str, np.ndarray] = {}
@@ -229,10 +250,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     """Per row: id, lang_pred and score, the share of letters that the path gives to it."""
     import pyarrow as pa
 
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(model.parts())
 
     def labelled(batches):
-        model = sent.value
+        model = Model.again(sent.value)
         names = np.array([*model.langs, "und"], object)
         for (ids,), data, off in bytetext.slices(batches, [id_col], "text"):
             data, start, end, owner, path = label_slice(model, data, off)
@@ -253,10 +274,10 @@ def spans(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text
     byte of the run in the lower-cased UTF-8 text."""
     import pyarrow as pa
 
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(model.parts())
 
     def labelled(batches):
-        model = sent.value
+        model = Model.again(sent.value)
         for (ids,), data, off in bytetext.slices(batches, [id_col], "text"):
             if not model.langs:
                 continue

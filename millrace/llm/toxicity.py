@@ -109,7 +109,8 @@ def train(df: DataFrame, id_col: str, text: str, label: str, max_rows: int = 200
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(have[0, used]), pa.array(have[1, used])], ["slot", "n0", "n1"])
 
     found = rows.mapInArrow(counted, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    found = found.filter("n0 + n1 >= 3").toPandas()
+    # The row behind the last slot holds the documents of each class.
+    found = found.filter(f"n0 + n1 >= 3 OR slot >= {SLOTS}").toPandas()
     have = np.zeros((2, SLOTS + 1))
     have[0, found["slot"]], have[1, found["slot"]] = found["n0"], found["n1"]
     docs = have[:, SLOTS].copy()
@@ -176,11 +177,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text
     """Per row: id, score (0 to 1, higher: more toxic)."""
     import pyarrow as pa
 
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    # Arrays and numbers: tasks need no copy of the package to read them.
+    sent = df.sparkSession.sparkContext.broadcast((model.table, model.weight, model.offset))
 
     def scored(batches):
-        for (ids,), data, off in bytetext.slices(batches, [id_col], "text"):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sent.value.score(data, off), pa.float64())], [id_col, "score"])
+        model = Model(*sent.value)
+        for (ids,), data, off in bytetext.slices(batches, ["id"], "text"):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(model.score(data, off), pa.float64())], [id_col, "score"])
 
-    rows = df.select(id_col, F.col(text).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(scored, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, score double")

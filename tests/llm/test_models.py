@@ -178,3 +178,30 @@ def test_archive_and_lookup(spark, tmp_path):
         mine = sorted(str(r["page_id"]) for r in found if r["url"] == u)
         assert mine == sorted(str(p) for p, x, _ in rows if warc.url_key(x) == warc.url_key(u))
     assert warc.read_back(warc.write(df.limit(0), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_few_labels_score_their_share(spark):
+    """One label of each class, or of one class alone: fixed results, not an even chance for all."""
+    rows = "id long, text string, y int"
+    one = toxicity.train(spark.createDataFrame([(1, "you vile creature", 1), (2, "what a lovely day", 0), (3, "fine weather", 0), (4, "good", 0)], rows), "id", "text", "y")
+    docs = spark.createDataFrame([(9, "zzz qqq")], "doc_id long, text string")
+    assert toxicity.score(docs, one).head()["score"] == pytest.approx(0.25, abs=0.1)
+    toxic = toxicity.train(spark.createDataFrame([(1, "a b c", 1), (2, "d e f", 1)], rows), "id", "text", "y")
+    assert toxicity.score(docs, toxic).head()["score"] > 0.99
+    assert toxicity.score(docs, toxicity.train(spark.createDataFrame([], rows), "id", "text", "y")).head()["score"] == 0.5
+
+
+def test_rare_languages_are_learned(spark):
+    """Of each language up to the bound: 3,000 rows of one and 5 of another, drawn by id."""
+    rows = [(i, "the weather and the people of the town", "en") for i in range(3000)] + [(5000 + i, "przyszedł wieczór i śnieg pada cicho", "pl") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, max_rows=50, id_col="doc_id")
+    assert model.langs == ["en", "pl"]
+    docs = spark.createDataFrame([(1, "śnieg pada wieczór"), (2, "people of the town")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()} == {1: "pl", 2: "en"}
+
+
+def test_clashing_column_names(spark):
+    docs = spark.createDataFrame([("a", "fine weather", 1.0)], "text string, body string, score double")
+    model = toxicity.Model(np.full(toxicity.SLOTS, -1, "int16"), np.zeros(0), 0.0)
+    assert toxicity.score(docs, model, "text", "body").collect()[0]["score"] == 0.5

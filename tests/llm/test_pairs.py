@@ -432,3 +432,19 @@ def test_query_passages_whole(spark):
         held_against_all_runs(spark, rows)
     got = {r["doc_id"] for r in QUERIES["op6_repeated_passages"](spark, SF).collect()}
     assert got - {None} >= {d for d, _, _ in repeated_runs(rows)}
+
+
+def test_texts_made_to_meet(spark):
+    """Words that meet under every polynomial modulo a power of two are different words."""
+    from .test_tokens import thue_morse
+
+    a, b = thue_morse(2048)
+    rnd = random.Random(12)
+    head, tail = " ".join(prose(rnd, 30)), " ".join(prose(rnd, 30))
+    df = spark.createDataFrame([(1, a), (2, b), (3, f"{head} {a} {tail}"), (4, f"{head} {b} {tail}")], "doc_id long, text string")
+    label = {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()}
+    assert label[1] != label[2]
+    # 30 words, another word, 30 words: no run of 50.
+    assert chunks.passages(df).count() == 0
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.matches(df, items).collect()} == {1, 3}

@@ -105,3 +105,39 @@ def test_frequent_ids_come_first(spark):
 
     the = Tokenizer.from_file(tokenizer_path()).encode(" the").ids[0]
     assert ranks[0] == the
+
+
+def thue_morse(n, letters="ab"):
+    """Two words of ``n`` letters that meet under every polynomial modulo a power of two."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join(letters[b] for b in bits[:n]), "".join(letters[1 - b] for b in bits[:n])
+
+
+def test_words_made_to_meet(pieces):
+    a, b = thue_morse(2048)
+    pieces.forget()
+    assert encoded(pieces, [a, b, f"x {a} y", f"x {b} y"]) == pieces.whole([a, b, f"x {a} y", f"x {b} y"])
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    assert len(set(bytetext.span_hashes(raw, np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
+
+
+def test_pieces_under_one_hash(pieces, monkeypatch):
+    monkeypatch.setattr(bytetext, "span_hashes", lambda data, start, end, which=0: (end - start).astype(np.uint64) % np.uint64(3))
+    pieces.forget()
+    texts = ["one two three four", "six two four one", "", "alpha beta; gamma, delta", "one two"]
+    assert encoded(pieces, texts) == pieces.whole(texts) and encoded(pieces, texts[::-1]) == pieces.whole(texts[::-1])
+    pieces.forget()
+
+
+def test_hashes_of_ranges_of_long_texts():
+    """The same bytes have the same hash wherever they stand, also past the table of powers."""
+    rnd = random.Random(6)
+    part = rnd.randbytes(3000)
+    data = np.frombuffer(rnd.randbytes(bytetext._BLOCK - 1500) + part + rnd.randbytes(bytetext._BLOCK) + part + b"!", np.uint8)
+    first, second = bytetext._BLOCK - 1500, 2 * bytetext._BLOCK + 1500
+    at = np.arange(0, 2900, 7)
+    for which in (0, 1):
+        h = bytetext.hasher(data, which)
+        assert np.array_equal(h(first + at, first + at + 60), h(second + at, second + at + 60))
