@@ -16,13 +16,17 @@ common key with probability (1 - 0.8^5)^32 = 3e-6. Equal texts (by md5) are one
 Keys of several nodes are buckets; in each the node that shares most keys leads, and
 all others are compared with it, never with each other. What is linked already needs
 no more comparisons; nodes of a bucket that belong to different components after that
-are compared with each other where a sketch of the signature (2 bits of each
-coordinate, differing in at most ``FAR``) allows a similarity of 0.8 at 4.5 standard
-deviations. All comparisons that count are exact, on whole texts.
+are compared with each other where a sketch of a wider signature (2 bits of each of
+``WIDE`` coordinates, differing in at most ``WIDE_FAR``) allows a similarity of 0.8 at
+4.5 standard deviations. All comparisons that count are of whole texts, by 64-bit hashes
+of their shingles (see ``bytetext``).
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``, in lower case. A text of one to four words is
 one shingle; null and empty texts (and blank ones) have none: they link to nothing,
-but equal texts are one class, null counting as empty. An empty table gives no rows.
+but equal texts are one class, null counting as empty. An empty table gives no rows. Very
+long texts are signed and compared whole. Null ids are rows like any other; a class that
+holds none but them has a null class_id. Other columns are carried by ``keep_one`` alone,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,13 +37,15 @@ from pyspark.sql import functions as F
 
 from . import bytetext
 from .components import components
-from .store import kept
+from .store import kept, partitions
 
 SHINGLE = 5
 SIMILAR = 0.8
 K, ROWS, BANDS = 192, 5, 32
 FAR = 51
-WIDE, WIDE_FAR = 2048, 266
+WIDE, WIDE_FAR = 1536, 293
+#: Texts of a task that are remembered, so that copies are signed once.
+SEEN = 1 << 20
 #: Places of the filter that keeps most texts nobody asks for out of a join. It is
 #: broadcast, and never holds more rows than this.
 PLACES = 1 << 18
@@ -91,37 +97,48 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
         mine = todo[owner]
         found = _darts(owner[mine], element[mine], weight[mine].astype(float), bound, k)
         slot, rank, dart = (np.concatenate(x) if x else np.zeros(0) for x in found)
-        order = np.lexsort((rank, slot))
-        slot, dart = slot[order].astype(np.int64), dart[order]
-        first = bytetext.runs_of(slot)
-        out.ravel()[slot[first]] = dart[first]
-        filled = np.bincount(slot[first] // k, minlength=n) == k
+        # Written from the latest to the earliest, so that the earliest of a coordinate stays.
+        order = np.argsort(-rank)
+        slot = slot[order].astype(np.int64)
+        out.ravel()[slot] = dart[order]
+        seen = np.zeros(n * k, bool)
+        seen[slot] = True
+        filled = seen.reshape(n, k).all(1)
         todo &= ~filled
         bound[todo] *= 2
     return out
 
 
 def _darts(owner, element, weight, bound, k):
-    """Lists of (set * k + coordinate, rank, dart id) of all darts within weight and bound."""
+    """Lists of (set * k + coordinate, rank, dart id) of all darts within weight and bound.
+
+    An element's darts are drawn in the order of rank: one for all elements at a time, and
+    many at a time once few elements are left, as those of very short texts are.
+    """
     slots, ranks, darts = [], [], []
     low, cell = 0.0, 0
     while len(owner):
         high = 1.0 if cell == 0 else 2.0 * max(low, 1.0)
         seed = bytetext.mix(element + _salt(cell + 1))
-        who, size, rank = owner, weight, np.zeros(len(owner))
-        limit, j = bound[who], 0
+        who, rank = np.arange(len(owner)), np.zeros(len(owner))
+        limit, whole, j = bound[owner], not cell and not (weight < 1).any(), 0
         while len(who):
-            rank = rank - np.log(_unit(bytetext.mix(seed + _salt(3 * j + 1)))) / (high - low)
-            near = rank <= limit
-            who, size, rank, limit, seed = who[near], size[near], rank[near], limit[near], seed[near]
-            hit = slice(None)
-            if cell or (size < 1).any():
-                hit = low + _unit(bytetext.mix(seed + _salt(3 * j + 2))) * (high - low) <= size
-            dart = bytetext.mix(seed[hit] + _salt(3 * j + 3))
-            slots.append(who[hit] * k + (dart % np.uint64(k)).astype(np.int64))
-            ranks.append(rank[hit])
+            wide = 1 if len(who) > 2048 else min(512, 65536 // len(who))
+            salt = (np.uint64(3) * np.arange(j, j + wide, dtype=np.uint64) + np.uint64(1)) * _GOLD
+            steps = np.log(_unit(bytetext.mix(seed[:, None] + salt))) / (low - high)
+            steps[:, 0] += rank
+            np.cumsum(steps, axis=1, out=steps)
+            near = steps <= limit[:, None]
+            row, col = np.nonzero(near)
+            if not whole:
+                hit = low + _unit(bytetext.mix(seed[row] + salt[col] + _GOLD)) * (high - low) <= weight[who[row]]
+                row, col = row[hit], col[hit]
+            dart = bytetext.mix(seed[row] + salt[col] + np.uint64(2) * _GOLD)
+            slots.append(owner[who[row]] * k + (dart % np.uint64(k)).astype(np.int64))
+            ranks.append(steps[row, col])
             darts.append(dart)
-            j += 1
+            on = near[:, -1]
+            who, rank, limit, seed, j = who[on], steps[on, -1], limit[on], seed[on], j + wide
         more = weight > high
         owner, element, weight, low, cell = owner[more], element[more], weight[more], high, cell + 1
     return slots, ranks, darts
@@ -137,23 +154,17 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """n x K/32 numbers of 32 coordinates, 2 bits each."""
+    """n x k/32 numbers of 32 coordinates, 2 bits each."""
     two = ((sig >> np.uint64(40)) & np.uint64(3)).reshape(len(sig), -1, 32)
     return np.bitwise_or.reduce(two << (np.uint64(2) * np.arange(32, dtype=np.uint64)), axis=2)
 
 
-def wide_sketches(sig: np.ndarray) -> np.ndarray:
-    """n x WIDE/64 numbers of 64 coordinates, 1 bit each."""
-    one = ((sig >> np.uint64(40)) & np.uint64(1)).reshape(len(sig), -1, 64)
-    return np.bitwise_or.reduce(one << np.arange(64, dtype=np.uint64), axis=2)
-
-
-def _apart(x: str, y: str, wide: bool = False) -> Column:
-    """Coordinates in which two sketches differ."""
+def _apart(x: str, y: str, k: int = K) -> Column:
+    """Coordinates of ``k`` in which two sketches differ."""
     parts = []
-    for k in range(WIDE // 64 if wide else K // 32):
-        gap = F.col(x)[k].bitwiseXOR(F.col(y)[k])
-        parts.append(F.bit_count(gap if wide else gap.bitwiseOR(F.shiftrightunsigned(gap, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    for i in range(k // 32):
+        gap = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        parts.append(F.bit_count(gap.bitwiseOR(F.shiftrightunsigned(gap, 1)).bitwiseAND(F.lit(0x5555555555555555))))
     return sum(parts[1:], parts[0])
 
 
@@ -165,8 +176,20 @@ def signed(texts: DataFrame) -> DataFrame:
     """(digest, keys, sketch) of the different texts with words; ``texts``: digest, text."""
     import pyarrow as pa
 
+    def fresh(batches):
+        """Without the copies of texts that this task has signed already."""
+        seen = set()
+        for batch in batches:
+            new = []
+            for d in batch.column(0).to_pylist():
+                new.append(d not in seen)
+                seen.add(d)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield batch.filter(pa.array(new, pa.bool_()))
+
     def rows(batches):
-        for (digest,), data, off in bytetext.slices(batches, ["digest"], "text"):
+        for (digest,), data, off in bytetext.slices(fresh(batches), ["digest"], "text"):
             owner, element, weight = shingles(data, off)
             some = np.unique(owner)
             if not len(some):
@@ -177,7 +200,7 @@ def signed(texts: DataFrame) -> DataFrame:
                 digest.take(pa.array(some)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())),
                 pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel()), K // 32).cast(pa.list_(pa.int64()))], ["digest", "keys", "sketch"])
 
-    return texts.mapInArrow(rows, "digest binary, keys array<long>, sketch array<long>")
+    return texts.select("digest", "text").mapInArrow(rows, "digest binary, keys array<long>, sketch array<long>")
 
 
 def widened(texts: DataFrame) -> DataFrame:
@@ -185,15 +208,16 @@ def widened(texts: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def rows(batches):
-        for (digest,), data, off in bytetext.slices(batches, ["digest"], "text", 1 << 17):
+        for (digest,), data, off in bytetext.slices(batches, ["digest"], "text"):
             owner, element, weight = shingles(data, off)
             some = np.unique(owner)
             if len(some):
-                sketch = wide_sketches(signatures(np.searchsorted(some, owner), element, weight, len(some), WIDE)).view(np.int64)
+                sketch = sketches(signatures(np.searchsorted(some, owner), element, weight, len(some), WIDE)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([digest.take(pa.array(some)), pa.FixedSizeListArray.from_arrays(
-                    pa.array(sketch.ravel()), WIDE // 64).cast(pa.list_(pa.int64()))], ["digest", "sketch"])
+                    pa.array(sketch.ravel()), WIDE // 32).cast(pa.list_(pa.int64()))], ["digest", "sketch"])
 
-    return texts.mapInArrow(rows, "digest binary, sketch array<long>")
+    # Few bytes, much work.
+    return texts.repartition(partitions(texts.sparkSession), F.xxhash64("digest")).mapInArrow(rows, "digest binary, sketch array<long>")
 
 
 def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -204,7 +228,8 @@ def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     place = F.pmod(F.xxhash64("digest"), F.lit(PLACES)).alias("place")
     some = texts.withColumn("place", place).join(F.broadcast(nodes.select(place).distinct()), "place", "left_semi").drop("place")
-    return some.join(nodes.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    # Copies are combined before the shuffle, so that a text that fills a third of the rows is a row per task.
+    return some.groupBy("digest").agg(F.first("text").alias("text")).join(nodes.select("digest"), "digest", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -265,7 +290,7 @@ def links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     earlier = F.arrays_overlap(F.slice("keys", F.lit(1), place), F.slice("other_keys", F.lit(1), place))
     rest = open_rows.join(other, "key").filter(
         (F.col("digest") < F.col("other_digest")) & (F.col("label") != F.col("other_label"))
-        & (_apart("sketch", "other_sketch", True) <= WIDE_FAR) & ~earlier)
+        & (_apart("sketch", "other_sketch", WIDE) <= WIDE_FAR) & ~earlier)
     rest = rest.select(F.col("digest").alias("a"), F.col("other_digest").alias("b")).join(star, ["a", "b"], "left_anti")
     return first.union(verified(kept(rest, "rest-pairs"), known, similar))
 
