@@ -16,25 +16,30 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 
-def _directed(edges: DataFrame, up: bool) -> DataFrame:
-    a, b = ("dst", "src") if up else ("src", "dst")
-    return edges.select(F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
+#: Frontiers and walks of at most so many rows are sent to the edges, which then stay where they are.
+SMALL = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def walk(edges: DataFrame, roots: DataFrame, up: bool = False, depth: int | None = 10) -> DataFrame:
+def walk(edges: DataFrame, roots: DataFrame, up: bool = False, depth: int | None = 10, once: bool = False) -> DataFrame:
     """Breadth-first from each root: (root, asset, depth, paths), roots left out.
 
     ``paths`` is the number of shortest paths from the root. ``depth`` None goes
-    on until nothing new is found.
+    on until nothing new is found. With ``once`` the edges are distinct and settled.
     """
-    steps = settle(_directed(edges, up))
+    a, b = ("dst", "src") if up else ("src", "dst")
+    steps = (edges if once else settle(edges.select("src", "dst").distinct())).select(F.col(a).alias("_from"), F.col(b).alias("_to"))
     start = roots.select(F.col(roots.columns[0]).alias("root")).distinct()
     frontier = settle(start.select("root", F.col("root").alias("asset"), F.lit(0).alias("depth"), F.lit(1).cast("double").alias("paths")))
     seen = [frontier]
     at = 0
     while depth is None or at < depth:
         at += 1
-        reached = frontier.join(steps, frontier["asset"] == steps["_from"]).groupBy("root", F.col("_to").alias("asset")).agg(
+        ahead = _small(frontier)
+        reached = steps.join(ahead, steps["_from"] == ahead["asset"]).groupBy("root", F.col("_to").alias("asset")).agg(
             F.sum("paths").alias("paths"))
         known = reduce(DataFrame.unionByName, seen).select("root", "asset")
         frontier = settle(reached.join(known, ["root", "asset"], "left_anti").select(
@@ -53,27 +58,35 @@ def downstream(edges: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame
     return walk(edges, roots, up=False, depth=depth).drop("paths")
 
 
-def both_walks(edges: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The complete walks up and down from the given assets."""
-    return walk(edges, assets, up=True, depth=None), walk(edges, assets, up=False, depth=None)
+def all_walks(edges: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The complete walks up and down from the given assets, and down from all that lies upstream of them.
+
+    The edges are settled once, and both walks down are one walk from the roots of either.
+    """
+    once = settle(edges.select("src", "dst").distinct())
+    names = assets.select(F.col(assets.columns[0]).alias("root")).distinct()
+    above = walk(once, names, up=True, depth=None, once=True)
+    sources = settle(above.select(F.col("asset").alias("root")).distinct())
+    below = walk(once, names.unionByName(sources), depth=None, once=True)
+    return above, below.join(_small(names), "root", "left_semi"), below.join(_small(sources), "root", "left_semi")
 
 
-def betweenness(edges: DataFrame, assets: DataFrame, walks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def betweenness(edges: DataFrame, assets: DataFrame, walks: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Share of shortest paths between other assets that run through each given asset.
 
     For an asset v, only its upstream s and downstream t can have paths through
     it; those lie on v when d(s,v) + d(v,t) = d(s,t).
     """
-    above, below = walks or both_walks(edges, assets)
+    above, below, all_below = walks or all_walks(edges, assets)
     up = above.select(
         F.col("root").alias("v"), F.col("asset").alias("s"), F.col("depth").alias("d_sv"), F.col("paths").alias("p_sv"))
     down = below.select(
         F.col("root").alias("v"), F.col("asset").alias("t"), F.col("depth").alias("d_vt"), F.col("paths").alias("p_vt"))
-    whole = walk(edges, up.select("s").distinct(), up=False, depth=None).select(
+    whole = all_below.select(
         F.col("root").alias("s"), F.col("asset").alias("t"), F.col("depth").alias("d_st"), F.col("paths").alias("p_st"))
-    # s and t meet through an existing path, never as a free product.
-    via = whole.join(up, "s").join(down, ["v", "t"]).filter(
-        (F.col("s") != F.col("t")) & (F.col("d_sv") + F.col("d_vt") == F.col("d_st")))
+    # s and t meet in v, so a path joins them: only such pairs are looked up among the walks from s.
+    via = down.join(_small(up), "v").filter(F.col("s") != F.col("t")).join(whole, ["s", "t"]).filter(
+        F.col("d_sv") + F.col("d_vt") == F.col("d_st"))
     shares = via.groupBy("v").agg(F.sum(F.col("p_sv") * F.col("p_vt") / F.col("p_st")).alias("b"))
     n = edges.select(F.explode(F.array("src", "dst")).alias("a")).agg(F.count_distinct("a").cast("double").alias("n")).scalar()
     names = assets.select(F.col(assets.columns[0]).alias("asset")).distinct()
@@ -82,10 +95,10 @@ def betweenness(edges: DataFrame, assets: DataFrame, walks: tuple[DataFrame, Dat
     return joined.select("asset", (F.coalesce("b", F.lit(0.0)) / norm).alias("betweenness"))
 
 
-def degrees(edges: DataFrame, assets: DataFrame, depth: int = 10, walks: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def degrees(edges: DataFrame, assets: DataFrame, depth: int = 10, walks: tuple[DataFrame, ...] | None = None) -> DataFrame:
     """Upstream and downstream counts per given asset, up to ``depth`` steps away."""
     names = assets.select(F.col(assets.columns[0]).alias("asset")).distinct()
-    above, below = walks or (walk(edges, names, True, depth), walk(edges, names, False, depth))
+    above, below = walks[:2] if walks else (walk(edges, names, True, depth), walk(edges, names, False, depth))
     near = F.col("depth") <= depth
     up = above.filter(near).groupBy("root").agg(F.count("*").alias("upstream_count"))
     down = below.filter(near).groupBy("root").agg(F.count("*").alias("downstream_count"))
@@ -99,7 +112,7 @@ def criticality(edges: DataFrame, assets: DataFrame) -> DataFrame:
 
     ``assets`` has ``asset`` and ``quality_score`` (null counts as 0.5).
     """
-    walks = both_walks(edges, assets.select("asset"))
+    walks = all_walks(edges, assets.select("asset"))
     rows = degrees(edges, assets, walks=walks).join(betweenness(edges, assets, walks), "asset").join(
         assets.select("asset", "quality_score"), "asset", "left")
     value = (

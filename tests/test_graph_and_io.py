@@ -69,6 +69,21 @@ def test_criticality_of_missing_quality(spark, edges):
     assert row["criticality"] == pytest.approx(5 / 10 * 0.4 + 0.5 * 0.2)
 
 
+def test_criticality_walks_the_edges_once(spark, edges, monkeypatch):
+    settled = []
+    settle = lineage.settle
+    monkeypatch.setattr(lineage, "settle", lambda df: settled.append(df.columns) or settle(df))
+    nodes, paths = shortest(EDGES)
+    some = ["c", "d", "f", "a"]  # some lie upstream of others
+    rows = {r["asset"]: r for r in lineage.criticality(edges, spark.createDataFrame([(v, 0.5) for v in some], "asset string, quality_score double")).collect()}
+    # The edges are made distinct and kept once, not for each walk.
+    assert sum(len(c) == 2 for c in settled) == 1
+    for v in some:
+        assert rows[v]["downstream_count"] == sum(s == v for s, _ in paths) and rows[v]["upstream_count"] == sum(t == v for _, t in paths)
+        b = sum(sum(v in p[1:-1] for p in ps) / len(ps) for ps in paths.values())
+        assert rows[v]["betweenness"] == pytest.approx(b / ((len(nodes) - 1) * (len(nodes) - 2)))
+
+
 def test_files_round_trip(spark):
     df = spark.createDataFrame([(1, "ä,b", None), (2, "c;d", "x")], "id int, name string, note string")
     for kind, reader in [("csv", readers.read_csv), ("json", readers.read_jsonl), ("parquet", readers.read_parquet), ("orc", readers.read_orc)]:
