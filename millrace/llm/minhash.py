@@ -159,10 +159,24 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two << (np.uint64(2) * np.arange(32, dtype=np.uint64)), axis=2)
 
 
-def _apart(x: str, y: str, k: int = K) -> Column:
-    """Coordinates of ``k`` in which two sketches differ."""
+def planes(sig: np.ndarray) -> np.ndarray:
+    """n x k/32 numbers: the low bits of 64 coordinates each, then their high bits."""
+    two = ((sig >> np.uint64(40)) & np.uint64(3)).reshape(len(sig), -1, 64)
+    place = np.arange(64, dtype=np.uint64)
+    return np.concatenate([np.bitwise_or.reduce(((two >> np.uint64(b)) & np.uint64(1)) << place, axis=2) for b in (0, 1)], axis=1)
+
+
+def _apart_wide(x: str, y: str) -> Column:
+    """Coordinates of ``WIDE`` in which the planes in columns x0, x1 … and y0, y1 … differ."""
+    n, gap = WIDE // 64, lambda i: F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))
+    parts = [F.bit_count(gap(i).bitwiseOR(gap(n + i))) for i in range(n)]
+    return sum(parts[1:], parts[0])
+
+
+def _apart(x: str, y: str) -> Column:
+    """Coordinates of ``K`` in which two sketches differ."""
     parts = []
-    for i in range(k // 32):
+    for i in range(K // 32):
         gap = F.col(x)[i].bitwiseXOR(F.col(y)[i])
         parts.append(F.bit_count(gap.bitwiseOR(F.shiftrightunsigned(gap, 1)).bitwiseAND(F.lit(0x5555555555555555))))
     return sum(parts[1:], parts[0])
@@ -204,7 +218,7 @@ def signed(texts: DataFrame) -> DataFrame:
 
 
 def widened(texts: DataFrame) -> DataFrame:
-    """(digest, sketch) with ``WIDE`` coordinates; ``texts``: digest, text."""
+    """(digest, planes) of ``WIDE`` coordinates; ``texts``: digest, text."""
     import pyarrow as pa
 
     def rows(batches):
@@ -212,12 +226,12 @@ def widened(texts: DataFrame) -> DataFrame:
             owner, element, weight = shingles(data, off)
             some = np.unique(owner)
             if len(some):
-                sketch = sketches(signatures(np.searchsorted(some, owner), element, weight, len(some), WIDE)).view(np.int64)
+                found = planes(signatures(np.searchsorted(some, owner), element, weight, len(some), WIDE)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([digest.take(pa.array(some)), pa.FixedSizeListArray.from_arrays(
-                    pa.array(sketch.ravel()), WIDE // 32).cast(pa.list_(pa.int64()))], ["digest", "sketch"])
+                    pa.array(found.ravel()), WIDE // 32).cast(pa.list_(pa.int64()))], ["digest", "planes"])
 
     # Few bytes, much work.
-    return texts.repartition(partitions(texts.sparkSession), F.xxhash64("digest")).mapInArrow(rows, "digest binary, sketch array<long>")
+    return texts.repartition(partitions(texts.sparkSession), F.xxhash64("digest")).mapInArrow(rows, "digest binary, planes array<long>")
 
 
 def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -261,6 +275,22 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     return kept(both.mapInArrow(checked, "a binary, b binary"), "links")
 
 
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of a bucket (key, digest, label, keys, planes) whose labels differ and whose planes are near.
+
+    Sketches are plain columns: on elements of arrays the condition is one method of 26,000 bytes, which
+    the JVM leaves interpreted; on so many plain columns Spark makes short methods of it.
+    """
+    other = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in rows.columns if c != "key"])
+    # A pair counts in the first of its common buckets: no earlier key may be common.
+    place = F.array_position("keys", F.col("key")).cast("int") - 1
+    earlier = F.arrays_overlap(F.slice("keys", F.lit(1), place), F.slice("other_keys", F.lit(1), place))
+    near = rows.join(other, "key").filter(
+        (F.col("digest") < F.col("other_digest")) & (F.col("label") != F.col("other_label"))
+        & (_apart_wide("plane", "other_plane") <= WIDE_FAR) & ~earlier)
+    return near.select(F.col("digest").alias("a"), F.col("other_digest").alias("b"))
+
+
 def links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Links (a, b) between different texts, as many as connect each class; ``texts``: digest, text."""
     once = signed(texts).groupBy("digest").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
@@ -283,15 +313,8 @@ def links(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     some = kept(parted.join(mixed, "key", "left_semi").select("key", "digest", "label"), "open")
     left_over = some.select("digest").distinct()
     wide = widened(known.join(left_over, "digest", "left_semi")).join(sigs.select("digest", "keys"), "digest")
-    open_rows = kept(some.join(kept(wide, "wide"), "digest"), "open-wide")
-    other = open_rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("digest", "label", "sketch", "keys")])
-    # A pair counts in the first of its common buckets: no earlier key may be common.
-    place = F.array_position("keys", F.col("key")).cast("int") - 1
-    earlier = F.arrays_overlap(F.slice("keys", F.lit(1), place), F.slice("other_keys", F.lit(1), place))
-    rest = open_rows.join(other, "key").filter(
-        (F.col("digest") < F.col("other_digest")) & (F.col("label") != F.col("other_label"))
-        & (_apart("sketch", "other_sketch", WIDE) <= WIDE_FAR) & ~earlier)
-    rest = rest.select(F.col("digest").alias("a"), F.col("other_digest").alias("b")).join(star, ["a", "b"], "left_anti")
+    flat = kept(wide, "wide").select("digest", "keys", *[F.col("planes")[i].alias(f"plane{i}") for i in range(WIDE // 32)])
+    rest = _open_pairs(kept(some.join(flat, "digest"), "open-wide")).join(star, ["a", "b"], "left_anti")
     return first.union(verified(kept(rest, "rest-pairs"), known, similar))
 
 

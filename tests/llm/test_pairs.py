@@ -448,3 +448,31 @@ def test_texts_made_to_meet(spark):
     assert chunks.passages(df).count() == 0
     items = spark.createDataFrame([(1, a)], "item_id long, text string")
     assert {r["doc_id"] for r in decontaminate.matches(df, items).collect()} == {1, 3}
+
+
+def test_open_pairs_are_right_and_their_condition_is_compiled(spark, tmp_path):
+    """The JVM leaves methods of more than 8,000 bytes interpreted."""
+    sig = np.random.default_rng(5).integers(0, 1 << 63, (6, minhash.WIDE)).astype(np.uint64)
+    sig[1] = sig[0]
+    sig[2, ::7] = sig[0, ::7]
+    sig[3, : minhash.WIDE - minhash.WIDE_FAR - 40] = sig[0, : minhash.WIDE - minhash.WIDE_FAR - 40]
+    two = (sig >> np.uint64(40)) & np.uint64(3)
+    n = minhash.WIDE // 32
+    rows = [(k, bytes([i]), bytes([9, i % 5]), [1, 2], *map(int, p)) for k in (1, 2) for i, p in enumerate(minhash.planes(sig).view(np.int64))]
+    kind = ", ".join(["key long, digest binary, label binary, keys array<long>", *[f"plane{k} long" for k in range(n)]])
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/rows")
+    table = spark.read.parquet(f"{tmp_path}/rows")
+    # The labels of 0 and 5 are the same, and a pair comes once for two keys.
+    want = [(i, j) for i in range(6) for j in range(i + 1, 6) if i % 5 != j % 5 and (two[i] != two[j]).sum() <= minhash.WIDE_FAR]
+    assert (0, 1) in want and (0, 3) in want and (0, 2) not in want
+    assert sorted((r[0][0], r[1][0]) for r in minhash._open_pairs(table).collect()) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for least in ("10MB", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+            made = minhash._open_pairs(table)._jdf.queryExecution().debug().codegenToSeq()
+            sizes = [made.apply(k)._3().maxMethodCodeSize() for k in range(made.size())]
+            assert 0 < max(sizes) < 8000, sizes
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
